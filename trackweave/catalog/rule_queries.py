@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackweave.catalog.inputs import TRACKS, Query, case, tracks
 from trackweave.functions import labels as L
 from trackweave.operators import grouping as G
+from trackweave.session import settle
 
 BPM = case("bpm", [(70, "Slow"), (100, "Medium"), (130, "Upbeat"), (160, "Fast"), (None, "VeryFast")])
 ENERGY = case(
@@ -86,7 +87,7 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.one_partition(G.group_table(_coded(spark, sf_dir)))
+    return settle(G.one_partition(G.group_table(_coded(spark, sf_dir))))
 
 
 def label_rule(spark, sf_dir):
@@ -203,7 +204,7 @@ def split_large(spark, sf_dir):
     """Split parts of the playlists that grew beyond the limit."""
     return (
         G.rule_playlists(tracks(spark, sf_dir), unique_hashes=True)
-        .summary.where(F.col("playlist").rlike("_(Warm|Mellow|Balanced|Bright|Crisp)$"))
+        .summary.where("split")
         .select("playlist", F.col("size").cast("long").alias("size"), "mood_group")
     )
 

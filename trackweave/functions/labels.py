@@ -40,14 +40,22 @@ DOCUMENTED_DURATION = [(60.0, "Brief"), (120.0, "Short"), (180.0, "Medium"), (24
 Ladder = list[tuple[float | None, str]]
 
 
-def step_index(value: Column, ladder: Ladder) -> Column:
-    """Index of the ladder step holding ``value``; NULL for NULL, last step for NaN."""
-    index = F.when(value.isNull(), F.lit(None).cast("int"))
-    for i, (bound, _) in enumerate(ladder[:-1]):
+def known_step(value: Column, ladder: Ladder) -> Column:
+    """Index of the ladder step holding a ``value`` known not to be NULL; last step for NaN.
+
+    Never NULL, so joins on the index add no filter that would evaluate it twice.
+    """
+    index = F.when(value < F.lit(ladder[0][0]), F.lit(0))
+    for i, (bound, _) in enumerate(ladder[1:-1], start=1):
         index = index.when(value < F.lit(bound), F.lit(i))
     return index.otherwise(F.lit(len(ladder) - 1))
 
 
+def step_index(value: Column, ladder: Ladder) -> Column:
+    """Index of the ladder step holding ``value``; NULL for NULL, last step for NaN."""
+    return F.when(value.isNotNull(), known_step(value, ladder))
+
+
 def step_label(value: Column, ladder: Ladder) -> Column:
     """Label of the ladder step holding ``value``."""
     label = F.when(value.isNull(), F.lit(None).cast("string"))

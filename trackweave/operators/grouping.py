@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trackweave.functions import labels as L
 from trackweave.functions.scalars import KEY_NAMES
 from trackweave.operators.ranking import CELL_BITS, cell_of, cell_offsets, number_rows
-from trackweave.session import settle
+from trackweave.session import settle, settle_small
 
 VARIOUS = "Various_Tracks"
 VARIOUS_GID = -1
@@ -41,7 +41,7 @@ class GroupingRules:
 
 def usable(features: DataFrame) -> DataFrame:
     """Tracks that have the three measures the labels need."""
-    return features.dropna(subset=["bpm", "centroid", "danceability"])
+    return features.where("bpm IS NOT NULL AND centroid IS NOT NULL AND danceability IS NOT NULL")
 
 
 def label_tracks(features: DataFrame) -> DataFrame:
@@ -60,16 +60,21 @@ def label_tracks(features: DataFrame) -> DataFrame:
 
 def code_tracks(features: DataFrame) -> DataFrame:
     """Tracks with their packed group id and mood rank; only the columns grouping needs."""
-    key_slot = F.when(
-        L.valid_key(F.col("key")), F.col("key").cast("int") * 2 + F.when(F.col("scale") == 1, 1).otherwise(2)
-    ).otherwise(0)
-    mood = L.mood_rank(F.col("centroid"))
-    suffix = F.when(mood < 2, 0).when(mood == 2, 1).otherwise(2)
-    tempo, energy = L.step_index(F.col("bpm"), L.RULE_TEMPO), L.step_index(F.col("danceability"), L.RULE_ENERGY)
-    gid = ((tempo * len(L.RULE_ENERGY) + energy) * KEY_SLOTS + key_slot) * len(SUFFIXES) + suffix
-    return usable(features).select(
-        gid.cast("int").alias("gid"), mood.alias("mood"), "file_hash", "file_path", "ingest_seq"
+    steps = usable(features).select(
+        "file_hash",
+        "file_path",
+        "ingest_seq",
+        L.known_step(F.col("bpm"), L.RULE_TEMPO).alias("tempo"),
+        L.known_step(F.col("danceability"), L.RULE_ENERGY).alias("energy"),
+        L.known_step(F.col("centroid"), L.RULE_MOOD).alias("mood"),
+        F.when(L.valid_key(F.col("key")), F.col("key") * 2 + F.when(F.col("scale") == 1, 1).otherwise(2))
+        .otherwise(0)
+        .alias("key_slot"),
     )
+    suffix = F.when(F.col("mood") < 2, 0).when(F.col("mood") == 2, 1).otherwise(2)
+    pair = F.col("tempo") * len(L.RULE_ENERGY) + F.col("energy")
+    gid = (pair * KEY_SLOTS + F.coalesce("key_slot", F.lit(0))) * len(SUFFIXES) + suffix
+    return steps.select(gid.cast("int").alias("gid"), "mood", "file_hash", "file_path", "ingest_seq")
 
 
 def first_per_hash(coded: DataFrame) -> DataFrame:
@@ -127,6 +132,7 @@ def best_matches(groups: DataFrame, rules: GroupingRules) -> DataFrame:
     )
     wanted = small.select(*triple).distinct()
     near = wanted.withColumn("large_mood", F.explode(F.array(F.col("mood") - 1, F.col("mood"), F.col("mood") + 1)))
+    large = F.broadcast(large)
     pairs = (
         wanted.join(large, F.col("tempo") == F.col("large_tempo"))
         .unionByName(wanted.join(large, F.col("energy") == F.col("large_energy")))
@@ -144,7 +150,7 @@ def best_matches(groups: DataFrame, rules: GroupingRules) -> DataFrame:
         .agg(F.min(F.struct((-F.col("score")).alias("less"), "best")).alias("pick"))
         .select(*triple, F.col("pick.best.gid").alias("target"))
     )
-    return small.join(best, triple).select("gid", "target")
+    return small.join(F.broadcast(best), triple).select("gid", "target")
 
 
 def merge_map(groups: DataFrame, rules: GroupingRules) -> DataFrame:
@@ -155,7 +161,7 @@ def merge_map(groups: DataFrame, rules: GroupingRules) -> DataFrame:
     by_size = Window.orderBy(F.desc("size"), F.asc("first_seq"))
     per_final = Window.partitionBy("final_gid")
     return (
-        groups.join(best_matches(groups, rules), "gid", "left")
+        groups.join(F.broadcast(best_matches(groups, rules)), "gid", "left")
         .withColumn("size_order", F.row_number().over(by_size))
         .withColumn(
             "final_gid",
@@ -197,10 +203,13 @@ def split_moods(coded: DataFrame, plan: DataFrame, rules: GroupingRules) -> Data
     """Tracks with ``part``: the mood they are split by in oversize groups, -1 elsewhere."""
     info = plan.select("gid", "oversize", F.col("mood").alias("group_mood"))
     placed = coded.join(F.broadcast(info), "gid")
-    if rules.split_by == "track":
+    if plan.where("oversize").isEmpty():
+        part = F.lit(None).cast("int")
+    elif rules.split_by == "track":
         part = F.col("mood")
     else:
-        placed = placed.join(path_moods(coded, plan), "file_path", "left")
+        # Only stale paths are contested, so this side is normally small; it is counted.
+        placed = placed.join(settle_small(path_moods(coded, plan)), "file_path", "left")
         part = F.coalesce(F.col("path_mood"), F.col("group_mood"))
     return placed.select(
         "gid",
@@ -217,8 +226,10 @@ def segment_table(counts: DataFrame, plan: DataFrame, rules: GroupingRules) -> D
     ``counts`` is (gid, part, n, first_part_seq). When two playlists end with one name the
     later one replaces the earlier, at the earlier one's place in the playlist order.
     """
-    names = plan.select(F.col("gid").alias("final_gid"), F.col("playlist").alias("kept_name"))
-    orders = plan.where("gid = final_gid").select("final_gid", F.col("size_order").alias("kept_order"))
+    targets = plan.select("gid", "final_gid", "merge_rank")
+    kept = plan.where("gid = final_gid").select(
+        "final_gid", F.col("playlist").alias("kept_name"), F.col("size_order").alias("kept_order")
+    )
     playlist = F.concat_ws(
         "_",
         F.coalesce("kept_name", F.lit(VARIOUS)),
@@ -226,9 +237,8 @@ def segment_table(counts: DataFrame, plan: DataFrame, rules: GroupingRules) -> D
     )
     per_playlist = Window.partitionBy("final_gid", "part")
     entries = (
-        counts.join(plan.select("gid", "final_gid", "merge_rank"), "gid")
-        .join(names, "final_gid", "left")
-        .join(orders, "final_gid", "left")
+        counts.join(F.broadcast(targets), "gid")
+        .join(F.broadcast(kept), "final_gid", "left")
         .withColumn("playlist", playlist)
         .withColumn("kept_order", F.coalesce("kept_order", F.lit(GROUP_LIMIT + 1)))
         .withColumn("opened", F.min(F.struct("merge_rank", "first_part_seq")).over(per_playlist))
@@ -265,23 +275,27 @@ def rule_playlists(features: DataFrame, rules: GroupingRules = GroupingRules(),
     coded = code_tracks(features)
     if not unique_hashes:
         coded = first_per_hash(coded)
-    plan = settle(merge_map(one_partition(group_table(coded)), rules))
+    groups = settle(one_partition(group_table(coded)))
+    plan = settle(merge_map(groups, rules))
     split = split_moods(coded, plan, rules)
 
     segment = ["gid", "part"]
-    cells = split.groupBy(*segment, cell_of("ingest_seq").alias("cell")).agg(
-        F.count("*").alias("n"), F.min("ingest_seq").alias("first_part_seq")
+    cells = settle(
+        split.groupBy(*segment, cell_of("ingest_seq").alias("cell")).agg(
+            F.count("*").alias("n"), F.min("ingest_seq").alias("first_part_seq")
+        )
     )
     counts = cells.groupBy(*segment).agg(F.sum("n").alias("n"), F.min("first_part_seq").alias("first_part_seq"))
     segments = settle(segment_table(one_partition(counts), plan, rules))
 
-    numbered = number_rows(split, cell_offsets(cells.drop("first_part_seq"), segment), segment, "ingest_seq", "pos")
-    tracks = numbered.join(F.broadcast(segments), segment).select(
-        "playlist",
-        "playlist_order",
-        (F.col("before_segment") + F.col("pos")).alias("pos"),
-        "file_hash",
-        "file_path",
+    offsets = (
+        cell_offsets(cells.drop("first_part_seq"), segment)
+        .join(F.broadcast(segments.drop("n")), segment)
+        .withColumn("before", F.col("before") + F.col("before_segment"))
+        .drop("before_segment")
+    )
+    tracks = number_rows(split, settle_small(offsets), segment, "ingest_seq", "pos").select(
+        "playlist", "playlist_order", "pos", "file_hash", "file_path"
     )
     return RulePlaylists(tracks, playlist_summary(segments, plan))
 
@@ -291,17 +305,18 @@ def playlist_summary(segments: DataFrame, plan: DataFrame) -> DataFrame:
     owners = plan.where("gid = final_gid").select("final_gid", "bpm_group", "energy_group", "mood_group", "key_group")
     labels = ["bpm_group", "energy_group", "mood_group"]
     named = (
-        segments.join(plan.select("gid", "final_gid"), "gid")
+        segments.join(F.broadcast(plan.select("gid", "final_gid")), "gid")
         .groupBy("playlist", "playlist_order")
         .agg(F.sum("n").alias("size"), F.max(F.struct("final_gid", "part")).alias("owner"))
         .select("playlist", "playlist_order", "size", "owner.final_gid", "owner.part")
-        .join(owners, "final_gid", "left")
+        .join(F.broadcast(owners), "final_gid", "left")
     )
     split_mood = L.ladder_name(F.col("part"), L.RULE_MOOD)
     return named.select(
         "playlist",
         "playlist_order",
         "size",
+        (F.col("part") >= 0).alias("split"),
         *[
             F.when((F.col("part") >= 0), split_mood).otherwise(F.coalesce(c, F.lit("Various"))).alias(c)
             if c == "mood_group"

@@ -35,14 +35,17 @@ def cell_offsets(cells: DataFrame, keys: list[str], bits: int = CELL_BITS) -> Da
 
 
 def number_rows(rows: DataFrame, offsets: DataFrame, keys: list[str], order: str, out: str, bits: int = CELL_BITS):
-    """Add the 1-based position ``out``: the cell's offset plus the row's rank in its cell."""
+    """Add the 1-based position ``out``: the cell's offset plus the row's rank in its cell.
+
+    Columns of ``offsets`` other than the keys, ``cell`` and ``before`` are added too.
+    """
     in_cell = Window.partitionBy(*keys, "cell").orderBy(order)
     return (
         rows.withColumn("cell", cell_of(order, bits))
-        .withColumn(out, F.row_number().over(in_cell).cast("long"))
+        .withColumn("rank_in_cell", F.row_number().over(in_cell))
         .join(offsets, [*keys, "cell"])
-        .withColumn(out, F.col(out) + F.col("before"))
-        .drop("cell", "before")
+        .withColumn(out, F.col("before") + F.col("rank_in_cell"))
+        .drop("cell", "before", "rank_in_cell")
     )
 
 

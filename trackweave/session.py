@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str = "trackweave", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -14,6 +15,7 @@ def local_session(app: str = "trackweave", cores: int | str = "*", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
@@ -47,3 +49,13 @@ def settle(df: DataFrame) -> DataFrame:
     """
     use_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+# Rows up to which a settled side is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def settle_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Settle ``df`` and mark it for broadcasting only if its counted size allows it."""
+    settled = settle(df)
+    return F.broadcast(settled) if settled.count() <= limit else settled
