@@ -1,5 +1,10 @@
 """All registered queries by name."""
 
-from trackweave.catalog import rule_queries
+from trackweave.catalog import cache_queries, cluster_queries, path_queries, rule_queries
 
-QUERIES = {**rule_queries.QUERIES}
+QUERIES = {
+    **rule_queries.QUERIES,
+    **cache_queries.QUERIES,
+    **cluster_queries.QUERIES,
+    **path_queries.QUERIES,
+}

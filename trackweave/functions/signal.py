@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The sample rate tracks are decoded at, and the shortest lengths (in
 # samples) for measuring anything and for estimating a key.
@@ -21,7 +22,10 @@ MIN_SAMPLES = SAMPLE_RATE
 MIN_KEY_SAMPLES = 3 * SAMPLE_RATE
 
 
-@F.arrow_udf("struct<rms double, zcr double, slope double>")
+MEASURED = T.StructType([T.StructField(c, T.DoubleType()) for c in ("rms", "zcr", "slope")])
+
+
+@F.arrow_udf(MEASURED)
 def _measure(samples: pa.Array) -> pa.Array:
     """Per array: root mean square, sign changes per sample, norm(difference)/norm(signal)."""
     rows = len(samples)

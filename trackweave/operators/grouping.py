@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trackweave.functions import labels as L
 from trackweave.functions.scalars import KEY_NAMES
 from trackweave.operators.ranking import CELL_BITS, cell_of, cell_offsets, number_rows
-from trackweave.session import settle, settle_small
+from trackweave.session import BROADCAST_ROWS, settle, settle_small
 
 VARIOUS = "Various_Tracks"
 VARIOUS_GID = -1
@@ -294,7 +294,9 @@ def rule_playlists(features: DataFrame, rules: GroupingRules = GroupingRules(),
         .withColumn("before", F.col("before") + F.col("before_segment"))
         .drop("before_segment")
     )
-    tracks = number_rows(split, settle_small(offsets), segment, "ingest_seq", "pos").select(
+    if cells.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    tracks = number_rows(split, offsets, segment, "ingest_seq", "pos").select(
         "playlist", "playlist_order", "pos", "file_hash", "file_path"
     )
     return RulePlaylists(tracks, playlist_summary(segments, plan))
