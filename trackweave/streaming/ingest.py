@@ -51,6 +51,7 @@ def watch_directory(
     """
     stream = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
         .option("recursiveFileLookup", "true")
         .load(music_dir)
         .select("path", "length", "modificationTime")
