@@ -87,7 +87,7 @@ def _coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(G.one_partition(G.group_table(_coded(spark, sf_dir))))
+    return G.one_partition(G.group_table(_coded(spark, sf_dir)))
 
 
 def label_rule(spark, sf_dir):
@@ -189,7 +189,7 @@ def group_sizes_ranked(spark, sf_dir):
 
 
 def merge_small(spark, sf_dir):
-    plan = G.merge_map(_groups(spark, sf_dir), G.GroupingRules())
+    plan = settle(G.merge_map(_groups(spark, sf_dir), G.GroupingRules()))
     finals = plan.where("gid = final_gid").select("final_gid", F.col("playlist").alias("final_name"))
     return plan.join(finals, "final_gid", "left").select(
         "playlist",
@@ -236,7 +236,7 @@ def playlist_positions(spark, sf_dir):
 def split_path_mood(spark, sf_dir):
     """Paths held by several groups, with the mood they are split by."""
     coded = _coded(spark, sf_dir)
-    moods = G.path_moods(coded, _groups(spark, sf_dir))
+    moods = G.path_moods(coded, settle(_groups(spark, sf_dir)))
     return moods.select("file_path", L.ladder_name(F.col("path_mood"), L.RULE_MOOD).alias("path_mood"))
 
 

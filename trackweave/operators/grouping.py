@@ -80,11 +80,22 @@ def code_tracks(features: DataFrame) -> DataFrame:
 def first_per_hash(coded: DataFrame) -> DataFrame:
     """One row per (group, hash), the first in scan order.
 
-    The filter on ``row_number`` lets Spark keep one row per key before the shuffle, so a
-    hash repeated by a third of the rows arrives as one row per map task.
+    Only keys that do repeat are looked for, by a hash aggregate that combines copies before
+    the shuffle; they are few in a kept-up table, so dropping the later copies is normally
+    a broadcast join (their count decides) and the tracks are not moved.
     """
-    first = Window.partitionBy("gid", "file_hash").orderBy("ingest_seq")
-    return coded.withColumn("rn", F.row_number().over(first)).where("rn = 1").drop("rn")
+    key = ["gid", "file_hash"]
+    repeated = (
+        coded.groupBy(*key)
+        .agg(F.min("ingest_seq").alias("first_copy"), F.count("*").alias("copies"))
+        .where("copies > 1")
+        .drop("copies")
+    )
+    return (
+        coded.join(settle_small(repeated), key, "left")
+        .where("first_copy IS NULL OR first_copy = ingest_seq")
+        .drop("first_copy")
+    )
 
 
 def group_table(coded: DataFrame) -> DataFrame:
@@ -117,60 +128,56 @@ def group_table(coded: DataFrame) -> DataFrame:
 
 
 def best_matches(groups: DataFrame, rules: GroupingRules) -> DataFrame:
-    """(gid, target) of each small group that finds a large group worth joining.
+    """Add ``size_order`` and ``target``, the large group each small group joins (or NULL).
 
-    A score depends only on tempo, energy and first mood of both sides, so small and large
-    groups are reduced to one row per such triple (125 at most) before they are paired by
-    three equi-joins: every pair with a positive score shares tempo, energy or a near mood.
+    A score depends only on tempo, energy and first mood of both sides, and among large
+    groups alike in all three the biggest wins. So the candidates are one group per such
+    triple, 125 at most; they travel as one array beside the group rows, and the best one
+    is picked per row. No pairs are made and the one-partition table needs no shuffle.
     """
-    triple = ["tempo", "energy", "mood"]
-    small = groups.where(F.col("size") < rules.min_size)
-    large = (
-        groups.where(F.col("size") >= rules.min_size)
-        .groupBy(*[F.col(c).alias(f"large_{c}") for c in triple])
-        .agg(F.min(F.struct((-F.col("size")).alias("less"), "first_seq", "gid")).alias("best"))
+    by_size = [F.desc("size"), F.asc("first_seq")]
+    alike = Window.partitionBy("tempo", "energy", "mood").orderBy(*by_size)
+    everything = Window.partitionBy(F.lit(0))
+    large = F.col("size") >= rules.min_size
+    candidate = F.when(
+        large & (F.col("alike_order") == 1), F.struct("tempo", "energy", "mood", "size_order", "gid")
     )
-    wanted = small.select(*triple).distinct()
-    near = wanted.withColumn("large_mood", F.explode(F.array(F.col("mood") - 1, F.col("mood"), F.col("mood") + 1)))
-    large = F.broadcast(large)
-    pairs = (
-        wanted.join(large, F.col("tempo") == F.col("large_tempo"))
-        .unionByName(wanted.join(large, F.col("energy") == F.col("large_energy")))
-        .unionByName(near.join(large, "large_mood"))
-    )
-    score = (
-        F.when(F.col("tempo") == F.col("large_tempo"), rules.tempo_weight).otherwise(0.0)
-        + F.when(F.col("energy") == F.col("large_energy"), rules.energy_weight).otherwise(0.0)
-        + F.when(F.abs(F.col("mood") - F.col("large_mood")) <= 1, rules.mood_weight).otherwise(0.0)
-    )
-    best = (
-        pairs.withColumn("score", score)
-        .where((F.col("score") > 0) & (F.col("score") >= rules.accept_score))
-        .groupBy(*triple)
-        .agg(F.min(F.struct((-F.col("score")).alias("less"), "best")).alias("pick"))
-        .select(*triple, F.col("pick.best.gid").alias("target"))
+
+    def scored(other):
+        same_tempo = F.col("tempo") == other.getField("tempo")
+        same_energy = F.col("energy") == other.getField("energy")
+        near_mood = F.abs(F.col("mood") - other.getField("mood")) <= 1
+        score = (
+            F.when(same_tempo, rules.tempo_weight).otherwise(0.0)
+            + F.when(same_energy, rules.energy_weight).otherwise(0.0)
+            + F.when(near_mood, rules.mood_weight).otherwise(0.0)
+        )
+        good = (score > 0) & (score >= rules.accept_score)
+        return F.when(
+            good, F.struct((-score).alias("less"), other.getField("size_order"), other.getField("gid").alias("gid"))
+        )
+
+    best = F.array_min(F.transform("candidates", scored)).getField("gid")
+    return (
+        groups.withColumn("size_order", F.row_number().over(Window.orderBy(*by_size)))
+        .withColumn("alike_order", F.row_number().over(alike))
+        .withColumn("candidates", F.collect_list(candidate).over(everything))
+        .withColumn("target", F.when(~large, best))
+        .drop("alike_order", "candidates")
     )
-    return small.join(F.broadcast(best), triple).select("gid", "target")
 
 
 def merge_map(groups: DataFrame, rules: GroupingRules) -> DataFrame:
     """Every group with its final group, its rank there (0 = own) and the final size.
 
-    ``final_order`` ranks final groups by size before merging; Various_Tracks comes last.
+    ``size_order`` ranks groups by size before merging; Various_Tracks comes last.
     """
-    by_size = Window.orderBy(F.desc("size"), F.asc("first_seq"))
-    per_final = Window.partitionBy("final_gid")
+    own = F.col("size") >= rules.min_size
     return (
-        groups.join(F.broadcast(best_matches(groups, rules)), "gid", "left")
-        .withColumn("size_order", F.row_number().over(by_size))
-        .withColumn(
-            "final_gid",
-            F.when(F.col("size") >= rules.min_size, F.col("gid")).otherwise(
-                F.coalesce(F.col("target"), F.lit(VARIOUS_GID))
-            ),
-        )
-        .withColumn("merge_rank", F.when(F.col("gid") == F.col("final_gid"), 0).otherwise(F.col("size_order")))
-        .withColumn("final_size", F.sum("size").over(per_final))
+        best_matches(groups, rules)
+        .withColumn("final_gid", F.when(own, F.col("gid")).otherwise(F.coalesce("target", F.lit(VARIOUS_GID))))
+        .withColumn("merge_rank", F.when(own, 0).otherwise(F.col("size_order")))
+        .withColumn("final_size", F.sum("size").over(Window.partitionBy("final_gid")))
         .withColumn("oversize", F.col("final_size") > rules.max_size)
         .drop("target")
     )
@@ -275,8 +282,7 @@ def rule_playlists(features: DataFrame, rules: GroupingRules = GroupingRules(),
     coded = code_tracks(features)
     if not unique_hashes:
         coded = first_per_hash(coded)
-    groups = settle(one_partition(group_table(coded)))
-    plan = settle(merge_map(groups, rules))
+    plan = settle(merge_map(one_partition(group_table(coded)), rules))
     split = split_moods(coded, plan, rules)
 
     segment = ["gid", "part"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackweave.session import BROADCAST_ROWS, settle
+
 # Rows per innermost cell are at most 2**CELL_BITS, because the order column is unique.
 CELL_BITS = 20
 
@@ -56,5 +58,8 @@ def position_within(rows: DataFrame, keys: list[str], order: str, out: str = "po
     of consecutive order values: a group holding a third of a huge table is sorted by
     many tasks. Key columns must not be NULL.
     """
-    counted = rows.groupBy(*keys, cell_of(order, bits).alias("cell")).agg(F.count("*").alias("n"))
-    return number_rows(rows, cell_offsets(counted, keys, bits), keys, order, out, bits)
+    counted = settle(rows.groupBy(*keys, cell_of(order, bits).alias("cell")).agg(F.count("*").alias("n")))
+    offsets = cell_offsets(counted, keys, bits)
+    if counted.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    return number_rows(rows, offsets, keys, order, out, bits)
