@@ -11,9 +11,10 @@ from trackweave.catalog.inputs import TRACKS, Query, table, tracks
 from trackweave.functions import paths as P
 from trackweave.functions import scalars as N
 from trackweave.operators import cache as C
-from trackweave.operators.extraction import extract_measures
+from trackweave.operators import extraction as E
 from trackweave.schema import ADDED_COLUMN_DEFAULTS, evolve_features
 from trackweave.session import use_checkpoint_dir
+from trackweave.sources.files import big_enough as list_big
 from trackweave.sources.files import list_files
 from trackweave.sources.table import KeyedTable
 from trackweave.streaming.ingest import upsert_stream
@@ -146,6 +147,45 @@ def unlink_changed(spark, sf_dir):
     return C.unlink_changed(_links(spark, sf_dir), tracks(spark, sf_dir), changed)
 
 
+def unlink_listed(spark, sf_dir):
+    """Links without those of a given list of changed paths."""
+    listed = tracks(spark, sf_dir).where("status = 'P'").select("file_path")
+    return C.unlink_changed(_links(spark, sf_dir), tracks(spark, sf_dir), listed)
+
+
+def stamp_playlists(spark, sf_dir):
+    """Every playlist updated at the time of the newest order."""
+    newest = table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).scalar()
+    return C.stamp_updated(_playlists(spark, sf_dir), newest)
+
+
+def fill_required(spark, sf_dir):
+    return E.fill_required(tracks(spark, sf_dir)).select("ingest_seq", "bpm", "centroid", "duration", "danceability")
+
+
+def clamp_confidence(spark, sf_dir):
+    """Confidences between -0.5 and 1.5, some missing or NaN."""
+    raw = F.when(F.col("key").isNull(), F.lit(float("nan"))).otherwise(F.col("beat_confidence") * 2 - F.lit(0.5))
+    raw = F.when(F.col("bpm").isNotNull(), raw)
+    return tracks(spark, sf_dir).select("ingest_seq", F.round(N.beat_confidence(raw), 6).alias("confidence"))
+
+
+def cached_and_fresh(spark, sf_dir):
+    """Cached measures of the hits together with defaults for the misses, as one list."""
+    found = C.lookup(_files(spark, sf_dir), _cached(spark, sf_dir))
+    columns = ["file_path", "file_hash", "is_hit", "bpm", "key"]
+    fresh = found.where("NOT is_hit").withColumns(
+        {"bpm": F.lit(E.MEASURE_DEFAULTS["bpm"]), "key": F.lit(E.MEASURE_DEFAULTS["key"])}
+    )
+    return found.where("is_hit").select(*columns).unionByName(fresh.select(*columns))
+
+
+def big_enough(spark, sf_dir):
+    """Order lines as files of some hundred bytes per unit: those large enough to be audio."""
+    sized = table(spark, sf_dir, "lineitem").withColumn("length", (F.col("l_quantity") * 100).cast("long"))
+    return list_big(sized).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "length")
+
+
 def orphan_links(spark, sf_dir):
     return C.orphan_links(_links(spark, sf_dir), _playlists(spark, sf_dir), tracks(spark, sf_dir))
 
@@ -244,7 +284,7 @@ def _measure_bytes(path: str, content: bytes) -> dict:
 def map_extract(spark, sf_dir):
     """Every table file is read whole by an isolated call; one of them fails on purpose."""
     files = list_files(spark, sf_dir).where(F.col("file_path").endswith(".parquet"))
-    return extract_measures(files, _measure_bytes).select("file_path", "duration", "bpm", "key", "error")
+    return E.extract_measures(files, _measure_bytes).select("file_path", "duration", "bpm", "key", "error")
 
 
 LATEST_EVENT = T.StructType(
@@ -316,6 +356,38 @@ QUERIES = {
         f"""{PLAYLISTS} SELECT playlist_id, file_hash FROM links WHERE file_hash NOT IN (
           SELECT file_hash FROM tracks WHERE file_path IN (SELECT file_path FROM changed))""",
     ),
+    "unlink_listed": Query(
+        unlink_listed,
+        f"""{PLAYLISTS} SELECT playlist_id, file_hash FROM links WHERE file_hash NOT IN (
+          SELECT file_hash FROM tracks WHERE file_path IN (SELECT file_path FROM tracks WHERE status = 'P'))""",
+    ),
+    "stamp_playlists": Query(
+        stamp_playlists,
+        f"""{PLAYLISTS} SELECT CAST(id AS BIGINT) AS id, (SELECT max(o_orderdate) FROM orders) AS last_updated
+        FROM playlists""",
+    ),
+    "fill_required": Query(
+        fill_required,
+        f"""{TRACKS} SELECT ingest_seq, coalesce(bpm, 0e0) AS bpm, coalesce(centroid, 0e0) AS centroid,
+          coalesce(duration, 0e0) AS duration, danceability FROM tracks""",
+    ),
+    "clamp_confidence": Query(
+        clamp_confidence,
+        f"""{TRACKS} SELECT ingest_seq, CASE WHEN bpm IS NULL THEN NULL WHEN key IS NULL THEN 1e0
+          ELSE round(greatest(0e0, least(1e0, beat_confidence * 2 - 5e-1)), 6) END AS confidence FROM tracks""",
+    ),
+    "cached_and_fresh": Query(
+        cached_and_fresh,
+        f"""{FILES} SELECT f.file_path, f.file_hash, c.file_hash IS NOT NULL AS is_hit,
+          CASE WHEN c.file_hash IS NULL THEN 0e0 ELSE c.bpm END AS bpm,
+          CASE WHEN c.file_hash IS NULL THEN -1 ELSE c.key END AS key
+        FROM files f LEFT JOIN cached c ON f.file_hash = c.file_hash AND c.cached_at >= f.last_modified""",
+    ),
+    "big_enough": Query(
+        big_enough,
+        """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity * 100 AS BIGINT) AS length
+        FROM lineitem WHERE l_quantity * 100 >= 1024""",
+    ),
     "orphan_links": Query(
         orphan_links,
         f"""{PLAYLISTS} SELECT playlist_id, file_hash, 'playlist' AS broken FROM links

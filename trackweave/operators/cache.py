@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackweave.functions.paths import basename
 from trackweave.functions.scalars import as_float, as_int
 from trackweave.schema import INTEGER_MEASURES, MEASURES
+from trackweave.session import settle_small
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
@@ -78,6 +79,11 @@ def changed_since(features: DataFrame, playlists: DataFrame, null_watermark: str
     return features.where(newer | watermark.isNull() if null_watermark == "all" else newer)
 
 
+def stamp_updated(playlists: DataFrame, moment: Column) -> DataFrame:
+    """Playlists with one update time for all."""
+    return playlists.withColumn("last_updated", moment)
+
+
 def unlink_changed(links: DataFrame, features: DataFrame, changed: DataFrame) -> DataFrame:
     """Playlist links without those to a file among the ``changed`` paths."""
     touched = features.join(changed.select("file_path").distinct(), "file_path", "left_semi")
@@ -88,7 +94,7 @@ def orphan_links(links: DataFrame, playlists: DataFrame, features: DataFrame) ->
     """Links that point to no playlist or to no feature row, with the broken side named."""
     known = playlists.select(F.col("id").alias("playlist_id"))
     # Playlist ids repeat a lot: reduce them before joining, so no id is a hot join key.
-    stray = links.select("playlist_id").distinct().join(known, "playlist_id", "left_anti")
+    stray = settle_small(links.select("playlist_id").distinct().join(known, "playlist_id", "left_anti"))
     no_playlist = links.join(stray, "playlist_id", "left_semi").withColumn("broken", F.lit("playlist"))
     no_track = links.join(features.select("file_hash"), "file_hash", "left_anti")
     return no_playlist.unionByName(no_track.withColumn("broken", F.lit("track")))

@@ -26,6 +26,10 @@ class KeyedTable:
         self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, keys
         self.newest_by = newest_by
         self.seq = seq
+        # Inside one batch the sequence numbers do not exist yet: the other columns decide,
+        # all of them, so a recomputed task picks the same row.
+        known = [c for c in newest_by if c != seq]
+        self.batch_order = known + [c for c in schema.names if c not in {*known, *keys, seq}]
 
     def _manifests(self) -> list[str]:
         names = storage.child_names(self.spark, f"{self.root}/manifest")
@@ -68,11 +72,12 @@ class KeyedTable:
         """
         part = f"part-{tag or uuid.uuid4().hex}"
         others = [p for p in self.parts() if p != part]
+        newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.batch_order])
         if self.seq:
             top = self._union(others).agg(F.max(self.seq)).first()[0] if others else None
             start = 0 if top is None else top + 1
-            rows = rows.withColumn(self.seq, F.monotonically_increasing_id() + F.lit(start).cast("long"))
-        newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
+            # Numbered in the writing stage itself: each task commits its file as a whole.
+            newest = newest.withColumn(self.seq, F.monotonically_increasing_id() + F.lit(start).cast("long"))
         newest.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/{part}")
         self._publish([*others, part])
         return part
@@ -105,6 +110,8 @@ class FeatureTable(KeyedTable):
 
     def __init__(self, spark: SparkSession, root: str, newest_by: list[str] | None = None):
         super().__init__(spark, root, FEATURES_SCHEMA, ["file_hash"], newest_by or ["ingest_seq"], "ingest_seq")
+        recent = ["last_modified", "last_analyzed"]
+        self.batch_order = recent + [c for c in self.batch_order if c not in recent]
 
     def _load(self, part: str) -> DataFrame:
         return evolve_features(super()._load(part))
