@@ -44,13 +44,27 @@ def test_table_keeps_newest_row_and_survives_rewrites(spark, tmp_path):
 def test_older_parts_get_defaults_for_added_columns(spark, tmp_path):
     table = FeatureTable(spark, str(tmp_path / "t"))
     table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0)]), "one")
-    part = table.parts()[0]
+    part = list(table.parts())[0]
     spark.read.parquet(f"{table.root}/{part}").drop("key", "zcr").write.parquet(f"{table.root}/part-old")
-    table._publish(["part-old"])
+    table._publish({"part-old": 0})
     row = table.read().first()
     assert (row.key, row.zcr) == (-1, 0.0)
 
 
+def test_forgotten_keys_come_back_when_added_again(spark, tmp_path):
+    table = FeatureTable(spark, str(tmp_path / "t"))
+    table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0), ("b", "/b", 1.0, 1.0), ("c", "/c", 1.0, 1.0)]))
+    gone = spark.createDataFrame([("a",), ("b",)], "file_hash string")
+    table.forget(gone)
+    assert [r.file_hash for r in table.read().collect()] == ["c"]
+    table.append(feature_rows(spark, [("b", "/b", 5.0, 1.0)]))
+    want = {"b": 5.0, "c": 1.0}
+    assert {r.file_hash: r.bpm for r in table.read().collect()} == want
+    table.compact()
+    assert len(table.parts()) == 1 and {r.file_hash: r.bpm for r in table.read().collect()} == want
+    assert len({r.ingest_seq for r in table.read().collect()}) == 2
+
+
 def tracks_of(spark, sizes):
     rows = [(n, o, p, f"/music/{n}/{p}.mp3") for o, (n, s) in enumerate(sizes.items(), 1) for p in range(1, s + 1)]
     df = spark.createDataFrame(rows, "playlist string, playlist_order int, pos long, file_path string").repartition(5)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackweave.functions.paths import basename
 from trackweave.functions.scalars import as_float, as_int
 from trackweave.schema import INTEGER_MEASURES, MEASURES
-from trackweave.session import settle_small
+from trackweave.session import BROADCAST_ROWS, settle, settle_small
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
@@ -31,10 +31,10 @@ def coerce_measures(rows: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest_first: list[Column]) -> DataFrame:
     """Old rows whose key is not in ``new``, and the newest row of every key in ``new``.
 
-    ``old`` has one row per key already, so only ``new`` is ranked; a small ``new`` is
-    broadcast by its measured size and the old table is not shuffled at all.
+    ``old`` has one row per key already, so only ``new`` is ranked. The new keys are counted
+    first: a small batch is broadcast and the old table is not shuffled at all.
     """
-    replaced = new.select(*keys).distinct()
+    replaced = settle_small(new.select(*keys).distinct())
     return old.join(replaced, keys, "left_anti").unionByName(latest_per_key(new, keys, newest_first))
 
 
@@ -42,12 +42,17 @@ def lookup(files: DataFrame, features: DataFrame) -> DataFrame:
     """Each listed file with its cached measures, if a row at least as new exists.
 
     ``files`` needs file_hash, file_path and last_modified. A hit keeps the current path.
-    Hashes are unique in ``features``, so copies of one file multiply nothing; a hash that
-    many files share is split by the adaptive skew join.
+    Hashes are unique in ``features``, so copies of one file multiply nothing. The distinct
+    hashes are counted: when few, the table is filtered by them in its scan and what is left
+    is broadcast, so neither side is shuffled; otherwise both are, and a hash that many
+    files share is split by the adaptive skew join.
     """
     cached = features.select(
         "file_hash", F.col("last_modified").alias("cached_modified"), *MEASURES, F.lit(True).alias("found")
     )
+    wanted = settle(files.select("file_hash").distinct())
+    if wanted.count() <= BROADCAST_ROWS:
+        cached = F.broadcast(cached.join(F.broadcast(wanted), "file_hash", "left_semi"))
     current = (files["file_hash"] == cached["file_hash"]) & (cached["cached_modified"] >= files["last_modified"])
     return (
         files.join(cached, current, "left")
@@ -86,8 +91,8 @@ def stamp_updated(playlists: DataFrame, moment: Column) -> DataFrame:
 
 def unlink_changed(links: DataFrame, features: DataFrame, changed: DataFrame) -> DataFrame:
     """Playlist links without those to a file among the ``changed`` paths."""
-    touched = features.join(changed.select("file_path").distinct(), "file_path", "left_semi")
-    return links.join(touched.select("file_hash").distinct(), "file_hash", "left_anti")
+    touched = features.join(settle_small(changed.select("file_path").distinct()), "file_path", "left_semi")
+    return links.join(settle_small(touched.select("file_hash").distinct()), "file_hash", "left_anti")
 
 
 def orphan_links(links: DataFrame, playlists: DataFrame, features: DataFrame) -> DataFrame:

@@ -57,10 +57,10 @@ def purge(workspace: Workspace, listing: DataFrame, music_dir: str) -> DataFrame
     below = features.where(F.col("file_path").startswith(music_dir.rstrip("/") + "/"))
     if listing.isEmpty() and not below.isEmpty():
         raise RuntimeError(f"no files found below {music_dir}; refusing to purge the feature table")
-    missing = settle(C.missing_rows(below, listing).select("file_path").distinct())
+    missing = settle(C.missing_rows(below, listing).select("file_path", "file_hash"))
     if not missing.isEmpty():
-        workspace.features.rewrite(features.join(missing, "file_path", "left_anti"))
-    return missing
+        workspace.features.forget(missing)
+    return missing.select("file_path").distinct()
 
 
 def analyse(workspace: Workspace, files: DataFrame, extractor: Extractor, tasks: int | None = None) -> DataFrame:

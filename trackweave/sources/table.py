@@ -1,8 +1,8 @@
 """Keyed Parquet tables that are changed by writing new parts and swapping a manifest.
 
-``append`` costs as much as its rows: it writes them as one more part. ``read`` keeps the
-newest row of each key, which is free of any shuffle while the table is one part, and
-``rewrite`` makes it one part again. A crash leaves the former manifest in force.
+``append`` and ``forget`` cost as much as their rows: they write one more part. ``read``
+keeps the newest row of each key, which needs no shuffle while the table is one part, and
+``compact`` makes it one part again. A crash leaves the former manifest in force.
 """
 
 from __future__ import annotations
@@ -16,10 +16,17 @@ from pyspark.sql import types as T
 
 from trackweave.operators.cache import latest_per_key
 from trackweave.schema import FEATURES_SCHEMA, evolve_features
+from trackweave.session import BROADCAST_ROWS
 from trackweave.sources import storage
 
 
 class KeyedTable:
+    """A table with unique ``keys``; among rows of one key the largest ``newest_by`` wins.
+
+    ``seq`` names a bigint column that numbers rows in order of arrival; only tables that
+    have one can ``forget`` keys.
+    """
+
     def __init__(
         self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], newest_by: list[str], seq: str = ""
     ):
@@ -35,32 +42,46 @@ class KeyedTable:
         names = storage.child_names(self.spark, f"{self.root}/manifest")
         return sorted(n for n in names if n.isdigit())
 
-    def parts(self) -> list[str]:
-        """Part names in force; none while the table does not exist."""
+    def parts(self) -> dict[str, int]:
+        """Parts in force with their largest sequence number; none while the table is new."""
         manifests = self._manifests()
         if not manifests:
-            return []
-        lines = self.spark.read.text(f"{self.root}/manifest/{manifests[-1]}").orderBy("value").collect()
-        return [line.value for line in lines if line.value]
+            return {}
+        lines = self.spark.read.text(f"{self.root}/manifest/{manifests[-1]}").collect()
+        entries = [line.value.split(" ") for line in lines if line.value]
+        return {name: int(top) for name, top in sorted(entries)}
 
-    def _publish(self, parts: list[str]) -> None:
+    def _publish(self, parts: dict[str, int]) -> None:
         manifests = self._manifests()
         number = int(manifests[-1]) + 1 if manifests else 1
-        storage.write_text(self.spark, f"{self.root}/manifest/{number:010d}", "\n".join(sorted(parts)) + "\n")
+        lines = "".join(f"{name} {top}\n" for name, top in sorted(parts.items()))
+        storage.write_text(self.spark, f"{self.root}/manifest/{number:010d}", lines or "\n")
 
     def _load(self, part: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{part}")
 
-    def _union(self, parts: list[str]) -> DataFrame:
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._load(p) for p in parts])
+    def _top(self, part: str) -> int:
+        if not self.seq:
+            return -1
+        top = self._load(part).agg(F.max(self.seq)).first()[0]
+        return -1 if top is None else top
 
     def read(self) -> DataFrame:
         """The newest row of each key; an absent table is empty."""
         parts = self.parts()
-        if not parts:
+        kept = [self._load(p) for p in parts if not p.startswith("gone-")]
+        if not kept:
             return self.spark.createDataFrame([], self.schema)
-        rows = self._union(parts)
-        if len(parts) > 1:
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept)
+        gone = [p for p in parts if p.startswith("gone-")]
+        if gone:
+            marks = self.spark.read.parquet(*[f"{self.root}/{p}" for p in gone])
+            marks = marks.groupBy(*self.keys).agg(F.max("last_seq").alias("last_seq"))
+            if marks.count() <= BROADCAST_ROWS:
+                marks = F.broadcast(marks)
+            same = [rows[k] == marks[k] for k in self.keys]
+            rows = rows.join(marks, [*same, rows[self.seq] <= marks["last_seq"]], "left_anti")
+        if len(kept) > 1:
             rows = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
         return rows
 
@@ -71,35 +92,40 @@ class KeyedTable:
         batch counts once. Sequence numbers continue after those of the other parts.
         """
         part = f"part-{tag or uuid.uuid4().hex}"
-        others = [p for p in self.parts() if p != part]
+        others = {p: top for p, top in self.parts().items() if p != part}
         newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.batch_order])
         if self.seq:
-            top = self._union(others).agg(F.max(self.seq)).first()[0] if others else None
-            start = 0 if top is None else top + 1
+            start = max(others.values(), default=-1) + 1
             # Numbered in the writing stage itself: each task commits its file as a whole.
             newest = newest.withColumn(self.seq, F.monotonically_increasing_id() + F.lit(start).cast("long"))
         newest.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/{part}")
-        self._publish([*others, part])
+        self._publish({**others, part: self._top(part)})
         return part
 
+    def forget(self, keys: DataFrame) -> None:
+        """Delete the rows of ``keys`` by writing only the keys; rows added later count again."""
+        parts = self.parts()
+        part = f"gone-{uuid.uuid4().hex}"
+        last = max(parts.values(), default=-1)
+        marked = keys.select(*self.keys).distinct().withColumn("last_seq", F.lit(last).cast("long"))
+        marked.write.parquet(f"{self.root}/{part}")
+        self._publish({**parts, part: last})
+
     def rewrite(self, rows: DataFrame) -> None:
         """Replace the whole table by ``rows`` (one row per key), as a single part."""
         part = f"base-{uuid.uuid4().hex}"
         rows.select(*self.schema.names).write.parquet(f"{self.root}/{part}")
-        self._publish([part])
+        self._publish({part: self._top(part)})
 
     def compact(self) -> None:
         if len(self.parts()) > 1:
             self.rewrite(self.read())
 
     def vacuum(self) -> list[str]:
-        """Delete parts no manifest in force names; only when nothing reads older ones."""
+        """Delete parts the manifest in force does not name; only when nothing reads older ones."""
         keep = set(self.parts())
-        stale = [
-            n
-            for n in storage.child_names(self.spark, self.root)
-            if n.startswith(("part-", "base-")) and n not in keep
-        ]
+        found = storage.child_names(self.spark, self.root)
+        stale = [n for n in found if n.startswith(("part-", "base-", "gone-")) and n not in keep]
         for name in stale:
             storage.delete(self.spark, f"{self.root}/{name}")
         return stale
