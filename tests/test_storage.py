@@ -201,7 +201,7 @@ def test_stream_in_one_or_many_batches_gives_one_table(spark, tmp_path):
     for files in (1, 10):
         table = FeatureTable(spark, str(tmp_path / f"t{files}"), newest_by=["last_modified", "ingest_seq"])
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-        upsert_stream(stream, table, str(tmp_path / f"p{files}"), compact_parts=2).awaitTermination()
+        upsert_stream(stream, table, str(tmp_path / f"p{files}"), merge_batches=2).awaitTermination()
         results.append(sorted((r.file_hash, r.bpm, r.last_modified) for r in table.read().collect()))
     assert results[0] == results[1] == [("a", 3.0, 20.0), ("b", 2.0, 30.0), ("c", 4.0, 5.0)]
 

@@ -117,7 +117,21 @@ class KeyedTable:
         rows.select(*self.schema.names).write.parquet(f"{self.root}/{part}")
         self._publish({part: self._top(part)})
 
+    def merge_batches(self) -> None:
+        """Merge the parts of single micro-batches into one; larger parts are not touched."""
+        parts = self.parts()
+        batches = [p for p in parts if p.startswith("part-batch-")]
+        if len(batches) < 2:
+            return
+        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._load(p) for p in batches])
+        merged = f"part-merged-{uuid.uuid4().hex}"
+        newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
+        newest.select(*self.schema.names).write.parquet(f"{self.root}/{merged}")
+        rest = {p: top for p, top in parts.items() if p not in batches}
+        self._publish({**rest, merged: max(parts[p] for p in batches)})
+
     def compact(self) -> None:
+        """Fold every part into one, without deleted rows."""
         if len(self.parts()) > 1:
             self.rewrite(self.read())
 

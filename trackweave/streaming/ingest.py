@@ -13,24 +13,25 @@ from trackweave.session import settle
 from trackweave.sources.files import big_enough, describe_files, too_small
 from trackweave.sources.table import FeatureTable, KeyedTable
 
-COMPACT_PARTS = 32
+MERGE_BATCHES = 32
 
 
 def upsert_stream(
-    rows: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = True, compact_parts: int = COMPACT_PARTS
+    rows: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = True, merge_batches: int = MERGE_BATCHES
 ) -> StreamingQuery:
     """Upsert every micro-batch of ``rows`` into ``table``.
 
     A batch adds one part named after its number, so its cost follows the batch and a
     replay replaces the part it wrote before. Which row of a key is newest is decided by
-    the table (``newest_by``), within and across batches: late rows never win. Parts are
-    merged once there are ``compact_parts``.
+    the table (``newest_by``), within and across batches: late rows never win. Every
+    ``merge_batches`` batches their parts are merged; ``table.compact()`` is left to a
+    maintenance run, because it rewrites the whole table.
     """
 
     def store(batch: DataFrame, number: int) -> None:
         table.append(batch, f"batch-{number:012d}")
-        if len(table.parts()) >= compact_parts:
-            table.compact()
+        if (number + 1) % merge_batches == 0:
+            table.merge_batches()
 
     query = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
