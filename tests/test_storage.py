@@ -46,11 +46,23 @@ def test_older_parts_get_defaults_for_added_columns(spark, tmp_path):
     table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0)]), "one")
     part = list(table.parts())[0]
     spark.read.parquet(f"{table.root}/{part}").drop("key", "zcr").write.parquet(f"{table.root}/part-old")
-    table._publish({"part-old": 0})
+    table._publish({"part-old": table.parts()[part]})
     row = table.read().first()
     assert (row.key, row.zcr) == (-1, 0.0)
 
 
+def test_reading_shuffles_only_recurring_keys(spark, tmp_path):
+    table = FeatureTable(spark, str(tmp_path / "t"))
+    table.append(feature_rows(spark, [(f"h{i}", f"/{i}", 1.0, 1.0) for i in range(50)]))
+    table.append(feature_rows(spark, [("h3", "/3", 2.0, 1.0), ("new", "/n", 2.0, 1.0)]))
+    table.append(feature_rows(spark, [("h3", "/3", 3.0, 1.0)]))
+    rows = table.read()
+    assert {r.file_hash: r.bpm for r in rows.where("bpm > 1").collect()} == {"h3": 3.0, "new": 2.0}
+    assert rows.count() == 51
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Union" in plan
+
+
 def test_forgotten_keys_come_back_when_added_again(spark, tmp_path):
     table = FeatureTable(spark, str(tmp_path / "t"))
     table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0), ("b", "/b", 1.0, 1.0), ("c", "/c", 1.0, 1.0)]))

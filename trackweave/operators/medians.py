@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackweave.session import settle
 
 # Up to this many rows per group the built-in median may hold one group's values in a task.
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 500_000
 GRID = 1000
 ACCURACY = 10_000
 MAX_ROUNDS = 6

@@ -21,6 +21,7 @@ LINES_PER_FILE = 1_000_000
 
 def open_filesystem(path: str):
     """(file system, path) for a plain path or a URI."""
+    path = path.replace("s3a://", "s3://", 1)
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
     if "://" in path:

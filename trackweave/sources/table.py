@@ -1,14 +1,16 @@
 """Keyed Parquet tables that are changed by writing new parts and swapping a manifest.
 
 ``append`` and ``forget`` cost as much as their rows: they write one more part. ``read``
-keeps the newest row of each key, which needs no shuffle while the table is one part, and
-``compact`` makes it one part again. A crash leaves the former manifest in force.
+keeps the newest row of each key; while the parts beside the largest one are small it
+shuffles only their keys' rows. ``compact`` makes the table one part again. A crash leaves
+the former manifest in force.
 """
 
 from __future__ import annotations
 
 import uuid
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,13 @@ from trackweave.session import BROADCAST_ROWS
 from trackweave.sources import storage
 
 
+class Part(NamedTuple):
+    """What the manifest says of a part: its largest sequence number and its row count."""
+
+    top: int
+    rows: int
+
+
 class KeyedTable:
     """A table with unique ``keys``; among rows of one key the largest ``newest_by`` wins.
 
@@ -42,48 +51,64 @@ class KeyedTable:
         names = storage.child_names(self.spark, f"{self.root}/manifest")
         return sorted(n for n in names if n.isdigit())
 
-    def parts(self) -> dict[str, int]:
-        """Parts in force with their largest sequence number; none while the table is new."""
+    def parts(self) -> dict[str, Part]:
+        """Parts in force; none while the table is new."""
         manifests = self._manifests()
         if not manifests:
             return {}
         lines = self.spark.read.text(f"{self.root}/manifest/{manifests[-1]}").collect()
         entries = [line.value.split(" ") for line in lines if line.value]
-        return {name: int(top) for name, top in sorted(entries)}
+        return {name: Part(int(top), int(rows)) for name, top, rows in sorted(entries)}
 
-    def _publish(self, parts: dict[str, int]) -> None:
+    def _publish(self, parts: dict[str, Part]) -> None:
         manifests = self._manifests()
         number = int(manifests[-1]) + 1 if manifests else 1
-        lines = "".join(f"{name} {top}\n" for name, top in sorted(parts.items()))
+        lines = "".join(f"{name} {part.top} {part.rows}\n" for name, part in sorted(parts.items()))
         storage.write_text(self.spark, f"{self.root}/manifest/{number:010d}", lines or "\n")
 
     def _load(self, part: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{part}")
 
-    def _top(self, part: str) -> int:
-        if not self.seq:
-            return -1
-        top = self._load(part).agg(F.max(self.seq)).first()[0]
-        return -1 if top is None else top
+    def _described(self, name: str) -> Part:
+        top = F.max(self.seq) if self.seq else F.lit(-1)
+        found = self._load(name).agg(top, F.count("*")).first()
+        return Part(-1 if found[0] is None else found[0], found[1])
+
+    def _union(self, names: list[str]) -> DataFrame:
+        loaded = [self._load(name) for name in names]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded)
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        return latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
+
+    def _without_gone(self, rows: DataFrame, parts: dict[str, Part]) -> DataFrame:
+        gone = [name for name in parts if name.startswith("gone-")]
+        if not gone:
+            return rows
+        marks = self.spark.read.parquet(*[f"{self.root}/{name}" for name in gone])
+        marks = marks.groupBy(*self.keys).agg(F.max("last_seq").alias("last_seq"))
+        if sum(parts[name].rows for name in gone) <= BROADCAST_ROWS:
+            marks = F.broadcast(marks)
+        same = [rows[k] == marks[k] for k in self.keys]
+        return rows.join(marks, [*same, rows[self.seq] <= marks["last_seq"]], "left_anti")
 
     def read(self) -> DataFrame:
         """The newest row of each key; an absent table is empty."""
         parts = self.parts()
-        kept = [self._load(p) for p in parts if not p.startswith("gone-")]
+        kept = sorted((n for n in parts if not n.startswith("gone-")), key=lambda n: parts[n].rows)
         if not kept:
             return self.spark.createDataFrame([], self.schema)
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kept)
-        gone = [p for p in parts if p.startswith("gone-")]
-        if gone:
-            marks = self.spark.read.parquet(*[f"{self.root}/{p}" for p in gone])
-            marks = marks.groupBy(*self.keys).agg(F.max("last_seq").alias("last_seq"))
-            if marks.count() <= BROADCAST_ROWS:
-                marks = F.broadcast(marks)
-            same = [rows[k] == marks[k] for k in self.keys]
-            rows = rows.join(marks, [*same, rows[self.seq] <= marks["last_seq"]], "left_anti")
-        if len(kept) > 1:
-            rows = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
-        return rows
+        main = self._without_gone(self._load(kept[-1]), parts)
+        if len(kept) == 1:
+            return main
+        rest = self._without_gone(self._union(kept[:-1]), parts)
+        if sum(parts[name].rows for name in kept[:-1]) > BROADCAST_ROWS:
+            return self._newest(main.unionByName(rest, allowMissingColumns=True))
+        # Every part has unique keys: only rows of the main part whose key recurs compete.
+        again = F.broadcast(rest.select(*self.keys).distinct())
+        rivals = main.join(again, self.keys, "left_semi").unionByName(rest, allowMissingColumns=True)
+        untouched = main.join(again, self.keys, "left_anti")
+        return untouched.unionByName(self._newest(rivals), allowMissingColumns=True)
 
     def append(self, rows: DataFrame, tag: str | None = None) -> str:
         """Write ``rows`` as one more part and publish it.
@@ -92,30 +117,33 @@ class KeyedTable:
         batch counts once. Sequence numbers continue after those of the other parts.
         """
         part = f"part-{tag or uuid.uuid4().hex}"
-        others = {p: top for p, top in self.parts().items() if p != part}
+        others = {name: old for name, old in self.parts().items() if name != part}
         newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.batch_order])
         if self.seq:
-            start = max(others.values(), default=-1) + 1
+            start = max((old.top for old in others.values()), default=-1) + 1
             # Numbered in the writing stage itself: each task commits its file as a whole.
             newest = newest.withColumn(self.seq, F.monotonically_increasing_id() + F.lit(start).cast("long"))
         newest.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/{part}")
-        self._publish({**others, part: self._top(part)})
+        self._publish({**others, part: self._described(part)})
         return part
 
     def forget(self, keys: DataFrame) -> None:
         """Delete the rows of ``keys`` by writing only the keys; rows added later count again."""
+        if not self.seq:
+            raise ValueError("only a table with sequence numbers can forget keys")
         parts = self.parts()
         part = f"gone-{uuid.uuid4().hex}"
-        last = max(parts.values(), default=-1)
+        last = max((old.top for old in parts.values()), default=-1)
         marked = keys.select(*self.keys).distinct().withColumn("last_seq", F.lit(last).cast("long"))
         marked.write.parquet(f"{self.root}/{part}")
-        self._publish({**parts, part: last})
+        count = self.spark.read.parquet(f"{self.root}/{part}").count()
+        self._publish({**parts, part: Part(last, count)})
 
     def rewrite(self, rows: DataFrame) -> None:
         """Replace the whole table by ``rows`` (one row per key), as a single part."""
         part = f"base-{uuid.uuid4().hex}"
         rows.select(*self.schema.names).write.parquet(f"{self.root}/{part}")
-        self._publish({part: self._top(part)})
+        self._publish({part: self._described(part)})
 
     def merge_batches(self) -> None:
         """Merge the parts of single micro-batches into one; larger parts are not touched."""
@@ -123,12 +151,10 @@ class KeyedTable:
         batches = [p for p in parts if p.startswith("part-batch-")]
         if len(batches) < 2:
             return
-        rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [self._load(p) for p in batches])
         merged = f"part-merged-{uuid.uuid4().hex}"
-        newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
-        newest.select(*self.schema.names).write.parquet(f"{self.root}/{merged}")
-        rest = {p: top for p, top in parts.items() if p not in batches}
-        self._publish({**rest, merged: max(parts[p] for p in batches)})
+        self._newest(self._union(batches)).select(*self.schema.names).write.parquet(f"{self.root}/{merged}")
+        rest = {name: old for name, old in parts.items() if name not in batches}
+        self._publish({**rest, merged: self._described(merged)})
 
     def compact(self) -> None:
         """Fold every part into one, without deleted rows."""
