@@ -15,7 +15,7 @@ from trackweave.operators.extraction import measures_from_samples
 from trackweave.plans.output import all_tracks as place_all
 from trackweave.plans.output import run_counts as count_run
 from trackweave.plans.output import save_playlists
-from trackweave.session import settle
+from trackweave.session import settle, store
 
 # Detours that lead back to the same file; the same text runs in both engines.
 DETOUR = (
@@ -168,7 +168,7 @@ def m3u_roundtrip(spark, sf_dir):
     """Playlist files as written (a few hundred lines each at most), read back line by line."""
     target = scratch(spark)
     result = _rule(spark, sf_dir)
-    save_playlists(settle(result.tracks), settle(result.summary), target, "/music", "/srv/media", lines_per_file=200)
+    save_playlists(store(result.tracks), settle(result.summary), target, "/music", "/srv/media", lines_per_file=200)
     name = F.regexp_replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"(\.\d{5})?\.m3u$", "")
     return spark.read.option("pathGlobFilter", "*.m3u").text(target).select(name.alias("playlist"), F.col("value").alias("line"))
 

@@ -13,7 +13,7 @@ from trackweave.functions import labels as L
 from trackweave.functions.scalars import at_least_zero, number_or_null, unit_interval
 from trackweave.operators.medians import DIRECT_ROWS, exact_medians
 from trackweave.operators.ranking import position_within
-from trackweave.session import settle
+from trackweave.session import settle, store
 
 # Clustered measures with their weights, and the default parameters.
 WEIGHTS = {"bpm": 1.5, "centroid": 1.0, "danceability": 1.2}
@@ -152,8 +152,13 @@ class ClusterPlaylists:
 def cluster_playlists(
     tracks: DataFrame, num_playlists: int = NUM_PLAYLISTS, seed: int = SEED, order: str = "ingest_seq"
 ) -> ClusterPlaylists:
-    """The whole cluster grouping; ``order`` is a unique bigint column."""
-    clustered = kmeans_clusters(scale_weighted(clean_tracks(tracks)), num_playlists, seed)
+    """The whole cluster grouping; ``order`` is a unique bigint column.
+
+    The scaled tracks are stored once. Fitting, medians, cell counts and positions then each
+    scan the few columns they need; assigning again is cheaper than storing again.
+    """
+    scaled = store(scale_weighted(clean_tracks(tracks)))
+    clustered = kmeans_clusters(scaled, num_playlists, seed).drop(*[f"{c}_w" for c in WEIGHTS])
     per_cluster = settle(cluster_summary(clustered))
     return ClusterPlaylists(place_clustered(clustered, per_cluster, order), merge_by_name(per_cluster))
 

@@ -80,16 +80,24 @@ def code_tracks(features: DataFrame) -> DataFrame:
 def first_per_hash(coded: DataFrame) -> DataFrame:
     """One row per (group, hash), the first in scan order.
 
-    Only keys that do repeat are looked for, by a hash aggregate that combines copies before
-    the shuffle; they are few in a kept-up table, so dropping the later copies is normally
-    a broadcast join (their count decides) and the tracks are not moved.
+    A first pass counts 64-bit fingerprints of the pairs (24 bytes a row, combined before
+    the shuffle). Only pairs whose fingerprint recurs are looked at themselves, and with
+    none, as in a kept-up table, the tracks pass unchanged.
     """
     key = ["gid", "file_hash"]
+    print_of = F.xxhash64(*key)
+    recurring = settle(
+        coded.groupBy(print_of.alias("print")).agg(F.count("*").alias("n")).where("n > 1").select("print")
+    )
+    suspects = recurring.count()
+    if not suspects:
+        return coded
+    recurring = F.broadcast(recurring) if suspects <= BROADCAST_ROWS else recurring
     repeated = (
-        coded.groupBy(*key)
-        .agg(F.min("ingest_seq").alias("first_copy"), F.count("*").alias("copies"))
-        .where("copies > 1")
-        .drop("copies")
+        coded.withColumn("print", print_of)
+        .join(recurring, "print", "left_semi")
+        .groupBy(*key)
+        .agg(F.min("ingest_seq").alias("first_copy"))
     )
     return (
         coded.join(settle_small(repeated), key, "left")
@@ -192,18 +200,25 @@ def one_partition(bounded: DataFrame) -> DataFrame:
 def path_moods(coded: DataFrame, groups: DataFrame) -> DataFrame:
     """Mood of the first created group holding each path, for paths held by several groups.
 
-    Paths of one group only (nearly all) are left out: their mood is their own group's.
+    Paths of one group only (nearly all) are left out: their mood is their own group's. As
+    for hashes, fingerprints of all paths are compared first, and whole paths only where a
+    fingerprint occurs in several groups.
     """
-    created = groups.select("gid", "first_seq")
-    spread = (
-        coded.select("file_path", "gid")
-        .join(F.broadcast(created), "gid")
+    held = coded.select("file_path", "gid").join(F.broadcast(groups.select("gid", "first_seq")), "gid")
+    span = [F.min("first_seq").alias("first_seq"), F.max("first_seq").alias("last_seq")]
+    print_of = F.xxhash64("file_path")
+    suspects = settle_small(
+        held.groupBy(print_of.alias("print")).agg(*span).where("first_seq < last_seq").select("print")
+    )
+    contested = (
+        held.withColumn("print", print_of)
+        .join(suspects, "print", "left_semi")
         .groupBy("file_path")
-        .agg(F.min("first_seq").alias("first_seq"), F.max("first_seq").alias("last_seq"))
+        .agg(*span)
         .where("first_seq < last_seq")
     )
     moods = groups.select("first_seq", F.col("mood").alias("path_mood"))
-    return spread.join(F.broadcast(moods), "first_seq").select("file_path", "path_mood")
+    return contested.join(F.broadcast(moods), "first_seq").select("file_path", "path_mood")
 
 
 def split_moods(coded: DataFrame, plan: DataFrame, rules: GroupingRules) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trackweave.session import BROADCAST_ROWS, settle
 
 # Rows per innermost cell are at most 2**CELL_BITS, because the order column is unique.
-CELL_BITS = 20
+CELL_BITS = 22
 
 
 def cell_of(order: str, bits: int = CELL_BITS):

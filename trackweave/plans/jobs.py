@@ -13,7 +13,7 @@ from trackweave.operators.extraction import Extractor, extract_measures, fill_re
 from trackweave.operators.grouping import GroupingRules, rule_playlists
 from trackweave.plans.output import save_failed, save_playlists
 from trackweave.schema import MEASURES, PLAYLIST_TRACKS_SCHEMA, PLAYLISTS_SCHEMA
-from trackweave.session import settle
+from trackweave.session import settle, store
 from trackweave.sources.files import big_enough, list_files, too_small
 from trackweave.sources.table import FeatureTable, KeyedTable
 from trackweave.functions.paths import is_audio
@@ -57,7 +57,7 @@ def purge(workspace: Workspace, listing: DataFrame, music_dir: str) -> DataFrame
     below = features.where(F.col("file_path").startswith(music_dir.rstrip("/") + "/"))
     if listing.isEmpty() and not below.isEmpty():
         raise RuntimeError(f"no files found below {music_dir}; refusing to purge the feature table")
-    missing = settle(C.missing_rows(below, listing).select("file_path", "file_hash"))
+    missing = store(C.missing_rows(below, listing).select("file_path", "file_hash"))
     if not missing.isEmpty():
         workspace.features.forget(missing)
     return missing.select("file_path").distinct()
@@ -69,17 +69,17 @@ def analyse(workspace: Workspace, files: DataFrame, extractor: Extractor, tasks:
     Result columns: file_path, file_hash, measures, ``error`` (NULL when measured) and
     ``seq``, a unique order number. It is settled, so no file is extracted twice.
     """
-    found = settle(C.lookup(files, workspace.features.read()))
+    found = store(C.lookup(files, workspace.features.read()))
     columns = ["file_path", "file_hash", *MEASURES]
     hits = found.where("is_hit").select(*columns, F.lit(None).cast("string").alias("error"))
     misses = found.where("NOT is_hit").select(*files.columns)
-    fresh = settle(extract_measures(misses, extractor, tasks))
+    fresh = store(extract_measures(misses, extractor, tasks))
     good = fresh.where("error IS NULL")
     if not good.isEmpty():
         stored = C.coerce_measures(good.drop("error", "length"))
         workspace.features.append(stored.withColumn("last_analyzed", now()))
     everything = hits.unionByName(fresh.select(*columns, "error"))
-    return settle(fill_required(everything).withColumn("seq", F.monotonically_increasing_id()))
+    return store(fill_required(everything).withColumn("seq", F.monotonically_increasing_id()))
 
 
 def run_full(
@@ -94,7 +94,7 @@ def run_full(
 ) -> RunReport:
     """Analyse the files below ``music_dir``, cluster them and write the playlists."""
     workspace = Workspace(spark, cache_dir)
-    listing = settle(list_files(spark, music_dir))
+    listing = store(list_files(spark, music_dir))
     missing = purge(workspace, listing, music_dir)
     audio = listing.where(is_audio(F.col("file_path")))
     analysed = analyse(workspace, big_enough(audio), extractor, tasks)
@@ -143,7 +143,7 @@ def store_links(workspace: Workspace, tracks: DataFrame, summary: DataFrame, kep
 
 def _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept) -> RunReport:
     result = rule_playlists(workspace.features.read(), rules, unique_hashes=True)
-    tracks, summary = settle(result.tracks), settle(result.summary)
+    tracks, summary = store(result.tracks), settle(result.summary)
     if kept is not None:
         store_links(workspace, tracks, summary, kept)
     playlists, total = summary.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -163,7 +163,7 @@ def run_from_cache(
 ) -> RunReport:
     """Rule playlists out of the feature table alone."""
     workspace = Workspace(spark, cache_dir)
-    missing = purge(workspace, settle(list_files(spark, music_dir)), music_dir)
+    missing = purge(workspace, store(list_files(spark, music_dir)), music_dir)
     return _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, workspace.links.read())
 
 
@@ -179,11 +179,11 @@ def run_update(
 ) -> RunReport:
     """Rule playlists again; links of changed files are renewed, if any file changed."""
     workspace = Workspace(spark, cache_dir)
-    missing = purge(workspace, settle(list_files(spark, music_dir)), music_dir)
+    missing = purge(workspace, store(list_files(spark, music_dir)), music_dir)
     features = workspace.features.read()
     if changed is None:
         changed = C.changed_since(features, workspace.playlists.read(), null_watermark)
     kept = None
     if not changed.isEmpty():
-        kept = settle(C.unlink_changed(workspace.links.read(), features, changed))
+        kept = store(C.unlink_changed(workspace.links.read(), features, changed))
     return _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept)

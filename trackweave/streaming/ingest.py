@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trackweave.functions.paths import is_audio
 from trackweave.operators import cache as C
 from trackweave.operators.extraction import Extractor, extract_measures
-from trackweave.session import settle
+from trackweave.session import store
 from trackweave.sources.files import big_enough, describe_files, too_small
 from trackweave.sources.table import FeatureTable, KeyedTable
 
@@ -28,12 +28,12 @@ def upsert_stream(
     maintenance run, because it rewrites the whole table.
     """
 
-    def store(batch: DataFrame, number: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         table.append(batch, f"batch-{number:012d}")
         if (number + 1) % merge_batches == 0:
             table.merge_batches()
 
-    query = rows.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    query = rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
 
 
@@ -58,10 +58,10 @@ def watch_directory(
         .select("path", "length", "modificationTime")
     )
 
-    def store(batch: DataFrame, number: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         audio = describe_files(batch).where(is_audio(F.col("file_path")))
         found = C.lookup(big_enough(audio), features.read()).where("NOT is_hit").select(*audio.columns)
-        fresh = settle(extract_measures(found, extractor))
+        fresh = store(extract_measures(found, extractor))
         good = C.coerce_measures(fresh.where("error IS NULL").drop("error", "length"))
         stamped = good.withColumn("last_analyzed", F.current_timestamp().cast("timestamp_ntz"))
         features.append(stamped, f"batch-{number:012d}")
@@ -69,5 +69,5 @@ def watch_directory(
         failed = fresh.where("error IS NOT NULL").select("file_path", "error").unionByName(small)
         failed.write.mode("overwrite").parquet(f"{failures}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
