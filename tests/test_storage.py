@@ -123,7 +123,8 @@ def make_files(root, names, size=2000):
         path.write_bytes(name.encode().ljust(size, b"\0"))
 
 
-def extractor(path, content):
+def extractor(path, source):
+    content = source.read()
     if "bad" in path:
         raise ValueError("cannot decode")
     if "none" in path:
@@ -153,7 +154,7 @@ def test_full_run_then_cache_then_update(spark, tmp_path):
     assert sorted(lines) == sorted(f"/host/d{i % 2}/{i}.mp3" for i in range(30))
     assert sorted(open(out / "Failed_Files.m3u").read().split("\n")) == ["/host/bad.mp3", "/host/none.wav", "/host/tiny.mp3"]
 
-    def refuse(path, content):
+    def refuse(path, source):
         raise AssertionError(f"{path} was extracted again")
 
     (music / "bad.mp3").unlink()

@@ -102,46 +102,53 @@ def array_nanmean(spark, sf_dir):
 
 
 def samples_measured(spark, sf_dir):
-    """Vectors played in a loop until they last over a second, as sample buffers.
+    """Vectors as sample buffers; for every third label only their positive entries.
 
-    Every third label is too short and keeps the defaults.
+    A buffer counts as long enough from 48 samples on and long enough for a key from 64 on.
     """
-    loops = F.when(F.col("label") % 3 == 0, 10).otherwise(700)
+    positive = F.filter("embedding", lambda x: x > 0)
     buffers = table(spark, sf_dir, "embeddings").select(
         "vec_id",
-        F.flatten(F.array_repeat("embedding", loops)).alias("samples"),
+        F.when(F.col("label") % 3 == 0, positive).otherwise(F.col("embedding")).alias("samples"),
         (F.col("label") * 30.0).alias("bpm"),
         F.col("label").alias("key"),
     )
-    return measures_from_samples(buffers).select(
+    return measures_from_samples(buffers, min_samples=48, min_key_samples=64).select(
         "vec_id",
-        F.round("duration", 6).alias("duration"),
+        F.round("duration", 9).alias("duration"),
         "bpm",
         F.round("loudness", 6).alias("loudness"),
         F.round("zcr", 6).alias("zcr"),
+        F.round("centroid", 4).alias("centroid"),
         "danceability",
         "key",
         "error",
     )
 
 
-VECTORS = """
-WITH v AS (
-  SELECT vec_id, label, embedding, len(embedding) AS n,
-    list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)) AS energy,
-    len(list_filter(range(2, len(embedding) + 1), lambda i: (embedding[i] > 0) <> (embedding[i - 1] > 0))) AS flips,
-    list_sum(list_transform(range(2, len(embedding) + 1),
-      lambda i: (CAST(embedding[i] AS DOUBLE) - embedding[i - 1]) * (CAST(embedding[i] AS DOUBLE) - embedding[i - 1])))
-      AS change,
-    CASE WHEN (embedding[1] > 0) <> (embedding[len(embedding)] > 0) THEN 1 ELSE 0 END AS wrap
-  FROM embeddings)"""
-
-SAMPLES_SQL = f"""{VECTORS}
-SELECT vec_id, round(n * CASE WHEN label % 3 = 0 THEN 10 ELSE 700 END / 44100e0, 6) AS duration,
-  CASE WHEN label % 3 = 0 THEN 0e0 ELSE label * 3e1 END AS bpm,
-  CASE WHEN label % 3 = 0 THEN 0e0 ELSE round(sqrt(energy / n), 6) END AS loudness,
-  CASE WHEN label % 3 = 0 THEN 0e0 ELSE round((flips * 700 + wrap * 699) / (n * 7e2), 6) END AS zcr,
-  0e0 AS danceability, CAST(-1 AS INT) AS key, CAST(NULL AS VARCHAR) AS error FROM v"""
+def _vectors(buffer: str) -> str:
+    """Energy, sign changes and squared differences of each buffer."""
+    return f"""
+WITH b AS (SELECT vec_id, label, {buffer} AS x FROM embeddings),
+v AS (
+  SELECT vec_id, label, len(x) AS n,
+    list_sum(list_transform(x, lambda a: CAST(a AS DOUBLE) * a)) AS energy,
+    len(list_filter(range(2, len(x) + 1), lambda i: (x[i] > 0) <> (x[i - 1] > 0))) AS flips,
+    coalesce(list_sum(list_transform(range(2, len(x) + 1),
+      lambda i: (CAST(x[i] AS DOUBLE) - x[i - 1]) * (CAST(x[i] AS DOUBLE) - x[i - 1]))), 0e0) AS change
+  FROM b)"""
+
+
+VECTORS = _vectors("embedding")
+
+SAMPLES_SQL = f"""{_vectors("CASE WHEN label % 3 = 0 THEN list_filter(embedding, lambda a: a > 0) ELSE embedding END")}
+SELECT vec_id, round(n / 44100e0, 9) AS duration,
+  CASE WHEN n < 48 THEN 0e0 ELSE label * 3e1 END AS bpm,
+  CASE WHEN n < 48 THEN 0e0 ELSE round(sqrt(energy / n), 6) END AS loudness,
+  CASE WHEN n < 48 THEN 0e0 ELSE round(flips / CAST(n AS DOUBLE), 6) END AS zcr,
+  CASE WHEN n < 48 THEN 0e0 ELSE round(44100 / (2 * pi()) * sqrt(change) / sqrt(energy), 4) END AS centroid,
+  0e0 AS danceability, CASE WHEN n < 64 THEN -1 ELSE label END AS key,
+  CASE WHEN n = 0 THEN 'empty audio' END AS error FROM v"""
 
 
 def _rule(spark, sf_dir):

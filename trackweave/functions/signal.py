@@ -2,7 +2,8 @@
 
 A track is one long array (minutes of audio are millions of floats), so the array
 measures run as one Arrow UDF over the flat value buffer: a single pass per batch,
-several times faster than the interpreted higher-order functions.
+several times faster than the interpreted higher-order functions. Spark cuts the batches
+by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
 """
 
 from __future__ import annotations

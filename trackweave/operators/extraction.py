@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from trackweave.functions import signal as S
 from trackweave.functions.scalars import as_float, as_int
 from trackweave.schema import FEATURES_SCHEMA, INTEGER_MEASURES, MEASURES
+from trackweave.sources.m3u import open_filesystem
 
 # What a track gets for a measure that could not be taken.
 MEASURE_DEFAULTS = {
@@ -26,29 +28,24 @@ MEASURE_DEFAULTS = {
     "zcr": 0.0,
 }
 
-Extractor = Callable[[str, bytes], dict]
-
-
-def read_bytes(path: str) -> bytes:
-    from trackweave.sources.m3u import open_filesystem
-
-    fs, inner = open_filesystem(path)
-    with fs.open_input_file(inner) as source:
-        return source.read()
+# Called with the path and the opened file, which it may read whole or piece by piece.
+Extractor = Callable[[str, BinaryIO], dict]
 
 
 def extract_measures(files: DataFrame, extractor: Extractor, tasks: int | None = None) -> DataFrame:
-    """Call ``extractor(path, content)`` for each file; failures become ``error`` text.
+    """Call ``extractor(path, opened_file)`` for each file; failures become ``error`` text.
 
-    Only file names travel: each task opens its own files, one in memory at a time. No
-    file is lost: every input row gives one output row.
+    Only file names travel: each task opens its own files, one at a time. No file is lost:
+    every input row gives one output row.
     """
     measured = [T.StructField(c, FEATURES_SCHEMA[c].dataType) for c in MEASURES]
     schema = T.StructType([*files.schema.fields, *measured, T.StructField("error", T.StringType())])
 
     def measure(path: str) -> dict:
         try:
-            found = extractor(path, read_bytes(path))
+            fs, inner = open_filesystem(path)
+            with fs.open_input_file(inner) as source:
+                found = extractor(path, source)
             return {**found, "error": None} if found else {"error": "no features"}
         except Exception as failure:  # noqa: BLE001 - one bad file must not fail the task
             return {"error": f"{type(failure).__name__}: {failure}"}
@@ -72,13 +69,19 @@ def fill_required(measured: DataFrame) -> DataFrame:
     return measured.fillna(0.0, ["bpm", "centroid", "duration"])
 
 
-def measures_from_samples(tracks: DataFrame, failed: str = "error") -> DataFrame:
+def measures_from_samples(
+    tracks: DataFrame,
+    failed: str = "error",
+    min_samples: int = S.MIN_SAMPLES,
+    min_key_samples: int = S.MIN_KEY_SAMPLES,
+) -> DataFrame:
     """Measures of a table with ``samples`` and the raw extractor outputs it may carry.
 
     Loudness, zero-crossing rate and spectral centroid come from the samples. Raw outputs
     (bpm, beat_confidence, danceability, key, scale, onset_rate) are taken where present.
-    Tracks under a second, or with an error noted in ``failed``, keep all defaults; the
-    duration is always real. Empty tracks get ``error``.
+    Tracks under ``min_samples`` (a second), or with an error noted in ``failed``, keep all
+    defaults; the key needs ``min_key_samples``. The duration is always real. Empty tracks
+    get ``error``. Arrow batches are cut by bytes, so a task holds some tracks at a time.
     """
     present = set(tracks.columns)
     length = F.size("samples")
@@ -90,9 +93,9 @@ def measures_from_samples(tracks: DataFrame, failed: str = "error") -> DataFrame
         **{c: F.col(c) for c in ("bpm", "beat_confidence", "danceability", "onset_rate", "scale") if c in present},
     }
     if "key" in present:
-        raw["key"] = F.when(length >= S.MIN_KEY_SAMPLES, F.col("key")).otherwise(-1)
-        raw["scale"] = F.when(length >= S.MIN_KEY_SAMPLES, raw.get("scale", F.lit(0))).otherwise(0)
-    complete = length >= S.MIN_SAMPLES
+        raw["key"] = F.when(length >= min_key_samples, F.col("key")).otherwise(-1)
+        raw["scale"] = F.when(length >= min_key_samples, raw.get("scale", F.lit(0))).otherwise(0)
+    complete = length >= min_samples
     if failed in present:
         complete = complete & F.col(failed).isNull()
     columns = {"duration": S.duration_seconds(F.col("samples"))}
