@@ -17,6 +17,9 @@ from trackweave.functions.scalars import KEY_NAMES
 from trackweave.operators.ranking import CELL_BITS, cell_of, cell_offsets, number_rows
 from trackweave.session import BROADCAST_ROWS, settle, settle_small
 
+# Below this many tracks, shuffling their paths is cheaper than one more scan.
+FINGERPRINT_ROWS = 20_000_000
+
 VARIOUS = "Various_Tracks"
 VARIOUS_GID = -1
 SUFFIXES = ["Warm", None, "Bright"]
@@ -197,26 +200,20 @@ def one_partition(bounded: DataFrame) -> DataFrame:
     return bounded.repartition(1)
 
 
-def path_moods(coded: DataFrame, groups: DataFrame) -> DataFrame:
+def path_moods(coded: DataFrame, groups: DataFrame, fingerprints: bool = True) -> DataFrame:
     """Mood of the first created group holding each path, for paths held by several groups.
 
-    Paths of one group only (nearly all) are left out: their mood is their own group's. As
-    for hashes, fingerprints of all paths are compared first, and whole paths only where a
-    fingerprint occurs in several groups.
+    Paths of one group only (nearly all) are left out: their mood is their own group's. With
+    ``fingerprints`` 64-bit prints of all paths are compared first, and whole paths only
+    where a print occurs in several groups: one more scan instead of shuffling every path.
     """
     held = coded.select("file_path", "gid").join(F.broadcast(groups.select("gid", "first_seq")), "gid")
     span = [F.min("first_seq").alias("first_seq"), F.max("first_seq").alias("last_seq")]
-    print_of = F.xxhash64("file_path")
-    suspects = settle_small(
-        held.groupBy(print_of.alias("print")).agg(*span).where("first_seq < last_seq").select("print")
-    )
-    contested = (
-        held.withColumn("print", print_of)
-        .join(suspects, "print", "left_semi")
-        .groupBy("file_path")
-        .agg(*span)
-        .where("first_seq < last_seq")
-    )
+    if fingerprints:
+        print_of = F.xxhash64("file_path")
+        suspects = held.groupBy(print_of.alias("print")).agg(*span).where("first_seq < last_seq").select("print")
+        held = held.withColumn("print", print_of).join(settle_small(suspects), "print", "left_semi")
+    contested = held.groupBy("file_path").agg(*span).where("first_seq < last_seq")
     moods = groups.select("first_seq", F.col("mood").alias("path_mood"))
     return contested.join(F.broadcast(moods), "first_seq").select("file_path", "path_mood")
 
@@ -225,13 +222,14 @@ def split_moods(coded: DataFrame, plan: DataFrame, rules: GroupingRules) -> Data
     """Tracks with ``part``: the mood they are split by in oversize groups, -1 elsewhere."""
     info = plan.select("gid", "oversize", F.col("mood").alias("group_mood"))
     placed = coded.join(F.broadcast(info), "gid")
-    if plan.where("oversize").isEmpty():
+    any_oversize, rows = plan.agg(F.max("oversize"), F.sum("size")).first()
+    if not any_oversize:
         part = F.lit(None).cast("int")
     elif rules.split_by == "track":
         part = F.col("mood")
     else:
         # Only stale paths are contested, so this side is normally small; it is counted.
-        placed = placed.join(settle_small(path_moods(coded, plan)), "file_path", "left")
+        placed = placed.join(settle_small(path_moods(coded, plan, rows > FINGERPRINT_ROWS)), "file_path", "left")
         part = F.coalesce(F.col("path_mood"), F.col("group_mood"))
     return placed.select(
         "gid",
