@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from trackweave.catalog.inputs import Query
-from trackweave.llm import simhash
+from trackweave.llm import decontaminate, licenses, mixing, quality_rules, repeats, secrets, simhash
 from trackweave.llm.common import table
 
 
@@ -11,6 +11,37 @@ def op2_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_temperature_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_qgram_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark, sf_dir):
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_host_quality(spark, sf_dir):
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select("doc_id", *measures)
+
+
+def op10_suffix_dedup(spark, sf_dir):
+    return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": Query(op2_simhash_near_dedup),
+    "op3_temperature_mixing": Query(op3_temperature_mixing),
+    "op5_qgram_decontamination": Query(op5_qgram_decontamination),
+    "op6_license_scan": Query(op6_license_scan),
+    "op8_secret_scan": Query(op8_secret_scan),
+    "op9_host_quality": Query(op9_host_quality),
+    "op10_suffix_dedup": Query(op10_suffix_dedup),
 }
