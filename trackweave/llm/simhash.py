@@ -297,7 +297,7 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame, near: Near) -> DataFrame:
-    """(doc_id, text_hash, checked, component_id) for every row."""
+    """(doc_id, text_hash, checked, root, component_id) for every row; ``root`` is the component itself."""
     texts = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     kinds = "doc_id bigint, text_hash bigint, checked binary, routed binary"
     prints = store(texts.mapInArrow(_fingerprinted(near), kinds))
@@ -308,7 +308,7 @@ def _named(docs: DataFrame, near: Near) -> DataFrame:
     found = components(links(classes, near.radius))
     rooted = classes.drop("routed").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(whole, "root").select("node", "component_id")
+    names = rooted.join(whole, "root").select("node", "root", "component_id")
     # The copies of one text may be a third of all rows: the adaptive skew join splits them.
     return prints.withColumn("node", node).join(names, "node", "left")
 
@@ -330,15 +330,12 @@ def keep_one(docs: DataFrame, near: Near) -> DataFrame:
     The row with the smallest doc_id stays (null last; among equal ones the smallest text hash); of
     rows that are equal in doc_id and text one stays. Only the decisions are joined to the texts.
     """
-    named = store(_named(docs, near).select("doc_id", "text_hash", "component_id", "node"))
+    named = store(_named(docs, near).select("doc_id", "text_hash", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    group = F.when(F.col("component_id").isNull(), F.col("node"))  # a component without any doc_id
-    kinds = named.groupBy("component_id", group.alias("nameless"), "doc_id", "text_hash").agg(F.count("*").alias("rows"))
-    first = kinds.groupBy("component_id", "nameless").agg(F.min(order).alias("first"))
-    same = kinds["component_id"].eqNullSafe(first["component_id"]) & kinds["nameless"].eqNullSafe(first["nameless"])
-    decided = kinds.join(first, same).select(
-        "doc_id", "text_hash", "rows", order.eqNullSafe(F.col("first")).alias("stays")
-    )
+    kinds = named.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
+    first = kinds.groupBy("root").agg(F.min(order).alias("first"))
+    stays = order.eqNullSafe(F.col("first")).alias("stays")
+    decided = kinds.join(first, "root").select("doc_id", "text_hash", "rows", stays)
     special = store(decided.where("NOT stays OR rows > 1"))
     moved = settle_small(special.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     again = settle_small(
