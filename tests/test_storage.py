@@ -1,16 +1,18 @@
 import os
 import sys
+from dataclasses import replace
 
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from trackweave.operators.extraction import measures_from_samples
+from trackweave.operators.extraction import extract_measures, measures_from_samples
 from trackweave.plans import jobs as J
 from trackweave.plans.output import save_failed, save_playlists
 from trackweave.schema import MEASURES
-from trackweave.sources.files import list_audio, too_small
-from trackweave.sources.m3u import playlist_of
+from trackweave.sources import storage
+from trackweave.sources.files import list_files, too_small
+from trackweave.sources.m3u import open_filesystem, outer_path, playlist_of
 from trackweave.sources.table import FeatureTable, KeyedTable
 from trackweave.streaming.ingest import upsert_stream, watch_directory
 
@@ -25,55 +27,79 @@ def feature_rows(spark, entries):
     return df.withColumns({**others, "last_analyzed": F.lit("2024-01-01").cast("timestamp_ntz")})
 
 
-def test_table_keeps_newest_row_and_survives_rewrites(spark, tmp_path):
-    table = FeatureTable(spark, str(tmp_path / "t"))
-    assert table.read().count() == 0
-    table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0), ("b", "/b", 1.0, 1.0)]), "one")
-    table.append(feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)]), "two")
-    table.append(feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)]), "two")
-    rows = {r.file_hash: (r.file_path, r.bpm) for r in table.read().collect()}
-    assert rows == {"a": ("/a", 1.0), "b": ("/b2", 2.0), "c": ("/c", 2.0)}
-    numbers = [r.ingest_seq for r in table.read().collect()]
-    assert len(set(numbers)) == 3
-    table.compact()
-    assert len(table.parts()) == 1
-    assert {r.file_hash: (r.file_path, r.bpm) for r in table.read().collect()} == rows
-    assert len(table.vacuum()) == 2 and table.read().count() == 3
-
-
-def test_older_parts_get_defaults_for_added_columns(spark, tmp_path):
-    table = FeatureTable(spark, str(tmp_path / "t"))
-    table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0)]), "one")
-    part = list(table.parts())[0]
-    spark.read.parquet(f"{table.root}/{part}").drop("key", "zcr").write.parquet(f"{table.root}/part-old")
-    table._publish({"part-old": table.parts()[part]})
-    row = table.read().first()
-    assert (row.key, row.zcr) == (-1, 0.0)
+def rows_of(table):
+    return {r.file_hash: (r.file_path, r.bpm) for r in table.read().collect()}
 
 
-def test_reading_shuffles_only_recurring_keys(spark, tmp_path):
-    table = FeatureTable(spark, str(tmp_path / "t"))
-    table.append(feature_rows(spark, [(f"h{i}", f"/{i}", 1.0, 1.0) for i in range(50)]))
-    table.append(feature_rows(spark, [("h3", "/3", 2.0, 1.0), ("new", "/n", 2.0, 1.0)]))
-    table.append(feature_rows(spark, [("h3", "/3", 3.0, 1.0)]))
+def test_table_keeps_newest_row_and_replays_count_once(spark, tmp_path):
+    table = FeatureTable(spark, str(tmp_path / "t"), buckets=3)
+    assert table.read().count() == 0 and table.read().columns == [f.name for f in table.schema]
+    table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0), ("b", "/b", 1.0, 1.0)]), "s", 0)
+    table.append(feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)]), "s", 1)
+    number = table.version().number
+    table.append(feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)]), "s", 1)
+    assert table.version().number == number
+    assert rows_of(table) == {"a": ("/a", 1.0), "b": ("/b2", 2.0), "c": ("/c", 2.0)}
+    assert len({r.ingest_seq for r in table.read().collect()}) == 3
+
+
+def test_change_rewrites_touched_buckets_only_and_old_versions_go(spark, tmp_path):
+    table = FeatureTable(spark, str(tmp_path / "t"), buckets=8)
+    table.append(feature_rows(spark, [(f"h{i}", f"/{i}", 1.0, 1.0) for i in range(60)]))
+    before = table.version()
+    for k in range(5):
+        table.append(feature_rows(spark, [("h3", "/3", 2.0 + k, 1.0)]))
+    after = table.version()
+    assert sum(after.folders[b] != before.folders[b] for b in before.folders) == 1
     rows = table.read()
-    assert {r.file_hash: r.bpm for r in rows.where("bpm > 1").collect()} == {"h3": 3.0, "new": 2.0}
-    assert rows.count() == 51
-    plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and "Union" in plan
+    assert rows.where("bpm > 1").first().bpm == 6.0 and rows.count() == 60
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert len(os.listdir(tmp_path / "t" / "versions")) - sum(n.startswith((".", "_")) for n in os.listdir(tmp_path / "t" / "versions")) == 3
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    table = FeatureTable(spark, str(tmp_path / "t"), buckets=2)
+    table.append(feature_rows(spark, [("base", "/base", 1.0, 1.0)]))
+    other = FeatureTable(spark, table.root, buckets=2)
+    publish, calls = table._publish, []
+
+    def overtaken(version):
+        if not calls:
+            other.append(feature_rows(spark, [("other", "/other", 1.0, 1.0)]))
+        calls.append(version.number)
+        return publish(version)
+
+    table._publish = overtaken
+    table.append(feature_rows(spark, [("mine", "/mine", 1.0, 1.0)]))
+    assert set(rows_of(table)) == {"base", "other", "mine"} and len(calls) == 2
+    assert len({r.ingest_seq for r in table.read().collect()}) == 3
+
+
+def test_only_one_creates_a_version(spark, tmp_path):
+    (tmp_path / "v").mkdir()
+    path = str(tmp_path / "v" / "1")
+    assert storage.create_text(spark, path, "one") and not storage.create_text(spark, path, "two")
+    assert storage.read_text(spark, path) == "one" and storage.read_text(spark, path + "x") is None
+
+
+def test_older_files_get_defaults_for_added_columns(spark, tmp_path):
+    table = FeatureTable(spark, str(tmp_path / "t"), buckets=1)
+    table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0)]))
+    version = table.version()
+    old = spark.read.parquet(f"{table.root}/{version.folders[0]}/bucket=0").drop("key", "zcr")
+    old.write.parquet(f"{table.root}/data-old/bucket=0")
+    assert table._publish(replace(version, number=version.number + 1, folders={0: "data-old"}))
+    row = table.read().first()
+    assert (row.key, row.zcr) == (-1, 0.0)
 
 
 def test_forgotten_keys_come_back_when_added_again(spark, tmp_path):
-    table = FeatureTable(spark, str(tmp_path / "t"))
+    table = FeatureTable(spark, str(tmp_path / "t"), buckets=4)
     table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0), ("b", "/b", 1.0, 1.0), ("c", "/c", 1.0, 1.0)]))
-    gone = spark.createDataFrame([("a",), ("b",)], "file_hash string")
-    table.forget(gone)
+    table.forget(spark.createDataFrame([("a",), ("b",)], "file_hash string"))
     assert [r.file_hash for r in table.read().collect()] == ["c"]
     table.append(feature_rows(spark, [("b", "/b", 5.0, 1.0)]))
-    want = {"b": 5.0, "c": 1.0}
-    assert {r.file_hash: r.bpm for r in table.read().collect()} == want
-    table.compact()
-    assert len(table.parts()) == 1 and {r.file_hash: r.bpm for r in table.read().collect()} == want
+    assert {k: v[1] for k, v in rows_of(table).items()} == {"b": 5.0, "c": 1.0}
     assert len({r.ingest_seq for r in table.read().collect()}) == 2
 
 
@@ -95,17 +121,30 @@ def test_m3u_files_are_ordered_and_exact(spark, tmp_path):
     assert open(f"{out}/All_Successful_Tracks.m3u").read() == "\n".join(lines)
 
 
-def test_long_playlists_are_cut_into_parts(spark, tmp_path):
+def test_parts_are_a_layout_of_their_own(spark, tmp_path):
     out = str(tmp_path / "out")
     tracks, summary, rows = tracks_of(spark, {"A": 3, "B": 25})
     save_playlists(tracks, summary, out)
-    save_playlists(tracks, summary, out, lines_per_file=10)
+    save_playlists(tracks, summary, out, layout="parts", lines_per_part=10)
     names = sorted(os.listdir(out))
     assert [n for n in names if n.startswith("B")] == ["B.00000.m3u", "B.00001.m3u", "B.00002.m3u"]
     whole = "\n".join(open(f"{out}/{n}").read() for n in names if n.startswith("B"))
     assert whole == "\n".join(r[3] for r in rows[3:])
-    assert "All_Successful_Tracks.m3u" not in names and len(names) == 1 + 3 + 3
+    # A short playlist has a number as well: the layout does not depend on sizes.
+    assert "A.00000.m3u" in names and len(names) == 1 + 3 + 3
     assert {playlist_of(n) for n in names} == {"A", "B", "All_Successful_Tracks"}
+    with pytest.raises(ValueError):
+        save_playlists(tracks, summary, out, layout="other")
+
+
+def test_clean_names_stay_apart(spark, tmp_path):
+    out = str(tmp_path / "out")
+    tracks, summary, rows = tracks_of(spark, {"Slow_C#_Major": 2, "Slow_C_Major": 2, "D#": 1, "D!": 1})
+    save_playlists(tracks, summary, out, clean_names=True)
+    files = {n: open(f"{out}/{n}").read().split("\n") for n in os.listdir(out)}
+    assert len(files) == 5 and files["Slow_C_Major.m3u"] == [f"/music/Slow_C_Major/{p}.mp3" for p in (1, 2)]
+    other = next(v for k, v in files.items() if k.startswith("Slow_C_Major_"))
+    assert other == [f"/music/Slow_C#_Major/{p}.mp3" for p in (1, 2)]
 
 
 def test_failed_files_are_distinct_and_optional(spark, tmp_path):
@@ -134,12 +173,42 @@ def extractor(path, source):
             "key": number % 12, "scale": 1}
 
 
-def test_listing(spark, tmp_path):
-    make_files(tmp_path, ["a/1.mp3", "a/b/2.FLAC", "c.txt"])
+def test_listing_keeps_every_name(spark, tmp_path):
+    names = ["_intro.mp3", ".38 Special/a.mp3", "...And Justice.mp3", "ok.mp3", "sp ace#1.mp3", "x%20?.ogg", "d/e/f/g.FLAC", "c.txt"]
+    make_files(tmp_path, names)
     make_files(tmp_path, ["small.ogg"], 10)
-    found = list_audio(spark, str(tmp_path))
-    assert sorted(os.path.basename(r.file_path) for r in found.collect()) == ["1.mp3", "2.FLAC", "small.ogg"]
+    (tmp_path / "empty").mkdir()
+    found = list_files(spark, str(tmp_path))
+    assert {os.path.relpath(r.file_path, tmp_path) for r in found.collect()} == {*names, "small.ogg"}
+    assert {os.path.relpath(r.file_path, tmp_path) for r in list_files(spark, f"file://{tmp_path}").collect()} == {*names, "small.ogg"}
     assert [os.path.basename(r.file_path) for r in too_small(found).collect()] == ["small.ogg"]
+    row = found.where("file_path LIKE '%_intro.mp3'").first()
+    assert abs(row.last_modified - os.stat(tmp_path / "_intro.mp3").st_mtime) < 1e-3
+
+
+def test_files_in_dot_folders_are_not_purged(spark, tmp_path):
+    music = tmp_path / "music"
+    make_files(music, [".38 Special/a.mp3", "b.mp3"])
+    workspace = J.Workspace(spark, str(tmp_path / "cache"))
+    rows = [(n, f"{music}/{n}", 1.0, 1.0) for n in (".38 Special/a.mp3", "b.mp3", "gone.mp3")]
+    workspace.features.append(feature_rows(spark, [*rows, ("else", "/elsewhere/x.mp3", 1.0, 1.0)]))
+    gone = J.purge(workspace, list_files(spark, str(music)), f"file://{music}")
+    assert [r.file_path for r in gone.collect()] == [f"{music}/gone.mp3"]
+    J.purge(workspace, list_files(spark, str(music)), str(music), everywhere=True)
+    assert set(rows_of(workspace.features)) == {".38 Special/a.mp3", "b.mp3"}
+
+
+def test_names_of_uris_are_not_parsed():
+    fs, path = open_filesystem("file:///m/a b#1?%20.mp3")
+    assert path == "/m/a b#1?%20.mp3"
+    assert outer_path("/m", "/m/x") == "/m/x"
+
+
+def test_extraction_uses_many_tasks(spark):
+    files = spark.range(20_000).selectExpr("concat('/nowhere/', id) AS file_path")
+    measured = extract_measures(files, extractor)
+    tasks = measured.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) >= 16 and sum(r["count"] for r in tasks) == 20_000
 
 
 def test_full_run_then_cache_then_update(spark, tmp_path):
@@ -200,6 +269,14 @@ def test_measures_from_samples(spark):
     assert (got[4].key, got[4].duration, got[4].centroid) == (6, 3.0, 0.0)
 
 
+def test_raw_outputs_by_type(spark):
+    rows = [(1, [0.5] * 8, "F#", "major", 5.0, [[2.5, 1.0]]), (2, [0.5] * 8, "4", "minor", -1.0, []), (3, [0.5] * 8, "H", None, None, None)]
+    kinds = "id int, samples array<float>, key string, scale string, beat_confidence double, onset_rate array<array<double>>"
+    df = spark.createDataFrame(rows, kinds)
+    got = {r.id: (r.key, r.scale, r.beat_confidence, r.onset_rate) for r in measures_from_samples(df, min_samples=1, min_key_samples=1).collect()}
+    assert got == {1: (6, 1, 1.0, 2.5), 2: (4, 0, 0.0, 0.0), 3: (-1, 0, 0.0, 0.0)}
+
+
 def test_stream_in_one_or_many_batches_gives_one_table(spark, tmp_path):
     batches = [
         [("a", "/a", 1.0, 10.0), ("b", "/b", 1.0, 10.0), ("b", "/b", 2.0, 30.0)],
@@ -214,7 +291,7 @@ def test_stream_in_one_or_many_batches_gives_one_table(spark, tmp_path):
     for files in (1, 10):
         table = FeatureTable(spark, str(tmp_path / f"t{files}"), newest_by=["last_modified", "ingest_seq"])
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-        upsert_stream(stream, table, str(tmp_path / f"p{files}"), merge_batches=2).awaitTermination()
+        upsert_stream(stream, table, str(tmp_path / f"p{files}")).awaitTermination()
         results.append(sorted((r.file_hash, r.bpm, r.last_modified) for r in table.read().collect()))
     assert results[0] == results[1] == [("a", 3.0, 20.0), ("b", 2.0, 30.0), ("c", 4.0, 5.0)]
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,9 +213,8 @@ def latest_per_path(spark, sf_dir):
 
 def scan_features(spark, sf_dir):
     """All measures of the table, without hash and times."""
-    return _cached(spark, sf_dir).select(
-        "file_path", "duration", "bpm", "beat_confidence", "centroid", "danceability", "key", "scale"
-    )
+    more = {"loudness": F.col("bpm") / 2, "onset_rate": F.col("danceability") * 4, "zcr": F.col("duration") / 8}
+    return C.scan_features(_cached(spark, sf_dir).withColumns(more))
 
 
 def coerce(spark, sf_dir):
@@ -276,22 +274,6 @@ def scan_files(spark, sf_dir):
     return list_files(spark, sf_dir).select("file_path", "length", "last_modified", "file_hash")
 
 
-def _measure_bytes(path: str, source) -> dict:
-    if path.endswith("region.parquet"):
-        raise ValueError("not a track")
-    size, total = 0, 0
-    while piece := source.read(1 << 20):
-        size += len(piece)
-        total += int(np.frombuffer(piece, "u1").sum())
-    return {"duration": size / 44100, "bpm": total / size, "key": size % 12}
-
-
-def map_extract(spark, sf_dir):
-    """Every table file is read whole by an isolated call; one of them fails on purpose."""
-    files = list_files(spark, sf_dir).where(F.col("file_path").endswith(".parquet"))
-    return E.extract_measures(files, _measure_bytes).select("file_path", "duration", "bpm", "key", "error")
-
-
 LATEST_EVENT = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
@@ -304,15 +286,43 @@ LATEST_EVENT = T.StructType(
 
 
 def stream_upsert(spark, sf_dir):
-    """The event file as a stream, upserted by user; the newest event of each stays."""
+    """Events as a stream of several files, out of order; the newest event of each user stays.
+
+    Files are dealt by a hash of the event, so most batches hold rows older than what the table has.
+    """
     root = scratch(spark)
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    latest = KeyedTable(spark, f"{root}/table", LATEST_EVENT, ["user_id"], ["ts", "event_id"])
-    upsert_stream(stream.select(*LATEST_EVENT.names), latest, f"{root}/progress").awaitTermination()
+    events = table(spark, sf_dir, "events").select(*LATEST_EVENT.names)
+    events.repartition(4, F.xxhash64("event_id")).write.parquet(f"{root}/source")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    latest = KeyedTable(spark, f"{root}/table", LATEST_EVENT, ["user_id"], ["ts", "event_id"], buckets=4)
+    upsert_stream(stream, latest, f"{root}/progress").awaitTermination()
     return latest.read()
 
 
+LINE = T.StructType(
+    [
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_linenumber", T.LongType()),
+        T.StructField("price", T.DoubleType()),
+        T.StructField("version", T.IntegerType()),
+    ]
+)
+
+
+def table_versions(spark, sf_dir):
+    """A keyed table after append, forget, append: lines come, returned ones go, later ones come back."""
+    rows = table(spark, sf_dir, "lineitem").groupBy(*LINE_KEY).agg(
+        F.max("l_extendedprice").cast("double").alias("price"), F.max("l_returnflag").alias("flag")
+    )
+    lines = KeyedTable(spark, f"{scratch(spark)}/lines", LINE, LINE_KEY, ["version"], buckets=4)
+    one = rows.select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), "price", "flag")
+    lines.append(one.withColumn("version", F.lit(1)).drop("flag"))
+    lines.forget(one.where("flag = 'R'"))
+    again = one.where("l_orderkey % 3 = 0").withColumns({"version": F.lit(2), "price": F.col("price") * 2})
+    lines.append(again.drop("flag"))
+    return lines.read()
+
+
 QUERIES = {
     "cache_upsert_latest": Query(
         cache_upsert_latest,
@@ -413,18 +423,27 @@ QUERIES = {
     ),
     "scan_features": Query(
         scan_features,
-        f"""{TRACKS} SELECT file_path, duration, bpm, beat_confidence, centroid, danceability, key, scale
-        FROM tracks""",
+        f"""{TRACKS} SELECT file_path, duration, bpm, beat_confidence, centroid, bpm / 2 AS loudness, danceability, key,
+          scale, danceability * 4 AS onset_rate, duration / 8 AS zcr FROM tracks""",
     ),
     "coerce": Query(coerce, COERCE_SQL),
     "key_index": Query(key_index, KEY_INDEX_SQL),
     "file_key": Query(file_key, FILE_KEY_SQL),
     "scan_files": Query(scan_files),
-    "map_extract": Query(map_extract),
     "stream_upsert": Query(
         stream_upsert,
         """SELECT user_id, ts, event_id, event_type, value FROM (
           SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
         WHERE rn = 1""",
     ),
+    "table_versions": Query(
+        table_versions,
+        """WITH rows AS (
+          SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber,
+            CAST(max(l_extendedprice) AS DOUBLE) AS price, max(l_returnflag) AS flag
+          FROM lineitem GROUP BY l_orderkey, l_linenumber)
+        SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 0 THEN price * 2 ELSE price END AS price,
+          CAST(CASE WHEN l_orderkey % 3 = 0 THEN 2 ELSE 1 END AS INT) AS version
+        FROM rows WHERE flag <> 'R' OR l_orderkey % 3 = 0""",
+    ),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackweave.catalog.inputs import TRACKS, Query, case, table, tracks
+from trackweave.functions import labels as L
 from trackweave.operators import clustering as K
 from trackweave.operators.medians import narrowed_medians
 
@@ -143,8 +144,29 @@ SELECT playlist, dense_rank() OVER (ORDER BY first_cluster) AS playlist_order,
 
 
 def kmeans_playlists(spark, sf_dir):
+    """Per track: whether no center is nearer than its cluster's, and whether its playlist has its cluster's name."""
     result = K.cluster_playlists(tracks(spark, sf_dir))
-    return result.tracks.select("playlist", "playlist_order", "pos", "file_hash", "file_path")
+    weighted = [f"{c}_w" for c in MEASURED]
+
+    def distance(center):
+        return sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(weighted, center)), F.lit(0.0))
+
+    distances = F.array(*[distance(center) for center in result.clustered.centers])
+    own = F.element_at(distances, F.col("cluster") + 1)
+    points = result.clustered.tracks.select(
+        "file_hash", "cluster", (own <= F.array_min(distances) + F.lit(1e-9)).alias("nearest"), *MEASURED
+    )
+    # Medians once more, by Spark's own exact percentile.
+    medians = points.groupBy("cluster").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in MEASURED])
+    name = L.underscored(L.cluster_name(F.col("bpm"), F.col("centroid"), F.col("danceability")))
+    named = F.broadcast(medians.select("cluster", name.alias("cluster_name")))
+    placed = result.tracks.select("file_hash", "playlist")
+    return (
+        points.select("file_hash", "cluster", "nearest")
+        .join(named, "cluster")
+        .join(placed, "file_hash")
+        .select("file_hash", "nearest", (F.col("playlist") == F.col("cluster_name")).alias("named"))
+    )
 
 
 def kmeans_distribution(spark, sf_dir):
@@ -174,7 +196,9 @@ QUERIES = {
     ),
     "cluster_merge_names": Query(cluster_merge_names, MERGE_SQL),
     "cluster_positions": Query(cluster_positions, POSITIONS_SQL),
-    "kmeans_playlists": Query(kmeans_playlists),
+    "kmeans_playlists": Query(
+        kmeans_playlists, f"{CLEAN} SELECT file_hash, true AS nearest, true AS named FROM clean"
+    ),
     "kmeans_distribution": Query(
         kmeans_distribution,
         f"{CLEAN} SELECT count(*) AS placed, count(*) AS tracks, true AS balanced FROM clean",

@@ -172,12 +172,13 @@ def rule_distribution(spark, sf_dir):
 
 
 def m3u_roundtrip(spark, sf_dir):
-    """Playlist files as written (a few hundred lines each at most), read back line by line."""
+    """Playlist files as written, read back with their line numbers."""
     target = scratch(spark)
     result = _rule(spark, sf_dir)
-    save_playlists(store(result.tracks), settle(result.summary), target, "/music", "/srv/media", lines_per_file=200)
-    name = F.regexp_replace(F.url_decode(F.element_at(F.split(F.input_file_name(), "/"), -1)), r"(\.\d{5})?\.m3u$", "")
-    return spark.read.option("pathGlobFilter", "*.m3u").text(target).select(name.alias("playlist"), F.col("value").alias("line"))
+    save_playlists(store(result.tracks), settle(result.summary), target, "/music", "/srv/media")
+    files = spark.read.text(target, wholetext=True, pathGlobFilter="*.m3u")
+    name = F.regexp_replace("_metadata.file_name", r"\.m3u$", "").alias("playlist")
+    return files.select(name, F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
 
 
 QUERIES = {
@@ -231,7 +232,9 @@ QUERIES = {
     ),
     "m3u_roundtrip": Query(
         m3u_roundtrip,
-        f"""{PLACED} SELECT playlist, replace(file_path, '/music/', '/srv/media/') AS line FROM ordered
-        UNION ALL SELECT 'All_Successful_Tracks', replace(file_path, '/music/', '/srv/media/') FROM ordered""",
+        f"""{PLACED}, lines AS (SELECT playlist, playlist_order, pos, replace(file_path, '/music/', '/srv/media/') AS line FROM ordered)
+        SELECT playlist, CAST(pos - 1 AS INT) AS line_number, line FROM lines
+        UNION ALL SELECT 'All_Successful_Tracks', CAST(row_number() OVER (ORDER BY playlist_order, pos) - 1 AS INT), line
+        FROM lines""",
     ),
 }

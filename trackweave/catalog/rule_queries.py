@@ -128,7 +128,7 @@ SELECT ingest_seq, name, replace(name, ' ', '_') AS file_name FROM named"""
 def label_documented(spark, sf_dir):
     tempo = L.documented_tempo(F.col("bpm"))
     timbre = L.documented_timbre(F.col("centroid"))
-    return tracks(spark, sf_dir).where("bpm IS NOT NULL").select(
+    return tracks(spark, sf_dir).select(
         "ingest_seq",
         tempo.alias("tempo"),
         timbre.alias("timbre"),
@@ -162,7 +162,7 @@ LABEL_DOCUMENTED_SQL = f"""{TRACKS},
 d AS (
   SELECT ingest_seq, {_DOC_TEMPO} AS tempo, {_DOC_TIMBRE} AS timbre, {_DOC_LENGTH} AS length,
     CAST(floor(greatest(0e0, least(1e0, beat_confidence)) * 10) AS INT) AS level
-  FROM tracks WHERE bpm IS NOT NULL),
+  FROM tracks),
 m AS (
   SELECT *, CASE WHEN tempo = 'VerySlow' AND timbre = 'Dark' THEN 'Ambient'
     WHEN tempo IN ('VerySlow', 'Slow', 'Chill') AND level <= 3 THEN 'Downtempo'
@@ -183,6 +183,27 @@ def group_tracks(spark, sf_dir):
     )
 
 
+# The same tracks with hashes that recur, within a group too.
+_ONE, _MANY = "CAST(o_orderkey AS STRING) AS file_hash", "CAST(o_orderkey % 701 AS STRING) AS file_hash"
+GROUPS_REPEATED = GROUPS.replace(_ONE, _MANY)
+
+
+def _repeated(spark, sf_dir) -> DataFrame:
+    return tracks(spark, sf_dir).withColumn("file_hash", (F.col("ingest_seq") % 701).cast("string"))
+
+
+def first_per_hash(spark, sf_dir):
+    """Which track stands for a hash that recurs in a group."""
+    coded = settle(G.first_per_hash(G.code_tracks(_repeated(spark, sf_dir))))
+    names = settle(G.one_partition(G.group_table(coded))).select("gid", "playlist")
+    return coded.join(F.broadcast(names), "gid").select("playlist", "file_hash", "ingest_seq")
+
+
+def groups_repeated_hashes(spark, sf_dir):
+    groups = G.group_table(G.first_per_hash(G.code_tracks(_repeated(spark, sf_dir))))
+    return groups.select("playlist", "size", "first_seq", "mood_group")
+
+
 def group_sizes_ranked(spark, sf_dir):
     plan = G.merge_map(_groups(spark, sf_dir), G.GroupingRules())
     return plan.select("playlist", "size", F.col("size_order").cast("long").alias("size_order"))
@@ -266,6 +287,14 @@ QUERIES = {
         group_tracks,
         f"{GROUPS} SELECT playlist, size, first_seq, bpm_group, energy_group, mood_group, key_group FROM groups",
     ),
+    "first_per_hash": Query(
+        first_per_hash,
+        f"""{GROUPS_REPEATED} SELECT playlist, file_hash, min(ingest_seq) AS ingest_seq FROM labelled
+        GROUP BY playlist, file_hash""",
+    ),
+    "groups_repeated_hashes": Query(
+        groups_repeated_hashes, f"{GROUPS_REPEATED} SELECT playlist, size, first_seq, mood_group FROM groups"
+    ),
     "group_sizes_ranked": Query(group_sizes_ranked, f"{MERGED} SELECT playlist, size, size_order FROM ranked"),
     "merge_small": Query(
         merge_small,

@@ -158,8 +158,10 @@ def documented_mood(tempo: Column, timbre: Column, energy: Column) -> Column:
 
 
 def documented_name(bpm: Column, centroid: Column, duration: Column, beat_confidence: Column) -> Column:
+    """All five parts; NULL if any measure is, so that parts never shift."""
     tempo, timbre = documented_tempo(bpm), documented_timbre(centroid)
-    return F.concat_ws(
+    known = bpm.isNotNull() & centroid.isNotNull() & duration.isNotNull() & beat_confidence.isNotNull()
+    name = F.concat_ws(
         "_",
         tempo,
         timbre,
@@ -167,3 +169,4 @@ def documented_name(bpm: Column, centroid: Column, duration: Column, beat_confid
         energy_level(beat_confidence),
         documented_mood(tempo, timbre, energy_number(beat_confidence)),
     )
+    return F.when(known, name)

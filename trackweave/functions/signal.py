@@ -34,35 +34,15 @@ def _measure(samples: pa.Array) -> pa.Array:
     offsets = samples.offsets.to_numpy()
     sizes = np.where(valid, np.diff(offsets), 0)
     rms, zcr, slope = np.zeros(rows), np.zeros(rows), np.zeros(rows)
-    filled = np.flatnonzero(sizes)
-    for row in filled if sizes.sum() > 64 * rows else ():
-        # Long arrays: one row at a time keeps the scratch memory at one track.
+    # One row at a time: the scratch memory is that of one track, and a row's bits never
+    # depend on its neighbours.
+    for row in np.flatnonzero(sizes):
         x = samples.values[offsets[row] : offsets[row + 1]].to_numpy(zero_copy_only=False).astype("f8")
         energy = np.dot(x, x)
         change = np.diff(x)
         rms[row] = math.sqrt(energy / len(x))
         zcr[row] = np.count_nonzero((x[1:] > 0) != (x[:-1] > 0)) / len(x)
         slope[row] = math.sqrt(np.dot(change, change) / energy) if energy else 0.0
-    if len(filled) and sizes.sum() <= 64 * rows:
-        # Short arrays: all rows of the batch at once.
-        first, last = offsets[0], offsets[-1]
-        x = samples.values[first:last].to_numpy(zero_copy_only=False).astype("f8")
-        starts = offsets[:-1][filled] - first
-        heads = offsets[:-1][(np.diff(offsets) > 0)] - first
-        change, flips = np.zeros(len(x)), np.zeros(len(x))
-        change[1:] = np.diff(x)
-        flips[1:] = (x[1:] > 0) != (x[:-1] > 0)
-        change[heads] = 0.0
-        flips[heads] = 0.0
-
-        def totals(values: np.ndarray) -> np.ndarray:
-            return np.add.reduceat(values, starts)
-
-        energy = totals(x * x)
-        rms[filled] = np.sqrt(energy / sizes[filled])
-        zcr[filled] = totals(flips) / sizes[filled]
-        moved = np.sqrt(totals(change * change))
-        slope[filled] = np.divide(moved, np.sqrt(energy), out=np.zeros(len(filled)), where=energy > 0)
     return pa.StructArray.from_arrays(
         [pa.array(v, mask=~valid) for v in (rms, zcr, slope)],
         ["rms", "zcr", "slope"],

@@ -63,6 +63,11 @@ def lookup(files: DataFrame, features: DataFrame) -> DataFrame:
     )
 
 
+def scan_features(features: DataFrame) -> DataFrame:
+    """The path and all ten measures of every row; hashes and times are not read."""
+    return features.select("file_path", *MEASURES)
+
+
 def missing_rows(features: DataFrame, listing: DataFrame) -> DataFrame:
     """Rows whose file is not listed any more."""
     return features.join(listing.select("file_path").distinct(), "file_path", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -19,6 +20,8 @@ from trackweave.session import settle, store
 WEIGHTS = {"bpm": 1.5, "centroid": 1.0, "danceability": 1.2}
 NUM_PLAYLISTS = 8
 SEED = 42
+# Rounds of k-means at most, and how far centers may still move when it stops.
+MAX_ITER, TOLERANCE = 100, 1e-4
 
 
 def clean_tracks(tracks: DataFrame) -> DataFrame:
@@ -47,10 +50,14 @@ def scale_weighted(tracks: DataFrame, weights: dict[str, float] = WEIGHTS) -> Da
     """Add ``<measure>_w``: standardised by the population deviation, then weighted.
 
     A constant measure is only centred. The one-row statistics are read once and enter as
-    constants: the tracks are not shuffled, and every later pass sees the same bits.
+    constants: the tracks are not shuffled, and every later pass sees the same bits. Infinite or
+    NaN measures are an error: they would turn every track's scaled measures into NaN.
     """
     parts = [x for c in weights for x in (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_dev"))]
     stats = tracks.agg(*parts).first()
+    odd = [name for name, value in stats.asDict().items() if value is not None and not math.isfinite(value)]
+    if odd:
+        raise ValueError(f"measures that are not finite: {', '.join(odd)}")
     return tracks.withColumns(
         {
             f"{c}_w": (F.col(c) - F.lit(stats[f"{c}_mean"])) / F.lit(stats[f"{c}_dev"] or 1.0) * F.lit(weight)
@@ -73,19 +80,40 @@ def assign_nearest(points: DataFrame, centers: DataFrame, columns: list[str], ou
     return points.withColumn(out, F.array_min(F.array(*ranked)).getField("id"))
 
 
+@dataclass(frozen=True)
+class Clustered:
+    """Tracks with ``cluster``, the centers (id and weighted measures), and whether the iteration came to rest."""
+
+    tracks: DataFrame
+    centers: list[tuple[float, ...]]
+    converged: bool
+
+
 def kmeans_clusters(
-    scaled: DataFrame, k: int = NUM_PLAYLISTS, seed: int = SEED, weights: dict[str, float] = WEIGHTS
-) -> DataFrame:
-    """Add ``cluster`` by k-means over the weighted measures; at most one cluster per row."""
+    scaled: DataFrame,
+    k: int = NUM_PLAYLISTS,
+    seed: int = SEED,
+    weights: dict[str, float] = WEIGHTS,
+    max_iter: int = MAX_ITER,
+    tol: float = TOLERANCE,
+) -> Clustered:
+    """K-means over the weighted measures; at most one cluster per row.
+
+    ``converged`` is False if ``max_iter`` rounds passed without all centers moving less than ``tol``.
+    """
     if k <= 0:
         raise ValueError(f"number of playlists must be positive, not {k}")
     rows = scaled.limit(k).count()
     if rows <= 1 or k == 1:
-        return scaled.withColumn("cluster", F.lit(0))
+        return Clustered(scaled.withColumn("cluster", F.lit(0)), [], True)
     features = VectorAssembler(inputCols=[f"{c}_w" for c in weights], outputCol="features")
     points = features.transform(scaled)
-    model = KMeans(k=min(k, rows), seed=seed, featuresCol="features", predictionCol="cluster").fit(points)
-    return model.transform(points).drop("features")
+    means = KMeans(
+        k=min(k, rows), seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster"
+    )
+    model = means.fit(points)
+    centers = [tuple(float(x) for x in center) for center in model.clusterCenters()]
+    return Clustered(model.transform(points).drop("features"), centers, model.summary.numIter < max_iter)
 
 
 def cluster_summary(clustered: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
@@ -147,20 +175,28 @@ class ClusterPlaylists:
 
     tracks: DataFrame
     summary: DataFrame
+    clustered: Clustered
 
 
 def cluster_playlists(
-    tracks: DataFrame, num_playlists: int = NUM_PLAYLISTS, seed: int = SEED, order: str = "ingest_seq"
+    tracks: DataFrame,
+    num_playlists: int = NUM_PLAYLISTS,
+    seed: int = SEED,
+    order: str = "ingest_seq",
+    max_iter: int = MAX_ITER,
+    tol: float = TOLERANCE,
 ) -> ClusterPlaylists:
     """The whole cluster grouping; ``order`` is a unique bigint column.
 
-    The scaled tracks are stored once. Fitting, medians, cell counts and positions then each
-    scan the few columns they need; assigning again is cheaper than storing again.
+    The scaled tracks are stored once, with the columns that are used. Fitting, medians, cell counts
+    and positions then each scan the few columns they need; assigning again is cheaper than storing again.
     """
-    scaled = store(scale_weighted(clean_tracks(tracks)))
-    clustered = kmeans_clusters(scaled, num_playlists, seed).drop(*[f"{c}_w" for c in WEIGHTS])
-    per_cluster = settle(cluster_summary(clustered))
-    return ClusterPlaylists(place_clustered(clustered, per_cluster, order), merge_by_name(per_cluster))
+    used = [c for c in tracks.columns if c in {order, "file_hash", "file_path", "duration", "key", "scale", *WEIGHTS}]
+    scaled = store(scale_weighted(clean_tracks(tracks.select(*used))))
+    clustered = kmeans_clusters(scaled, num_playlists, seed, WEIGHTS, max_iter, tol)
+    placed = clustered.tracks.drop(*[f"{c}_w" for c in WEIGHTS])
+    per_cluster = settle(cluster_summary(placed))
+    return ClusterPlaylists(place_clustered(placed, per_cluster, order), merge_by_name(per_cluster), clustered)
 
 
 def distribution_check(summary: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 from typing import BinaryIO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.functions import signal as S
-from trackweave.functions.scalars import as_float, as_int
+from trackweave.functions.scalars import KEY_NAMES, as_float, as_int, beat_confidence, key_index, scale_index
 from trackweave.schema import FEATURES_SCHEMA, INTEGER_MEASURES, MEASURES
 from trackweave.sources.m3u import open_filesystem
 
@@ -28,6 +28,9 @@ MEASURE_DEFAULTS = {
     "zcr": 0.0,
 }
 
+# A file takes seconds: a task of some hundred is long enough, and cheap to repeat.
+FILES_PER_TASK = 200
+
 # Called with the path and the opened file, which it may read whole or piece by piece.
 Extractor = Callable[[str, BinaryIO], dict]
 
@@ -36,7 +39,8 @@ def extract_measures(files: DataFrame, extractor: Extractor, tasks: int | None =
     """Call ``extractor(path, opened_file)`` for each file; failures become ``error`` text.
 
     Only file names travel: each task opens its own files, one at a time. No file is lost:
-    every input row gives one output row.
+    every input row gives one output row. Without ``tasks`` the files are counted and dealt to at
+    least four tasks per core, or as many as get ``FILES_PER_TASK`` each.
     """
     measured = [T.StructField(c, FEATURES_SCHEMA[c].dataType) for c in MEASURES]
     schema = T.StructType([*files.schema.fields, *measured, T.StructField("error", T.StringType())])
@@ -60,8 +64,10 @@ def extract_measures(files: DataFrame, extractor: Extractor, tasks: int | None =
                     found[name] = found[name].astype("Int32")
             yield pd.concat([batch, found], axis=1)
 
-    spread = files.repartition(tasks, "file_path") if tasks else files.repartition("file_path")
-    return spread.mapInPandas(run, schema)
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    # A count of its own: adaptive execution would put this many short names into one task.
+    count = tasks or max(4 * cores, -(-files.count() // FILES_PER_TASK))
+    return files.repartition(count, "file_path").mapInPandas(run, schema)
 
 
 def fill_required(measured: DataFrame) -> DataFrame:
@@ -69,6 +75,29 @@ def fill_required(measured: DataFrame) -> DataFrame:
     return measured.fillna(0.0, ["bpm", "centroid", "duration"])
 
 
+def _raw_measures(tracks: DataFrame) -> dict[str, Column]:
+    """Raw extractor outputs as numbers, by the type they come in.
+
+    Keys and scales may be names, an onset rate may be an array of arrays; the confidence is clamped.
+    """
+    types = {f.name: f.dataType for f in tracks.schema}
+    raw = {c: as_float(F.col(c)) for c in ("bpm", "danceability", "onset_rate") if c in types}
+    if "beat_confidence" in types:
+        raw["beat_confidence"] = beat_confidence(as_float(F.col("beat_confidence")))
+    if isinstance(types.get("onset_rate"), T.ArrayType):
+        nested = isinstance(types["onset_rate"].elementType, T.ArrayType)
+        raw["onset_rate"] = S.first_number(F.col("onset_rate"), nested)
+    for name, named, is_name in (
+        ("key", key_index, lambda c: c.isin(KEY_NAMES)),
+        ("scale", scale_index, lambda c: c.isin("major", "minor")),
+    ):
+        if name in types:
+            number = F.coalesce(F.col(name).try_cast("int"), F.lit(MEASURE_DEFAULTS[name]))
+            text = isinstance(types[name], T.StringType)
+            raw[name] = F.when(is_name(F.col(name)), named(F.col(name))).otherwise(number) if text else number
+    return raw
+
+
 def measures_from_samples(
     tracks: DataFrame,
     failed: str = "error",
@@ -87,13 +116,13 @@ def measures_from_samples(
     length = F.size("samples")
     measured = tracks.withColumn("_m", S.measures(F.col("samples")))
     raw = {
+        **_raw_measures(tracks),
         "loudness": F.col("_m.rms"),
         "zcr": F.col("_m.zcr"),
         "centroid": S.centroid_hz(F.col("_m.slope")),
-        **{c: F.col(c) for c in ("bpm", "beat_confidence", "danceability", "onset_rate", "scale") if c in present},
     }
     if "key" in present:
-        raw["key"] = F.when(length >= min_key_samples, F.col("key")).otherwise(-1)
+        raw["key"] = F.when(length >= min_key_samples, raw["key"]).otherwise(-1)
         raw["scale"] = F.when(length >= min_key_samples, raw.get("scale", F.lit(0))).otherwise(0)
     complete = length >= min_samples
     if failed in present:

@@ -13,7 +13,7 @@ from trackweave.operators.extraction import Extractor, extract_measures, fill_re
 from trackweave.operators.grouping import GroupingRules, rule_playlists
 from trackweave.plans.output import save_failed, save_playlists
 from trackweave.schema import MEASURES, PLAYLIST_TRACKS_SCHEMA, PLAYLISTS_SCHEMA
-from trackweave.session import settle, store
+from trackweave.session import settle, settle_small, store
 from trackweave.sources.files import big_enough, list_files, too_small
 from trackweave.sources.table import FeatureTable, KeyedTable
 from trackweave.functions.paths import is_audio
@@ -47,14 +47,18 @@ class RunReport:
     saved_tracks: int
 
 
-def purge(workspace: Workspace, listing: DataFrame, music_dir: str) -> DataFrame:
+def purge(workspace: Workspace, listing: DataFrame, music_dir: str, everywhere: bool = False) -> DataFrame:
     """Drop feature rows of files gone from ``music_dir``; returns their paths.
 
-    Rows of files elsewhere are kept: the listing says nothing about them. An empty listing
+    Rows of files elsewhere are kept, since the listing says nothing about them; with ``everywhere``
+    they go too. An empty listing
     with rows to lose is taken for a failed mount and refused.
     """
     features = workspace.features.read()
-    below = features.where(F.col("file_path").startswith(music_dir.rstrip("/") + "/"))
+    root = music_dir.rstrip("/")
+    if root.startswith("file:"):
+        root = "/" + root.removeprefix("file:").lstrip("/")
+    below = features if everywhere else features.where(F.col("file_path").startswith(root + "/"))
     if listing.isEmpty() and not below.isEmpty():
         raise RuntimeError(f"no files found below {music_dir}; refusing to purge the feature table")
     missing = store(C.missing_rows(below, listing).select("file_path", "file_hash"))
@@ -104,7 +108,7 @@ def run_full(
     if not good.isEmpty():
         result = cluster_playlists(good, num_playlists, order="seq")
         save_playlists(result.tracks, result.summary, output_dir, music_dir, host_music_dir)
-        playlists, tracks = result.summary.agg(F.count("*"), F.sum("size")).first()
+        playlists, tracks = result.summary.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     failures = save_failed(failed, output_dir, music_dir, host_music_dir)
     return RunReport(good.count(), failures, missing.count(), playlists, tracks)
 
@@ -113,13 +117,13 @@ def store_links(workspace: Workspace, tracks: DataFrame, summary: DataFrame, kep
     """Fill the playlist and link tables from a rule grouping.
 
     Known names keep their id and creation time, kept links their time; every playlist is
-    stamped. Playlist rows number one per playlist name and are broadcast.
+    stamped. Playlist rows number one per playlist name; they are broadcast only up to the counted limit.
     """
     known = workspace.playlists.read()
     top = known.agg(F.max("id")).first()[0] or 0
     fresh_id = F.row_number().over(Window.orderBy("playlist_order")) + F.lit(top)
     named = summary.withColumn("fresh_id", fresh_id).join(
-        F.broadcast(known.withColumnRenamed("name", "playlist")), "playlist", "full_outer"
+        known.withColumnRenamed("name", "playlist"), "playlist", "full_outer"
     )
     playlists = settle(
         named.select(
@@ -129,20 +133,23 @@ def store_links(workspace: Workspace, tracks: DataFrame, summary: DataFrame, kep
             now().alias("last_updated"),
         )
     )
-    ids = playlists.select(F.col("id").alias("playlist_id"), F.col("name").alias("playlist"))
+    ids = settle_small(playlists.select(F.col("id").alias("playlist_id"), F.col("name").alias("playlist")))
     links = (
         tracks.select("playlist", "file_hash")
-        .join(F.broadcast(ids), "playlist")
+        .join(ids, "playlist")
         .select("playlist_id", "file_hash")
         .join(kept, ["playlist_id", "file_hash"], "left")
         .withColumn("added", F.coalesce("added", now()))
     )
-    workspace.links.rewrite(links)
+    # Playlists first: a crash in between leaves no link to a playlist that is not there.
     workspace.playlists.rewrite(playlists)
+    workspace.links.rewrite(links)
 
 
 def _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept) -> RunReport:
-    result = rule_playlists(workspace.features.read(), rules, unique_hashes=True)
+    # Several passes read these columns: they are taken out of the table once.
+    columns = ["file_hash", "file_path", "bpm", "centroid", "danceability", "key", "scale", "ingest_seq"]
+    result = rule_playlists(store(workspace.features.read().select(*columns)), rules, unique_hashes=True)
     tracks, summary = store(result.tracks), settle(result.summary)
     if kept is not None:
         store_links(workspace, tracks, summary, kept)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.paths import host_path, sanitise_name
-from trackweave.sources.m3u import LINES_PER_FILE, write_m3u
+from trackweave.sources.m3u import LINES_PER_PART, write_m3u
 
 ALL_TRACKS = "All_Successful_Tracks"
 FAILED_FILES = "Failed_Files"
@@ -29,6 +29,20 @@ def all_tracks(tracks: DataFrame, summary: DataFrame) -> DataFrame:
     )
 
 
+def clean_file_names(summary: DataFrame) -> DataFrame:
+    """(playlist, name): names without special characters, still one for each playlist.
+
+    Playlists whose cleaned names meet get a mark of their own name; one that had the plain
+    name all along keeps it.
+    """
+    cleaned = summary.select("playlist", sanitise_name(F.col("playlist")).alias("name"))
+    several = F.count("*").over(Window.partitionBy("name")) > 1
+    mark = F.concat_ws("_", "name", F.substring(F.md5("playlist"), 1, 8))
+    return cleaned.select(
+        "playlist", F.when(several & (F.col("name") != F.col("playlist")), mark).otherwise(F.col("name")).alias("name")
+    )
+
+
 def save_playlists(
     tracks: DataFrame,
     summary: DataFrame,
@@ -37,19 +51,19 @@ def save_playlists(
     host_root: str = "",
     clean_names: bool = False,
     strict_prefix: bool = False,
-    lines_per_file: int = LINES_PER_FILE,
+    layout: str = "single",
+    lines_per_part: int = LINES_PER_PART,
 ) -> None:
-    """One ordered file per playlist and one file of all tracks, in a single shuffle."""
-    total = summary.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    name = sanitise_name(F.col("playlist")) if clean_names else F.col("playlist")
-    own = F.struct(name.alias("playlist"), "pos", F.col("size").cast("long").alias("size"))
-    every = F.struct(
-        F.lit(ALL_TRACKS).alias("playlist"), F.col("all_pos").alias("pos"), F.lit(total).cast("long").alias("size")
-    )
-    rows = all_tracks(tracks, summary).select(
-        host_path(F.col("file_path"), source_root, host_root, strict_prefix).alias("line"), F.inline(F.array(own, every))
-    )
-    write_m3u(rows, output_dir, lines_per_file)
+    """Every playlist in order and one list of all tracks, in a single shuffle; see ``sources.m3u`` for layouts."""
+    placed = all_tracks(tracks, summary)
+    if clean_names:
+        placed = placed.join(F.broadcast(clean_file_names(summary)), "playlist")
+    else:
+        placed = placed.withColumn("name", F.col("playlist"))
+    own = F.struct(F.col("name").alias("playlist"), "pos")
+    every = F.struct(F.lit(ALL_TRACKS).alias("playlist"), F.col("all_pos").alias("pos"))
+    line = host_path(F.col("file_path"), source_root, host_root, strict_prefix).alias("line")
+    write_m3u(placed.select(line, F.inline(F.array(own, every))), output_dir, layout, lines_per_part)
 
 
 def save_failed(
@@ -58,24 +72,18 @@ def save_failed(
     source_root: str = "",
     host_root: str = "",
     strict_prefix: bool = False,
-    lines_per_file: int = LINES_PER_FILE,
+    layout: str = "single",
+    lines_per_part: int = LINES_PER_PART,
 ) -> int:
-    """The distinct failed paths, in no particular order; nothing is written without any."""
+    """The distinct failed paths, sorted in each file; nothing is written without any."""
     paths = failed.select("file_path").distinct()
     count = paths.count()
-    parts = -(-count // lines_per_file)
     if count:
+        parts = -(-count // lines_per_part) if layout == "parts" else 1
         part = F.pmod(F.xxhash64("file_path"), F.lit(parts))
-        write_m3u(
-            paths.select(
-                F.lit(FAILED_FILES).alias("playlist"),
-                (part * lines_per_file + 1).alias("pos"),
-                F.lit(count).cast("long").alias("size"),
-                host_path(F.col("file_path"), source_root, host_root, strict_prefix).alias("line"),
-            ),
-            output_dir,
-            lines_per_file,
-        )
+        line = host_path(F.col("file_path"), source_root, host_root, strict_prefix).alias("line")
+        rows = paths.select(F.lit(FAILED_FILES).alias("playlist"), (part * lines_per_part + 1).alias("pos"), line)
+        write_m3u(rows, output_dir, layout, lines_per_part)
     return count
 
 

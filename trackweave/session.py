@@ -32,13 +32,15 @@ def local_session(app: str = "trackweave", cores: int | str = "*", **conf: str)
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Point checkpoints at the folder named in ``spark.checkpoint.dir``.
 
-    Only when nothing is configured (tests, laptops) a temporary folder is used;
-    on a cluster the setting must name shared storage.
+    Only when nothing is configured in local mode (tests, laptops) a temporary folder is used;
+    on a cluster it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
 
 

@@ -1,58 +1,87 @@
 """The m3u sink: ordered playlist files written by many tasks.
 
-A playlist of up to ``lines_per_file`` tracks becomes ``<name>.m3u``. A longer one becomes
-``<name>.00000.m3u``, ``<name>.00001.m3u`` ... which hold it in order, so no task ever
-handles an unbounded playlist. Tasks write aside; the driver renames when all are done.
+Layout ``single``: every playlist is one ``<name>.m3u``, written by one task as a stream. Layout
+``parts``: every playlist is ``<name>.00000.m3u``, ``<name>.00001.m3u`` ... in order, with a fixed number of
+lines each; choose it where one task is too few for a playlist. Tasks write aside; when all are done,
+tasks move the files into place.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
+import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-LINES_PER_FILE = 1_000_000
+from trackweave.session import store
 
+# Lines of a numbered part in the layout "parts".
+LINES_PER_PART = 1_000_000
+LAYOUTS = ("single", "parts")
 
-def open_filesystem(path: str):
-    """(file system, path) for a plain path or a URI."""
-    path = path.replace("s3a://", "s3://", 1)
+
+@cache
+def _filesystem(root: str):
+    """(file system, prefix of its paths) for the scheme and authority of a URI; opened once per process."""
+    return pafs.FileSystem.from_uri(root)
+
+
+def _cut(path: str) -> tuple[str, str]:
+    """(scheme and authority, the rest unparsed); the first is empty for local paths."""
     if path.startswith("file:"):
-        path = "/" + path.removeprefix("file:").lstrip("/")
-    if "://" in path:
-        return pafs.FileSystem.from_uri(path)
-    return pafs.LocalFileSystem(), path
+        return "", "/" + path.removeprefix("file:").lstrip("/")
+    if "://" not in path:
+        return "", path
+    scheme, rest = path.split("://", 1)
+    authority, _, inner = rest.partition("/")
+    return f"{scheme}://{authority}", inner
+
+
+def open_filesystem(path: str):
+    """(file system, path) for a plain path or a URI.
+
+    Only scheme and authority are parsed: names may hold spaces, ``#``, ``?`` and ``%``.
+    """
+    root, inner = _cut(path)
+    if not root:
+        return pafs.LocalFileSystem(), inner
+    fs, prefix = _filesystem(root.replace("s3a://", "s3://", 1))
+    return fs, f"{prefix.rstrip('/')}/{inner}"
+
+
+def outer_path(like: str, inner: str) -> str:
+    """The full form of a file system's own path, in the form of the path ``like`` it was found under."""
+    root, _ = _cut(like)
+    if not root:
+        return inner
+    _, prefix = _filesystem(root.replace("s3a://", "s3://", 1))
+    return f"{root}/{inner.removeprefix(prefix).lstrip('/')}"
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Files one task has written aside: (file name, lines)."""
+    """The folder aside one task has written its files to."""
 
     folder: str
-    files: list[tuple[str, int]]
 
 
 class M3uWriter(DataSourceArrowWriter):
-    def __init__(self, target: str):
-        self.target = target.rstrip("/")
-        self.aside = f"{self.target}/_writing-{uuid.uuid4().hex}"
+    def __init__(self, aside: str):
+        self.aside = aside
 
     def write(self, iterator):
         fs, base = open_filesystem(self.aside)
-        folder = f"{base}/{uuid.uuid4().hex}"
+        name_of_task = uuid.uuid4().hex
+        folder = f"{base}/{name_of_task}"
         fs.create_dir(folder, recursive=True)
-        files, stream, current, lines = [], None, None, 0
-
-        def close():
-            if stream is not None:
-                stream.close()
-                files.append((current, lines))
-
+        stream, current, lines = None, None, 0
         for batch in iterator:
             names = batch.column("file")
             start = 0
@@ -62,40 +91,32 @@ class M3uWriter(DataSourceArrowWriter):
                 other = pc.index(pc.not_equal(names.slice(start), name), True).as_py()
                 length = other if other >= 0 else len(names) - start
                 if name != current:
-                    close()
+                    if stream is not None:
+                        stream.close()
                     stream, current, lines = fs.open_output_stream(f"{folder}/{name}"), name, 0
                 text = "\n".join(batch.column("line").slice(start, length).to_pylist())
                 stream.write((("\n" if lines else "") + text).encode("utf-8"))
                 lines += length
                 start += length
-        close()
-        return Written(folder, files)
+        if stream is not None:
+            stream.close()
+        return Written(name_of_task)
 
     def commit(self, messages):
-        fs, base = open_filesystem(self.target)
-        done = [m for m in messages if m is not None]
-        written = {name for m in done for name, _ in m.files}
-        former = {}
-        for info in fs.get_file_info(pafs.FileSelector(base)):
-            if info.type == pafs.FileType.File and info.base_name.endswith(".m3u"):
-                former.setdefault(playlist_of(info.base_name), []).append(info.base_name)
-        for m in done:
-            for name, _ in m.files:
-                fs.move(f"{m.folder}/{name}", f"{base}/{name}")
-        # A playlist rewritten in fewer or more files must not keep files of its old form.
-        for playlist in {playlist_of(name) for name in written}:
-            for name in former.get(playlist, []):
-                if name not in written:
-                    fs.delete_file(f"{base}/{name}")
-        self._drop_aside()
+        """Name the folders of the tasks that count: others may be left by failed attempts."""
+        fs, base = open_filesystem(self.aside)
+        fs.create_dir(base, recursive=True)
+        with fs.open_output_stream(f"{base}/committed") as out:
+            out.write("\n".join(m.folder for m in messages if m is not None).encode("utf-8"))
 
     def abort(self, messages):
-        self._drop_aside()
+        _drop(self.aside)
+
 
-    def _drop_aside(self):
-        fs, folder = open_filesystem(self.aside)
-        if fs.get_file_info(folder).type == pafs.FileType.Directory:
-            fs.delete_dir(folder)
+def _drop(folder: str) -> None:
+    fs, inner = open_filesystem(folder)
+    if fs.get_file_info(inner).type == pafs.FileType.Directory:
+        fs.delete_dir(inner)
 
 
 def playlist_of(file_name: str) -> str:
@@ -106,7 +127,7 @@ def playlist_of(file_name: str) -> str:
 
 
 class M3uSink(DataSource):
-    """``df.write.format("m3u")`` for rows (file, line) sorted by file in each partition."""
+    """``df.write.format("m3u")`` for rows (file, line) sorted by file in each partition; ``path`` is aside."""
 
     @classmethod
     def name(cls):
@@ -116,27 +137,97 @@ class M3uSink(DataSource):
         return M3uWriter(self.options["path"])
 
 
-def file_name(playlist: Column, pos: Column, size: Column, lines_per_file: int) -> Column:
-    part = F.lpad(F.floor((pos - 1) / lines_per_file).cast("string"), 5, "0")
-    return F.when(size <= lines_per_file, F.concat(playlist, F.lit(".m3u"))).otherwise(
-        F.concat(playlist, F.lit("."), part, F.lit(".m3u"))
-    )
+def _moved(aside: str, target: str):
+    """Move every file of the folders into place; a repeated task finds some of them moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_filesystem(target)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                inner = f"{open_filesystem(aside)[1]}/{folder}"
+                done = f"{inner}.moved"
+                names = [i.base_name for i in fs.get_file_info(pafs.FileSelector(inner))]
+                kept = fs.get_file_info(done)
+                if kept.type == pafs.FileType.File:
+                    with fs.open_input_file(done) as source:
+                        listed = source.read().decode("utf-8").split("\n")
+                else:
+                    listed = names
+                    with fs.open_output_stream(done) as out:
+                        out.write("\n".join(names).encode("utf-8"))
+                for name in names:
+                    fs.move(f"{inner}/{name}", f"{base}/{name}")
+                yield pa.record_batch([pa.array([n for n in listed if n], pa.string())], ["file"])
+
+    return run
+
+
+def _deleted(target: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_filesystem(target)
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                if fs.get_file_info(f"{base}/{name}").type == pafs.FileType.File:
+                    fs.delete_file(f"{base}/{name}")
+            yield batch
+
+    return run
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The playlist files in a folder."""
+    for batch in batches:
+        for folder in batch.column("folder").to_pylist():
+            fs, base = open_filesystem(folder)
+            infos = fs.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+            found = [i.base_name for i in infos if i.type == pafs.FileType.File and i.base_name.endswith(".m3u")]
+            yield pa.record_batch([pa.array(found, pa.string())], ["file"])
+
+
+def _playlist(file: Column) -> Column:
+    return F.regexp_replace(file, r"(\.\d{5})?\.m3u$", "")
+
+
+def file_name(playlist: Column, pos: Column, layout: str, lines_per_part: int) -> Column:
+    if layout not in LAYOUTS:
+        raise ValueError(f"layout must be one of {LAYOUTS}, not {layout!r}")
+    if layout == "single":
+        return F.concat(playlist, F.lit(".m3u"))
+    part = F.lpad(F.floor((pos - 1) / lines_per_part).cast("string"), 5, "0")
+    return F.concat(playlist, F.lit("."), part, F.lit(".m3u"))
+
 
+def write_m3u(
+    rows: DataFrame, target: str, layout: str = "single", lines_per_part: int = LINES_PER_PART
+) -> None:
+    """Write rows (playlist, pos, line): one shuffle by file, sorted by position.
 
-def write_m3u(rows: DataFrame, target: str, lines_per_file: int = LINES_PER_FILE) -> None:
-    """Write rows (playlist, pos, size, line): one shuffle by file, sorted by position."""
+    Files that a playlist had from an earlier run and does not have any more are deleted.
+    """
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(M3uSink)
+    target = target.rstrip("/")
     fs, base = open_filesystem(target)
     fs.create_dir(base, recursive=True)
+    aside = f"{target}/_writing-{uuid.uuid4().hex}"
     named = rows.select(
-        file_name(F.col("playlist"), F.col("pos"), F.col("size"), lines_per_file).alias("file"), "pos", "line"
+        file_name(F.col("playlist"), F.col("pos"), layout, lines_per_part).alias("file"), "pos", "line"
     )
     (
         named.repartition("file")
-        .sortWithinPartitions("file", "pos")
+        .sortWithinPartitions("file", "pos", "line")
         .select("file", "line")
         .write.format("m3u")
         .mode("append")
-        .save(target)
+        .save(aside)
     )
+    former = store(spark.createDataFrame([(target,)], "folder string").mapInArrow(_names, "file string"))
+    with fs.open_input_file(f"{open_filesystem(aside)[1]}/committed") as source:
+        folders = [(f,) for f in source.read().decode("utf-8").split("\n") if f]
+    count = max(1, min(len(folders), spark.sparkContext.defaultParallelism * 4))
+    tasks = spark.createDataFrame(folders, "folder string").repartition(count, "folder")
+    written = store(tasks.mapInArrow(_moved(aside, target), "file string"))
+    playlists = written.select(_playlist(F.col("file")).alias("playlist")).distinct()
+    stale = former.join(written, "file", "left_anti").withColumn("playlist", _playlist(F.col("file")))
+    stale.join(playlists, "playlist", "left_semi").select("file").mapInArrow(_deleted(target), "file string").count()
+    _drop(aside)

@@ -1,183 +1,218 @@
-"""Keyed Parquet tables that are changed by writing new parts and swapping a manifest.
+"""Keyed Parquet tables in hash buckets.
 
-``append`` and ``forget`` cost as much as their rows: they write one more part. ``read``
-keeps the newest row of each key; while the parts beside the largest one are small it
-shuffles only their keys' rows. ``compact`` makes the table one part again. A crash leaves
-the former manifest in force.
+A version of the table is a small text file that names the folder of every bucket. A change reads the
+buckets its keys fall into, writes them anew into a fresh folder, and publishes exactly the version
+after the one it read; if another writer was faster it starts again from that one. Readers see the
+old version or the new one, and a crash leaves the old one in force.
+
+Choose ``buckets`` so that one of them suits a task (about a gigabyte): a bucket is written by one.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 from functools import reduce
-from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trackweave.operators.cache import latest_per_key
-from trackweave.schema import FEATURES_SCHEMA, evolve_features
-from trackweave.session import BROADCAST_ROWS
+from trackweave.schema import FEATURES_SCHEMA, empty_table, evolve_features
+from trackweave.session import settle_small, store
 from trackweave.sources import storage
 
+BUCKETS = 16
+# Versions that stay readable; what only older ones name is deleted.
+KEPT_VERSIONS = 3
+RETRIES = 20
+
+
+@dataclass(frozen=True)
+class Version:
+    """What a version file says: folders by bucket, the largest sequence number, and the last batch of each stream."""
 
-class Part(NamedTuple):
-    """What the manifest says of a part: its largest sequence number and its row count."""
+    number: int = 0
+    buckets: int = BUCKETS
+    top: int = -1
+    folders: dict[int, str] = field(default_factory=dict)
+    batches: dict[str, int] = field(default_factory=dict)
 
-    top: int
-    rows: int
+    def text(self) -> str:
+        lines = [f"buckets {self.buckets}", f"top {self.top}"]
+        lines += [f"folder {b} {name}" for b, name in sorted(self.folders.items())]
+        lines += [f"batch {stream} {n}" for stream, n in sorted(self.batches.items())]
+        return "\n".join(lines) + "\n"
+
+    @staticmethod
+    def parse(number: int, text: str) -> Version:
+        lines = [line.split(" ") for line in text.splitlines()]
+        single = {line[0]: int(line[1]) for line in lines if len(line) == 2}
+        folders = {int(line[1]): line[2] for line in lines if line[0] == "folder"}
+        batches = {line[1]: int(line[2]) for line in lines if line[0] == "batch"}
+        return Version(number, single["buckets"], single["top"], folders, batches)
 
 
 class KeyedTable:
     """A table with unique ``keys``; among rows of one key the largest ``newest_by`` wins.
 
-    ``seq`` names a bigint column that numbers rows in order of arrival; only tables that
-    have one can ``forget`` keys.
+    ``seq`` names a bigint column that numbers rows in order of arrival.
     """
 
     def __init__(
-        self, spark: SparkSession, root: str, schema: T.StructType, keys: list[str], newest_by: list[str], seq: str = ""
+        self,
+        spark: SparkSession,
+        root: str,
+        schema: T.StructType,
+        keys: list[str],
+        newest_by: list[str],
+        seq: str = "",
+        buckets: int = BUCKETS,
     ):
         self.spark, self.root, self.schema, self.keys = spark, root.rstrip("/"), schema, keys
-        self.newest_by = newest_by
-        self.seq = seq
+        self.newest_by, self.seq, self.buckets = newest_by, seq, buckets
         # Inside one batch the sequence numbers do not exist yet: the other columns decide,
         # all of them, so a recomputed task picks the same row.
         known = [c for c in newest_by if c != seq]
         self.batch_order = known + [c for c in schema.names if c not in {*known, *keys, seq}]
 
-    def _manifests(self) -> list[str]:
-        names = storage.child_names(self.spark, f"{self.root}/manifest")
-        return sorted(n for n in names if n.isdigit())
-
-    def parts(self) -> dict[str, Part]:
-        """Parts in force; none while the table is new."""
-        manifests = self._manifests()
-        if not manifests:
-            return {}
-        lines = self.spark.read.text(f"{self.root}/manifest/{manifests[-1]}").collect()
-        entries = [line.value.split(" ") for line in lines if line.value]
-        return {name: Part(int(top), int(rows)) for name, top, rows in sorted(entries)}
-
-    def _publish(self, parts: dict[str, Part]) -> None:
-        manifests = self._manifests()
-        number = int(manifests[-1]) + 1 if manifests else 1
-        lines = "".join(f"{name} {part.top} {part.rows}\n" for name, part in sorted(parts.items()))
-        storage.write_text(self.spark, f"{self.root}/manifest/{number:010d}", lines or "\n")
-
-    def _load(self, part: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{part}")
-
-    def _described(self, name: str) -> Part:
-        top = F.max(self.seq) if self.seq else F.lit(-1)
-        found = self._load(name).agg(top, F.count("*")).first()
-        return Part(-1 if found[0] is None else found[0], found[1])
-
-    def _union(self, names: list[str]) -> DataFrame:
-        loaded = [self._load(name) for name in names]
-        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), loaded)
-
-    def _newest(self, rows: DataFrame) -> DataFrame:
-        return latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.newest_by])
-
-    def _without_gone(self, rows: DataFrame, parts: dict[str, Part]) -> DataFrame:
-        gone = [name for name in parts if name.startswith("gone-")]
-        if not gone:
-            return rows
-        marks = self.spark.read.parquet(*[f"{self.root}/{name}" for name in gone])
-        marks = marks.groupBy(*self.keys).agg(F.max("last_seq").alias("last_seq"))
-        if sum(parts[name].rows for name in gone) <= BROADCAST_ROWS:
-            marks = F.broadcast(marks)
-        same = [rows[k] == marks[k] for k in self.keys]
-        return rows.join(marks, [*same, rows[self.seq] <= marks["last_seq"]], "left_anti")
+    def _versions(self) -> list[int]:
+        names = storage.child_names(self.spark, f"{self.root}/versions")
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _file(self, number: int) -> str:
+        return f"{self.root}/versions/{number:012d}"
+
+    def version(self) -> Version:
+        """The version in force; number 0 while the table is new."""
+        for number in reversed(self._versions()):
+            text = storage.read_text(self.spark, self._file(number))
+            if text is not None:
+                return Version.parse(number, text)
+        return Version(buckets=self.buckets)
+
+    def _bucket(self, count: int) -> Column:
+        keys = [F.col(k).cast(self.schema[k].dataType) for k in self.keys]
+        return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
+
+    def _load(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*paths)
+
+    def _rows(self, version: Version, buckets: set[int] | None = None) -> DataFrame:
+        """Rows of some buckets, or of all."""
+        by_folder: dict[str, list[str]] = {}
+        for b, folder in sorted(version.folders.items()):
+            if buckets is None or b in buckets:
+                by_folder.setdefault(folder, []).append(f"{self.root}/{folder}/bucket={b}")
+        if not by_folder:
+            return empty_table(self.spark, self.schema)
+        loaded = [self._load(paths).select(*self.schema.names) for paths in by_folder.values()]
+        return reduce(DataFrame.unionByName, loaded)
 
     def read(self) -> DataFrame:
-        """The newest row of each key; an absent table is empty."""
-        parts = self.parts()
-        kept = sorted((n for n in parts if not n.startswith("gone-")), key=lambda n: parts[n].rows)
-        if not kept:
-            return self.spark.createDataFrame([], self.schema)
-        main = self._without_gone(self._load(kept[-1]), parts)
-        if len(kept) == 1:
-            return main
-        rest = self._without_gone(self._union(kept[:-1]), parts)
-        if sum(parts[name].rows for name in kept[:-1]) > BROADCAST_ROWS:
-            return self._newest(main.unionByName(rest, allowMissingColumns=True))
-        # Every part has unique keys: only rows of the main part whose key recurs compete.
-        again = F.broadcast(rest.select(*self.keys).distinct())
-        rivals = main.join(again, self.keys, "left_semi").unionByName(rest, allowMissingColumns=True)
-        untouched = main.join(again, self.keys, "left_anti")
-        return untouched.unionByName(self._newest(rivals), allowMissingColumns=True)
-
-    def append(self, rows: DataFrame, tag: str | None = None) -> str:
-        """Write ``rows`` as one more part and publish it.
-
-        The same ``tag`` written again (a replayed micro-batch) replaces its part, so a
-        batch counts once. Sequence numbers continue after those of the other parts.
+        """The rows in force, one for each key; an absent table is empty. Nothing is shuffled."""
+        return self._rows(self.version())
+
+    def _write(self, rows: DataFrame, count: int) -> tuple[str, set[int]]:
+        """Write rows, which have ``bucket`` and come by bucket, to a fresh folder; which buckets are there."""
+        folder = f"data-{uuid.uuid4().hex}"
+        rows.select(*self.schema.names, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        names = storage.child_names(self.spark, f"{self.root}/{folder}")
+        return folder, {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
+
+    def _publish(self, version: Version) -> bool:
+        """Make ``version`` the one after its predecessor, unless that has a successor already."""
+        if not storage.create_text(self.spark, self._file(version.number), version.text()):
+            return False
+        numbers = self._versions()
+        old, kept = numbers[:-KEPT_VERSIONS], numbers[-KEPT_VERSIONS:]
+        texts = {n: storage.read_text(self.spark, self._file(n)) for n in [*old, *kept]}
+        named = {n: set(Version.parse(n, text).folders.items()) for n, text in texts.items() if text}
+        alive = set().union(*(named.get(n, set()) for n in kept))
+        for b, folder in set().union(*(named.get(n, set()) for n in old)) - alive:
+            storage.delete(self.spark, f"{self.root}/{folder}/bucket={b}")
+        for n in old:
+            storage.delete(self.spark, self._file(n))
+        return True
+
+    def _change(self, touched: DataFrame | None, make: Callable[[Version, DataFrame], DataFrame], **marks) -> None:
+        """Rewrite the buckets that ``touched`` keys fall into (None: all) as ``make`` says; again after a conflict."""
+        for _ in range(RETRIES):
+            base = self.version()
+            count = base.buckets
+            if touched is None:
+                buckets = set(range(count))
+            else:
+                buckets = {r[0] for r in touched.select(self._bucket(count)).distinct().collect()}
+            bucketed = make(base, self._rows(base, buckets)).withColumn("bucket", self._bucket(count))
+            folder, written = self._write(bucketed.repartition(count, "bucket"), count)
+            rest = {b: f for b, f in base.folders.items() if b not in buckets}
+            top = base.top
+            if self.seq and written:
+                fresh = self._load([f"{self.root}/{folder}/bucket={b}" for b in sorted(written)])
+                last = fresh.agg(F.max(self.seq)).first()[0]
+                top = top if last is None else max(top, last)
+            new = replace(
+                base,
+                number=base.number + 1,
+                top=top,
+                folders={**rest, **{b: folder for b in written}},
+                batches={**base.batches, **marks.get("batches", {})},
+            )
+            if self._publish(new):
+                return
+            storage.delete(self.spark, f"{self.root}/{folder}")
+        raise RuntimeError(f"{self.root}: {RETRIES} changes in a row were overtaken by other writers")
+
+    def append(self, rows: DataFrame, stream: str = "", batch: int = -1) -> None:
+        """Add ``rows``; of each key the newest row stays.
+
+        A ``stream``'s batches count once: one that is not beyond the last batch is skipped. Sequence
+        numbers continue after the largest one.
         """
-        part = f"part-{tag or uuid.uuid4().hex}"
-        others = {name: old for name, old in self.parts().items() if name != part}
+        if stream and batch <= self.version().batches.get(stream, -1):
+            return
         newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.batch_order])
         if self.seq:
-            start = max((old.top for old in others.values()), default=-1) + 1
-            # Numbered in the writing stage itself: each task commits its file as a whole.
-            newest = newest.withColumn(self.seq, F.monotonically_increasing_id() + F.lit(start).cast("long"))
-        newest.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/{part}")
-        self._publish({**others, part: self._described(part)})
-        return part
+            newest = newest.withColumn(self.seq, F.monotonically_increasing_id())
+        # Settled: a recomputed task must not number rows in another way.
+        fresh = store(newest.select(*self.schema.names))
+        if fresh.isEmpty():
+            return
+
+        def merged(base: Version, old: DataFrame) -> DataFrame:
+            new = fresh.withColumn(self.seq, F.col(self.seq) + F.lit(base.top + 1)) if self.seq else fresh
+            both = old.unionByName(new).withColumn("bucket", self._bucket(base.buckets)).repartition(base.buckets, "bucket")
+            # The bucket leads the window's keys: rows meet where they are written.
+            kept = latest_per_key(both, ["bucket", *self.keys], [F.desc_nulls_last(c) for c in self.newest_by])
+            return kept.drop("bucket")
+
+        self._change(fresh, merged, batches={stream: batch} if stream else {})
 
     def forget(self, keys: DataFrame) -> None:
-        """Delete the rows of ``keys`` by writing only the keys; rows added later count again."""
-        if not self.seq:
-            raise ValueError("only a table with sequence numbers can forget keys")
-        parts = self.parts()
-        part = f"gone-{uuid.uuid4().hex}"
-        last = max((old.top for old in parts.values()), default=-1)
-        marked = keys.select(*self.keys).distinct().withColumn("last_seq", F.lit(last).cast("long"))
-        marked.write.parquet(f"{self.root}/{part}")
-        count = self.spark.read.parquet(f"{self.root}/{part}").count()
-        self._publish({**parts, part: Part(last, count)})
+        """Delete the rows of ``keys``; rows added later count again."""
+        gone = settle_small(keys.select(*self.keys).distinct())
+        if not gone.isEmpty():
+            self._change(gone, lambda base, old: old.join(gone, self.keys, "left_anti"))
 
     def rewrite(self, rows: DataFrame) -> None:
-        """Replace the whole table by ``rows`` (one row per key), as a single part."""
-        part = f"base-{uuid.uuid4().hex}"
-        rows.select(*self.schema.names).write.parquet(f"{self.root}/{part}")
-        self._publish({part: self._described(part)})
-
-    def merge_batches(self) -> None:
-        """Merge the parts of single micro-batches into one; larger parts are not touched."""
-        parts = self.parts()
-        batches = [p for p in parts if p.startswith("part-batch-")]
-        if len(batches) < 2:
-            return
-        merged = f"part-merged-{uuid.uuid4().hex}"
-        self._newest(self._union(batches)).select(*self.schema.names).write.parquet(f"{self.root}/{merged}")
-        rest = {name: old for name, old in parts.items() if name not in batches}
-        self._publish({**rest, merged: self._described(merged)})
-
-    def compact(self) -> None:
-        """Fold every part into one, without deleted rows."""
-        if len(self.parts()) > 1:
-            self.rewrite(self.read())
-
-    def vacuum(self) -> list[str]:
-        """Delete parts the manifest in force does not name; only when nothing reads older ones."""
-        keep = set(self.parts())
-        found = storage.child_names(self.spark, self.root)
-        stale = [n for n in found if n.startswith(("part-", "base-", "gone-")) and n not in keep]
-        for name in stale:
-            storage.delete(self.spark, f"{self.root}/{name}")
-        return stale
+        """Replace the whole table by ``rows`` (one row per key)."""
+        settled = store(rows.select(*self.schema.names))
+        self._change(None, lambda base, old: settled)
 
 
 class FeatureTable(KeyedTable):
-    """Track features by content hash; parts written before a column existed get its default."""
+    """Track features by content hash; buckets written before a column existed get its default."""
 
-    def __init__(self, spark: SparkSession, root: str, newest_by: list[str] | None = None):
-        super().__init__(spark, root, FEATURES_SCHEMA, ["file_hash"], newest_by or ["ingest_seq"], "ingest_seq")
+    def __init__(
+        self, spark: SparkSession, root: str, newest_by: list[str] | None = None, buckets: int = BUCKETS
+    ):
+        order = newest_by or ["ingest_seq"]
+        super().__init__(spark, root, FEATURES_SCHEMA, ["file_hash"], order, "ingest_seq", buckets)
         recent = ["last_modified", "last_analyzed"]
         self.batch_order = recent + [c for c in self.batch_order if c not in recent]
 
-    def _load(self, part: str) -> DataFrame:
-        return evolve_features(super()._load(part))
+    def _load(self, paths: list[str]) -> DataFrame:
+        return evolve_features(super()._load(paths))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,25 +15,23 @@ from trackweave.session import store
 from trackweave.sources.files import big_enough, describe_files, too_small
 from trackweave.sources.table import FeatureTable, KeyedTable
 
-MERGE_BATCHES = 32
+def stream_name(checkpoint: str) -> str:
+    """A stream's mark in the table: batches are numbered for each checkpoint folder."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()
 
 
 def upsert_stream(
-    rows: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = True, merge_batches: int = MERGE_BATCHES
+    rows: DataFrame, table: KeyedTable, checkpoint: str, available_now: bool = True
 ) -> StreamingQuery:
     """Upsert every micro-batch of ``rows`` into ``table``.
 
-    A batch adds one part named after its number, so its cost follows the batch and a
-    replay replaces the part it wrote before. Which row of a key is newest is decided by
-    the table (``newest_by``), within and across batches: late rows never win. Every
-    ``merge_batches`` batches their parts are merged; ``table.compact()`` is left to a
-    maintenance run, because it rewrites the whole table.
+    A batch rewrites the buckets its keys fall into, and counts once even if it is replayed. Which row
+    of a key is newest is decided by the table (``newest_by``), within and across batches: late rows
+    never win.
     """
 
     def take(batch: DataFrame, number: int) -> None:
-        table.append(batch, f"batch-{number:012d}")
-        if (number + 1) % merge_batches == 0:
-            table.merge_batches()
+        table.append(batch, stream_name(checkpoint), number)
 
     query = rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (query.trigger(availableNow=True) if available_now else query).start()
@@ -48,7 +48,8 @@ def watch_directory(
 ) -> StreamingQuery:
     """Measure files as they appear below ``music_dir``; unchanged ones are skipped.
 
-    Failed paths go to the Parquet folder ``failures``, one subfolder per batch.
+    Failed paths go to the Parquet folder ``failures``, one subfolder per batch. Spark's streaming file
+    source passes over names that start with ``_`` or ``.``; a run over the listing takes those.
     """
     stream = (
         spark.readStream.format("binaryFile")
@@ -64,7 +65,7 @@ def watch_directory(
         fresh = store(extract_measures(found, extractor))
         good = C.coerce_measures(fresh.where("error IS NULL").drop("error", "length"))
         stamped = good.withColumn("last_analyzed", F.current_timestamp().cast("timestamp_ntz"))
-        features.append(stamped, f"batch-{number:012d}")
+        features.append(stamped, stream_name(checkpoint), number)
         small = too_small(audio).select("file_path", F.lit("too small").alias("error"))
         failed = fresh.where("error IS NOT NULL").select("file_path", "error").unionByName(small)
         failed.write.mode("overwrite").parquet(f"{failures}/batch={number}")
