@@ -177,7 +177,7 @@ def m3u_roundtrip(spark, sf_dir):
     result = _rule(spark, sf_dir)
     save_playlists(store(result.tracks), settle(result.summary), target, "/music", "/srv/media")
     files = spark.read.text(target, wholetext=True, pathGlobFilter="*.m3u")
-    name = F.regexp_replace("_metadata.file_name", r"\.m3u$", "").alias("playlist")
+    name = F.regexp_replace(F.url_decode("_metadata.file_name"), r"\.m3u$", "").alias("playlist")
     return files.select(name, F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
 
 
