@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackweave.catalog.inputs import TRACKS, Query, case, tracks
+from trackweave.catalog.inputs import TRACKS, Query, case, table, tracks
 from trackweave.functions import labels as L
 from trackweave.operators import grouping as G
 from trackweave.session import settle
 
+# The label ladders and key names, written from the published cut-offs.
 BPM = case("bpm", [(70, "Slow"), (100, "Medium"), (130, "Upbeat"), (160, "Fast"), (None, "VeryFast")])
 ENERGY = case(
     "danceability", [(0.3, "Chill"), (0.5, "Mellow"), (0.7, "Groovy"), (0.85, "Energetic"), (None, "Intense")]
@@ -139,6 +140,7 @@ def label_documented(spark, sf_dir):
     )
 
 
+# The documented ladders.
 _DOC_TEMPO = case(
     "bpm",
     [
@@ -204,6 +206,38 @@ def groups_repeated_hashes(spark, sf_dir):
     return groups.select("playlist", "size", "first_seq", "mood_group")
 
 
+# Seven of ten tracks are Balanced, three are Warm, and every tenth path is held by both: split by the path's
+# mood, the large group gives a part the name of the small one.
+COLLIDING = """
+SELECT o_orderkey AS ingest_seq, CAST(o_orderkey AS STRING) AS file_hash,
+  '/m/' || CASE WHEN o_orderkey % 10 IN (2, 3) THEN 'x' || (o_orderkey - o_orderkey % 10) ELSE '' || o_orderkey END AS file_path,
+  6e1 AS bpm, 1e-1 AS danceability, CASE WHEN o_orderkey % 10 < 3 THEN 1e2 ELSE 2e3 END AS centroid,
+  -1 AS key, 0 AS scale
+FROM {orders}
+"""
+
+
+def name_collisions(spark, sf_dir):
+    """Playlists of one name under both policies: the later one alone, or all their tracks."""
+    rows = spark.sql(COLLIDING, orders=table(spark, sf_dir, "orders"))
+    half = rows.count() // 2
+    out = []
+    for policy in ("last", "union"):
+        rules = G.GroupingRules(max_size=half, on_collision=policy)
+        placed = G.rule_playlists(rows, rules, unique_hashes=True).tracks
+        out.append(placed.select(F.lit(policy).alias("policy"), "playlist", "pos", "file_hash"))
+    return out[0].unionByName(out[1])
+
+
+NAME_COLLISIONS_SQL = """
+WITH t AS (
+  SELECT o_orderkey AS seq, o_orderkey % 10 < 3 AS small, o_orderkey % 10 <= 3 AS warm, p.policy FROM orders,
+    (VALUES ('last'), ('union')) p(policy)
+  WHERE p.policy = 'union' OR o_orderkey % 10 <> 3)
+SELECT policy, CASE WHEN warm THEN 'Slow_Chill_Warm' ELSE 'Slow_Chill_Balanced' END AS playlist,
+  row_number() OVER (PARTITION BY policy, warm ORDER BY small, seq) AS pos, CAST(seq AS VARCHAR) AS file_hash FROM t"""
+
+
 def group_sizes_ranked(spark, sf_dir):
     plan = G.merge_map(_groups(spark, sf_dir), G.GroupingRules())
     return plan.select("playlist", "size", F.col("size_order").cast("long").alias("size_order"))
@@ -295,6 +329,7 @@ QUERIES = {
     "groups_repeated_hashes": Query(
         groups_repeated_hashes, f"{GROUPS_REPEATED} SELECT playlist, size, first_seq, mood_group FROM groups"
     ),
+    "name_collisions": Query(name_collisions, NAME_COLLISIONS_SQL),
     "group_sizes_ranked": Query(group_sizes_ranked, f"{MERGED} SELECT playlist, size, size_order FROM ranked"),
     "merge_small": Query(
         merge_small,
