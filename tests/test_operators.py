@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackweave.operators import cache as C
 from trackweave.operators import clustering as K
 from trackweave.operators import grouping as G
+from trackweave.operators import medians
 from trackweave.operators.medians import exact_medians, narrowed_medians
 from trackweave.operators.ranking import position_within
 
@@ -199,3 +200,21 @@ def test_merge_by_name_folds_medians_in_cluster_order(spark):
     got = {r.playlist: r for r in K.merge_by_name(summary).collect()}
     assert (got["X"]["size"], got["X"].bpm, got["X"].playlist_order) == (7, (((2 + 8) / 2) + 1) / 2, 1)
     assert (got["Y"]["size"], got["Y"].bpm, got["Y"].playlist_order) == (7, 9.0, 2)
+
+
+def test_narrowing_goes_on_until_groups_are_small(spark, monkeypatch):
+    rng = random.Random(1)
+    rows = [("a", float(rng.choice([1, 2]))) for _ in range(300)] + [("b", rng.random()) for _ in range(301)]
+    rows += [("c", rng.choice([0.0, 1e300, -1e300, 5.0])) for _ in range(200)] + [("d", 7.0)] * 99
+    df = spark.createDataFrame(rows, "k string, v double")
+    want = {k: statistics.median([v for g, v in rows if g == k]) for k in "abcd"}
+    for grid in (medians.GRID, 2):  # a grid of two quantiles narrows nothing
+        monkeypatch.setattr(medians, "GRID", grid)
+        assert {r.k: r.median for r in medians.narrowed_medians(df, "k", ["v"], 10).collect()} == want
+
+
+def test_measures_must_be_finite(spark):
+    rows = [("/a", 100.0, 1.0, 0.5), ("/b", float("inf"), 2.0, 0.5)]
+    df = spark.createDataFrame(rows, "file_path string, bpm double, centroid double, danceability double")
+    with pytest.raises(ValueError, match="bpm"):
+        K.scale_weighted(K.clean_tracks(df))

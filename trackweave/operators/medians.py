@@ -11,7 +11,6 @@ from trackweave.session import settle
 DIRECT_ROWS = 500_000
 GRID = 1000
 ACCURACY = 10_000
-MAX_ROUNDS = 6
 
 
 def exact_medians(rows: DataFrame, key: str, columns: list[str], direct_rows: int = DIRECT_ROWS) -> DataFrame:
@@ -38,9 +37,9 @@ def narrowed_medians(rows: DataFrame, key: str, columns: list[str], direct_rows:
     Each round brackets the middle rows between grid points of an approximate quantile
     sketch and counts the rows below the bracket. A bracket that misses the middle
     (sketch error) is dropped in favour of the former one, so the result never depends on
-    the sketch. Rounds stop when a bracket holds few rows or a single value; then the
-    distinct values inside are counted and walked. Every table but ``rows`` holds one line
-    per (key, measure).
+    the sketch; where a round has not narrowed anything the next one halves the range of values.
+    Rounds go on until every bracket holds few rows or two values at most; then the distinct values
+    inside are counted and walked. Every table but ``rows`` holds one line per (key, measure).
     """
     on = [key, "measure"]
     pairs = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in columns])
@@ -56,21 +55,42 @@ def narrowed_medians(rows: DataFrame, key: str, columns: list[str], direct_rows:
     def inside() -> DataFrame:
         return long.join(F.broadcast(bounds), on).where(F.col("v").between(F.col("lo"), F.col("hi")))
 
-    for _ in range(MAX_ROUNDS):
-        open_groups = bounds.where((F.col("held") > direct_rows) & (F.col("lo") < F.col("hi")))
-        if open_groups.isEmpty():
+    def halved() -> DataFrame:
+        """Bounds cut at the middle of their values: the half with both middle rows, or the two values around."""
+        middle = F.col("lo") / 2 + F.col("hi") / 2
+        cut = inside().groupBy(on).agg(
+            F.count_if(F.col("v") <= middle).alias("left"),
+            F.max(F.when(F.col("v") <= middle, F.col("v"))).alias("last"),
+            F.min(F.when(F.col("v") > middle, F.col("v"))).alias("next"),
+        )
+        first_half = ranked[1] < F.col("below") + F.col("left")
+        second_half = ranked[0] >= F.col("below") + F.col("left")
+        return bounds.join(cut, on).select(
+            *on,
+            F.when(second_half, F.coalesce("next", "lo")).when(first_half, F.col("lo")).otherwise(F.col("last")).alias("new_lo"),
+            F.when(first_half, F.col("last")).when(second_half, F.col("hi")).otherwise(F.col("next")).alias("new_hi"),
+        )
+
+    held = None
+    while True:
+        left = bounds.where((F.col("held") > direct_rows) & (F.col("lo") < F.col("hi")))
+        distinct = inside().join(F.broadcast(left.select(*on)), on).groupBy(on)
+        # Two values are few, however many rows have them.
+        between = distinct.agg(F.count_if((F.col("v") > F.col("lo")) & (F.col("v") < F.col("hi"))).alias("n"))
+        rest = between.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if not rest:
             break
+        stalled, held = rest == held, rest
         sketch = inside().groupBy(on).agg(
             F.percentile_approx("v", [i / GRID for i in range(GRID + 1)], ACCURACY).alias("grid")
         )
         step = F.floor((F.col("total") / 2 - F.col("below")) / F.col("held") * GRID).cast("int")
-        tried = settle(
-            bounds.join(sketch, on).select(
-                *on,
-                F.get("grid", F.greatest(step - 1, F.lit(0))).alias("new_lo"),
-                F.get("grid", F.least(step + 2, F.lit(GRID))).alias("new_hi"),
-            )
+        by_sketch = bounds.join(sketch, on).select(
+            *on,
+            F.get("grid", F.greatest(step - 1, F.lit(0))).alias("new_lo"),
+            F.get("grid", F.least(step + 2, F.lit(GRID))).alias("new_hi"),
         )
+        tried = settle(halved() if stalled else by_sketch)
         counted = inside().join(F.broadcast(tried), on).groupBy(on).agg(
             F.count_if(F.col("v") < F.col("new_lo")).alias("under"),
             F.count_if(F.col("v").between(F.col("new_lo"), F.col("new_hi"))).alias("within"),
