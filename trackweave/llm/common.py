@@ -28,7 +28,7 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if value is None else value for value in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text ``column`` has about ``limit`` bytes at most; a longer row comes alone.
 
     Bounds what a task holds at a time, whatever the number of rows in a batch.
