@@ -75,6 +75,14 @@ def test_nearest_notice_wins():
         assert row[5] == label and 0 < row[6] <= 1
 
 
+def test_every_place_of_many_notices():
+    one = b" gnu general public license version 2"
+    spans = licenses.fuzzy_spans(one * 200 + b" ")
+    assert [s[0] for s in spans] == [1 + len(one) * i for i in range(200)]
+    row = licenses.scan_text(b"under the MIT license. " * 2000)
+    assert row[:4] == (8000, 2000, 0, 7996)
+
+
 def test_odd_rows(odd, none):
     rows = licenses.scan(odd).collect()
     assert len(rows) == 10 and {r.labels for r in rows} == {""} and {r.score for r in rows} == {0.0}

@@ -7,6 +7,7 @@ library's bounded-error matching verifies the whole notice and gives its span.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -90,33 +91,35 @@ def fuzzy_spans(spaced: bytes) -> list[tuple[int, int, str, int]]:
                 starts.add(max(0, at - offset))
         reach = 0
         for start in sorted(starts):
-            low = max(start - edits, 0)
-            if low < reach:
+            if start + edits < reach:
                 continue  # inside the last match
-            m = pattern.search(spaced, low, min(len(spaced), start + len(notice) + 2 * edits))
+            m = pattern.search(spaced, max(start - edits, reach), min(len(spaced), start + len(notice) + 2 * edits))
             if m:
                 found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
                 reach = m.end()
     # Notices differ in a version or a letter: of those over the same words the nearest is meant.
     kept: list[tuple[int, int, str, int]] = []
     for span in sorted(found, key=lambda s: (s[3] / (s[1] - s[0]), s[0] - s[1], s[2])):
-        if all(span[1] <= a or b <= span[0] for a, b, *_ in kept):
-            kept.append(span)
-    return sorted(kept)
+        at = bisect_left(kept, span)
+        if (at == 0 or kept[at - 1][1] <= span[0]) and (at == len(kept) or span[1] <= kept[at][0]):
+            kept.insert(at, span)
+    return kept
 
 
 def scan_text(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float, list]:
     words = words_of(text)
     spaced = b" " + b" ".join(words) + b" "
     base = base_places(spaced)
-    starts = [spaced.count(b" ", 0, at) for at, _ in base]
     base_labels = {label for _, label in base}
     fuzzy = fuzzy_spans(spaced)
     # A notice's share of unedited characters is its certainty; a base phrase is certain.
     score = 1.0 if base else max([1 - edits / (end - start) for start, end, _, edits in fuzzy], default=0.0)
     labels = ",".join(sorted(base_labels | {label for _, _, label, _ in fuzzy}))
-    spans = [(label, spaced.count(b" ", 0, a + 1) - 1, e) for a, _, label, e in fuzzy]
-    first, last = (min(starts), max(starts)) if starts else (None, None)
+    spans, word, counted = [], -1, 0
+    for a, _, label, e in fuzzy:
+        word, counted = word + spaced.count(b" ", counted, a + 1), a + 1
+        spans.append((label, word, e))
+    first, last = [spaced.count(b" ", 0, pick(base)[0]) for pick in (min, max)] if base else (None, None)
     return len(words), len(base), first, last, ",".join(sorted(base_labels)), labels, score, spans
 
 
