@@ -72,6 +72,13 @@ def test_guessable_values_cost_less():
     assert secrets.guess_cost("x7$Kq!9zPw" * 50000, 10) == 10
 
 
+def test_long_values_take_linear_time():
+    assert secrets.guess_cost("a" * 300_000 + "b", 10) < 10
+    assert secrets.guess_cost("abc" * 40_000, 10) < 10
+    many = secrets.all_spans('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" pwd: changeme1234 ' * 3000)
+    assert [k for _, k, _, _ in many] == ["assign", "hex"] * 3000
+
+
 def test_method_adds_hard_values_only():
     assert secrets.all_spans("passphrase: x7$Kq!9zPwLm")[0][:3] == (12, "guess", 24)
     assert secrets.all_spans("passphrase: changeme1234") == []

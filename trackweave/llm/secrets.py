@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,6 +82,8 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
     for i in range(n - 2, -1, -1):
         if low[i : i + 2] in _steps():
             walk_end[i] = walk_end[i + 1]
+    # Per unit, the first place from here on where the value differs from itself a unit later.
+    differs = [-1] * 9
     for i in range(n):
         open_ends.discard(i)
         cost = best[i]
@@ -103,13 +107,12 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
             reach(found.end(), 0.3 + (2.0 if found.end() - i == 4 else 4.5))
         if walk_end[i] - i >= 3:
             reach(walk_end[i], 0.3 + math.log10(36 * (walk_end[i] - i)))
-        for unit in range(1, 9):
-            end = i + unit
-            piece = value[i:end]
-            while value.startswith(piece, end):
-                end += unit
+        for unit in range(1, min(9, n - i)):
+            if differs[unit] < i:
+                differs[unit] = next((j for j in range(i, n - unit) if value[j] != value[j + unit]), n - unit)
+            end = i + unit * (1 + (differs[unit] - i) // unit)
             if end - i >= max(3, 2 * unit):
-                reach(end, 0.3 + sum(map(_brute, piece)) + math.log10((end - i) / unit))
+                reach(end, 0.3 + sum(map(_brute, value[i : i + unit])) + math.log10((end - i) / unit))
     return min(best[n], enough)
 
 
@@ -135,10 +138,13 @@ def all_spans(text: str, enough: float = 10.0) -> list[tuple[int, str, int, tupl
     found = base_spans(text)
     low = text.lower()
     if any(h in low for h in HINTS):
-        covered = [span for *_, span in found]
+        covered = sorted(span for *_, span in found)
+        furthest = list(accumulate((b for _, b in covered), max))
         for m in CONTEXT.finditer(text):
             span = m.span(1)
-            if not any(a <= span[0] and span[1] <= b for a, b in covered) and guess_cost(m[1], enough) >= enough:
+            before = bisect_right(covered, (span[0], math.inf))
+            inside = before and span[1] <= furthest[before - 1]
+            if not inside and guess_cost(m[1], enough) >= enough:
                 found.append((span[0], "guess", span[1], span))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
