@@ -54,6 +54,15 @@ def test_equals_all_windows(spark, monkeypatch, keep_first, group):
     assert sum(w[0] > 0 for w in want) > 15
 
 
+def test_ranges_inside_a_text_are_joined():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1]), pa.array([2]), pa.array(["a" * 200_000])], ["doc_id", "text_hash", "text"])
+    rows = [r for b in repeats._pieces(repeats.Repeats())(iter([batch])) for r in b.to_pylist()]
+    assert len(rows) < 10
+    assert sorted(p for r in rows if r["anchor"] is None for p in (r["start"], r["start"] + r["windows"]))[-1] == 199_601
+
+
 def test_pieces_cover_every_window_once(monkeypatch):
     monkeypatch.setattr(repeats, "CHUNK", 500)
     rng = random.Random(12)

@@ -110,15 +110,19 @@ def _pieces(how: Repeats):
             rows, owner = [], []
             for at, text in enumerate(utf8(block.column("text"))):
                 first: dict[tuple[int, int], tuple[int, int]] = {}
-                again: list[tuple[int, int]] = []
+                again: dict[tuple[int, int], None] = {}
+                inner: list[tuple[int, int]] = []  # ranges of windows; neighbours are one range
                 for anchor, piece, start, count in cut(text, how):
                     if first.setdefault((anchor, piece), (start, count))[0] != start:
-                        again.append((anchor, piece))
-                        rows.append((None, None, start, count))
+                        again[anchor, piece] = None
+                        if inner and sum(inner[-1]) == start:
+                            inner[-1] = (inner[-1][0], inner[-1][1] + count)
+                        else:
+                            inner.append((start, count))
                 own = [(anchor, piece, *place) for (anchor, piece), place in first.items()]
                 if not how.keep_first:
-                    own += [(None, None, *first[k]) for k in dict.fromkeys(again)]
-                rows += own
+                    inner += [first[k] for k in again]
+                rows += own + [(None, None, *place) for place in inner]
                 owner += [at] * (len(rows) - len(owner))
             take = pa.array(owner, pa.int64())
             kinds = [pa.int64()] * 3 + [pa.int32()]
