@@ -201,6 +201,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Passages = Passages()) ->
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Passages = Passages()) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found, all columns as they were."""
-    bad = _found(docs, benchmark, how).select(F.col("text_hash").alias("_leak")).distinct()
-    bad = settle_small(store(bad))
-    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_leak"], "left_anti")
+    found = _found(docs, benchmark, how)
+    bad = settle_small(store(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()))
+    met = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"])
+    return docs.join(bad, met, "left_anti")
