@@ -127,3 +127,45 @@ def test_similar_texts_go_and_others_stay(spark):
     docs = spark.createDataFrame(list(enumerate(texts + near)), "doc_id bigint, text string")
     kept = {r.doc_id for r in simhash.keep_one(docs, simhash.similar_texts(0.8, 5)).collect()}
     assert kept == set(range(20))
+
+
+def shingles(text):
+    ws = text.split()
+    return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+
+def jaccard(a, b):
+    return len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def test_a_shared_repeated_phrase_does_not_make_texts_similar(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(12):
+        phrase = words(rng, 5)
+        for _ in range(2):
+            texts.append(" ".join([words(rng, 130), *[phrase] * 24]))
+    assert max(jaccard(a, b) for a in texts for b in texts if a is not b) < 0.1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert simhash.keep_one(docs, simhash.similar_texts(0.8, 5)).count() == len(texts)
+
+
+def test_set_forest_connects_what_all_pairs_connect():
+    rng = random.Random(9)
+    near = simhash.similar_texts(0.8, 5)
+    for _ in range(30):
+        sets = [set(rng.sample(range(1000), 20))]
+        for _ in range(25):
+            new = set(rng.choice(sets))
+            for _ in range(rng.randint(0, 4)):
+                new.add(rng.randrange(1000))
+            sets.append(new)
+        ids = list(range(len(sets)))
+        expected = roots(ids, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+        arrays = [np.array(sorted(s)) for s in sets]
+        # Some are known to be connected.
+        known = np.array([expected[i] if i % 3 else i for i in ids])
+        got = list(simhash.set_forest(arrays, known, near))
+        assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in got)
+        linked = {frozenset(x) for x in got} | {frozenset((i, j)) for i in ids for j in ids if known[i] == known[j]}
+        assert roots(ids, lambda a, b: frozenset((a, b)) in linked) == expected

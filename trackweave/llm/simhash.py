@@ -9,11 +9,12 @@ a bucket are linked where their whole fingerprints are near enough.
 Only distinct fingerprints get keys, so exact copies cost one row. A bucket sends on a spanning
 forest of its links (at most one row for each member), never its pairs; a bucket beyond
 ``GROUP`` members is dealt out as pairs of chunks.
+
+``keep_one`` uses keys to propose pairs only: its links are checked on the sets of shingles themselves.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,23 +38,28 @@ class Near:
     """What counts as near.
 
     ``checked``: words in a shingle and 64-bit words of the fingerprint that is compared;
-    ``radius``: bits in which two of them may differ. ``routed``: the same for the fingerprint
-    keys are made of; None: the compared one itself (then radius 3 finds all links).
+    ``radius``: bits in which two of them may differ (3: all links are found).
     """
 
     checked: tuple[int, int] = (3, 1)
     radius: int = 3
-    routed: tuple[int, int] | None = None
 
 
-def similar_texts(similarity: float = 0.8, words: int = 5) -> Near:
-    """Texts whose sets of ``words``-word shingles have at least this Jaccard similarity, as 256 bits tell it.
+@dataclass(frozen=True)
+class Similar:
+    """Texts whose sets of ``words``-word shingles have at least this Jaccard ``similarity``."""
+
+    similarity: float = 0.8
+    words: int = 5
 
-    Two vectors at angle a differ in a / pi of the bits; equal-sized sets of similarity s have
-    cosine 2s / (1 + s). Shingles of two words route, since a changed word harms fewer of them.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return Near((words, 4), round(256 * share), (2, 4))
+    def near(self, common, one, other):
+        """Whether ``common`` of ``one`` and ``other`` distinct shingles are enough; 0.8 is met by 4 of 5."""
+        return common + 1e-9 >= self.similarity * (one + other - common)
+
+
+def similar_texts(similarity: float = 0.8, words: int = 5) -> Similar:
+    """Keys only propose such pairs; every link is checked on the whole sets of shingles."""
+    return Similar(similarity, words)
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -120,13 +126,50 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 def _fingerprinted(near: Near):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            prints = _binary(fingerprints(utf8(block.column("text")), *near.checked))
+            columns = [block.column("doc_id"), block.column("text_hash"), prints]
+            yield pa.record_batch(columns, ["doc_id", "text_hash", "checked"])
+
+    return run
+
+
+def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, as hashes in order."""
+    return [np.unique(np.array(shingle_hashes(text, size), np.uint64)) for text in texts]
+
+
+def _routes(texts: list[bytes], sets: list[np.ndarray]) -> np.ndarray:
+    """Four words of SimHash over the distinct two-word shingles, since a changed word harms fewer of those."""
+    pairs = shingle_sets(texts, 2)
+    counts = np.fromiter(map(len, pairs), np.int64, len(pairs))
+    hashes = np.concatenate([np.empty(0, np.uint64), *pairs])
+    return np.stack([majority(_mixed(hashes, w), counts) for w in range(4)], axis=1)
+
+
+def _sketched(near: Similar):
+    """Node (hash of the set of shingles) and routes of every text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             texts = utf8(block.column("text"))
-            checked = fingerprints(texts, *near.checked)
-            keyed = fingerprints(texts, *near.routed) if near.routed else checked
-            columns = [block.column("doc_id"), block.column("text_hash"), _binary(checked), _binary(keyed)]
-            yield pa.record_batch(columns, ["doc_id", "text_hash", "checked", "routed"])
+            sets = shingle_sets(texts, near.words)
+            nodes = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            columns = [block.column("doc_id"), block.column("text_hash"), pa.array(nodes), _binary(_routes(texts, sets))]
+            yield pa.record_batch(columns, ["doc_id", "text_hash", "node", "routed"])
+
+    return run
+
+
+def _set_rows(near: Similar):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            sets = shingle_sets(utf8(block.column("text")), near.words)
+            ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            columns = [block.column("node"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.record_batch(columns, ["node", "grams"])
 
     return run
 
@@ -200,6 +243,21 @@ def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(key), pa.array(node)], ["key", "node"])
 
 
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and node get the first node of their key as ``hub``."""
+    key = hub = None
+    for batch in batches:
+        keys, nodes = np.asarray(batch.column("key")), np.asarray(batch.column("node"))
+        if not len(keys):
+            continue
+        starts = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+        first = nodes[starts]
+        if key == keys[0]:
+            first[0] = hub
+        yield pa.record_batch([pa.array(keys), pa.array(nodes), pa.array(np.repeat(first, np.diff([*starts, len(keys)])))], ["key", "node", "hub"])
+        key, hub = keys[-1], first[-1]
+
+
 def forest(prints: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links (differing bits <= radius) between rows of 64-bit words."""
     left = np.arange(len(prints))
@@ -262,6 +320,118 @@ def links(nodes: DataFrame, radius: int, limit: int = GROUP) -> DataFrame:
     return pairs.union(more).distinct()
 
 
+def _verified(near: Similar):
+    """Of pairs (a, b, left, right) those whose sets of shingles are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = batch.column("left"), batch.column("right")
+            stays = []
+            for i in range(batch.num_rows):
+                one, other = np.asarray(left[i].values), np.asarray(right[i].values)
+                common = len(np.intersect1d(one, other, assume_unique=True))
+                stays.append(bool(near.near(common, len(one), len(other))))
+            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+
+    return run
+
+
+def set_forest(sets: list[np.ndarray], roots: np.ndarray, near: Similar) -> Iterator[tuple[int, int]]:
+    """Links between ``sets`` that connect them as all pairs' would; equal ``roots`` are connected already."""
+    sizes = np.array([len(s) for s in sets])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(ids), bool)
+    left = np.ones(len(sets), bool)
+    for begin in range(len(sets)):
+        if not left[begin]:
+            continue
+        frontier = np.flatnonzero(left & (roots == roots[begin])).tolist()
+        left[frontier] = False
+        while frontier and left.any():
+            at = frontier.pop()
+            own = ids[starts[at] : starts[at] + sizes[at]]
+            # Sets of very different sizes cannot be similar.
+            rest = np.flatnonzero(left & near.near(np.minimum(sizes, sizes[at]), sizes, sizes[at]))
+            if not len(rest):
+                continue
+            mark[own] = True
+            cut = np.concatenate([[0], np.cumsum(sizes[rest])])
+            places = np.arange(cut[-1]) + np.repeat(starts[rest] - cut[:-1], sizes[rest])
+            common = np.add.reduceat(mark[ids[places]], cut[:-1], dtype=np.int64)
+            mark[own] = False
+            for other in rest[near.near(common, sizes[rest], sizes[at])].tolist():
+                yield at, other
+                if left[other]:
+                    joined = np.flatnonzero(left & (roots == roots[other]))
+                    left[joined] = False
+                    frontier.extend(joined.tolist())
+
+
+def _met(near: Similar, names: list[str]):
+    """Links within the groups of ``names``, found on whole sets of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _groups(batches, names):
+            columns = [np.asarray(whole.column(n)) for n in names]
+            nodes, roots = np.asarray(whole.column("node")), np.asarray(whole.column("root"))
+            grams = whole.column("grams")
+            changed = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+            starts = [0, *changed.tolist(), len(nodes)]
+            rows = []
+            for s, e in zip(starts, starts[1:]):
+                if e - s > 1 and (roots[s:e] != roots[s]).any():
+                    sets = [np.asarray(grams[i].values) for i in range(s, e)]
+                    rows.extend((int(nodes[s + i]), int(nodes[s + j])) for i, j in set_forest(sets, roots[s:e], near))
+            a, b = zip(*rows) if rows else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int) -> DataFrame:
+    """(a, b): links between nodes that connect them as all similar pairs within buckets would.
+
+    Each member of a bucket is first checked against the bucket's hub, every such pair once. Buckets
+    whose members are then not all connected get the members' sets, dealt out as pairs of chunks of about
+    ``limit`` shingles.
+    """
+    count = spread(prints)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    classes = store(prints.groupBy("node").agg(F.min(order).alias("first"), F.first("routed").alias("routed")))
+    keys = classes.select("node", "routed").mapInArrow(_keyed, "key bigint, node bigint")
+    crowd = keys.repartition(count, "key").sortWithinPartitions("key", "node").mapInArrow(_crowded, "key bigint, node bigint")
+    crowd = store(crowd.mapInArrow(_hubs, "key bigint, node bigint, hub bigint"))
+    wanted = classes.join(crowd.select("node").distinct(), "node", "left_semi")
+    wanted = settle_small(wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
+    met = docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["text"]) == wanted["_hash"])
+    texts = docs.join(wanted, met).select("node", "text")
+    sets = store(texts.mapInArrow(_set_rows(near), "node bigint, grams array<bigint>").dropDuplicates(["node"]))
+    pairs = crowd.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
+    other = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    found = store(pairs.join(one, "a").join(other, "b").mapInArrow(_verified(near), "a bigint, b bigint"))
+
+    sizes = sets.select("node", F.size("grams").alias("size"))
+    rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = store(rooted.join(sizes, "node").select("key", "node", "root", "size"))
+    # The only pair of a bucket of two has been checked.
+    buckets = rooted.groupBy("key").agg(
+        F.count("*").alias("members"), F.min("root").alias("low"), F.max("root").alias("high"), F.sum("size").alias("all")
+    )
+    chunks = buckets.where("members > 2 AND low <> high").select("key", F.ceil(F.col("all") / F.lit(limit)).cast("int").alias("n"))
+    own = F.pmod(F.hash("node"), F.col("n"))
+    dealt = rooted.join(chunks, "key").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
+    dealt = dealt.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root")
+    group = ["key", "low", "high"]
+    met = dealt.join(sets, "node").repartition(count, *group).sortWithinPartitions(*group, "node")
+    return found.union(met.mapInArrow(_met(near, group), "a bigint, b bigint")).distinct()
+
+
+# Shingles of the members of a bucket that one task compares at once, by chunk: 8 MB.
+SHINGLES = 1 << 20
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root): each linked node with the smallest node it is connected to.
 
@@ -299,20 +469,28 @@ def components(pairs: DataFrame) -> DataFrame:
 def _named(docs: DataFrame, near: Near) -> DataFrame:
     """(doc_id, text_hash, checked, root, component_id) for every row; ``root`` is the component itself."""
     texts = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    kinds = "doc_id bigint, text_hash bigint, checked binary, routed binary"
-    prints = store(texts.mapInArrow(_fingerprinted(near), kinds))
-    classes = prints.groupBy("checked", "routed").agg(F.min("doc_id").alias("least"))
+    prints = store(texts.mapInArrow(_fingerprinted(near), "doc_id bigint, text_hash bigint, checked binary"))
     # XXH64 maps distinct 8-byte values to distinct numbers: exact for a one-word fingerprint.
-    node = F.xxhash64("checked", "routed") if near.routed else F.xxhash64("checked")
+    node = F.xxhash64("checked")
+    classes = prints.groupBy("checked").agg(F.min("doc_id").alias("least"))
     classes = store(classes.withColumn("node", node))
-    found = components(links(classes, near.radius))
-    rooted = classes.drop("routed").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = components(links(classes.withColumn("routed", F.col("checked")), near.radius))
+    rooted = classes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     names = rooted.join(whole, "root").select("node", "root", "component_id")
     # The copies of one text may be a third of all rows: the adaptive skew join splits them.
     return prints.withColumn("node", node).join(names, "node", "left")
 
 
+def _similar(docs: DataFrame, near: Similar) -> DataFrame:
+    """(doc_id, text_hash, root) for every row; ``root`` names the component."""
+    rows = documents(docs, "doc_id", "text")
+    texts = rows.withColumn("text_hash", F.xxhash64("text"))
+    prints = store(texts.mapInArrow(_sketched(near), "doc_id bigint, text_hash bigint, node bigint, routed binary"))
+    found = components(_similar_links(rows, prints, near, SHINGLES))
+    return prints.join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -324,13 +502,13 @@ def near_duplicates(docs: DataFrame, near: Near = Near()) -> DataFrame:
     return _named(docs, near).select("doc_id", F.lower(F.hex("checked")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, near: Near) -> DataFrame:
+def keep_one(docs: DataFrame, near: Similar) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of near-duplicates, all columns kept.
 
     The row with the smallest doc_id stays (null last; among equal ones the smallest text hash); of
     rows that are equal in doc_id and text one stays. Only the decisions are joined to the texts.
     """
-    named = store(_named(docs, near).select("doc_id", "text_hash", "root"))
+    named = store(_similar(docs, near))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     kinds = named.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("rows"))
     first = kinds.groupBy("root").agg(F.min(order).alias("first"))
