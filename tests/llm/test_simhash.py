@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from corpus import words
 from trackweave.llm import golay, simhash
@@ -169,3 +170,53 @@ def test_set_forest_connects_what_all_pairs_connect():
         assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in got)
         linked = {frozenset(x) for x in got} | {frozenset((i, j)) for i in ids for j in ids if known[i] == known[j]}
         assert roots(ids, lambda a, b: frozenset((a, b)) in linked) == expected
+
+
+def pair_at(rng, n, low, how):
+    """A text and a near copy whose similarity is just above ``low``: one block replaced, or text appended."""
+    text = words(rng, n).split()
+    for k in range(n // 3, 0, -1):
+        at = rng.randrange(n - k + 1)
+        other = [*text[:at], *words(rng, k).split(), *text[at + k :]] if how == "block" else [*text, *words(rng, k).split()]
+        if jaccard(" ".join(text), " ".join(other)) >= low:
+            return " ".join(text), " ".join(other)
+
+
+def test_keys_propose_isolated_pairs_at_the_limit():
+    rng = random.Random(10)
+    near = simhash.similar_texts(0.8, 5)
+    for how in ("block", "appended"):
+        texts = [t for _ in range(150) for t in pair_at(rng, rng.choice((60, 120, 250)), 0.8, how)]
+        keys = simhash.band_keys(simhash.shingle_sets([t.encode() for t in texts], 5), near)
+        assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.99
+
+
+def test_isolated_pairs_at_the_limit_go_and_those_below_stay(spark):
+    rng = random.Random(11)
+    near = [t for i in range(60) for t in pair_at(rng, 150, 0.8, ("block", "appended")[i % 2])]
+    far = [t for i in range(20) for t in pair_at(rng, 150, 0.76, ("block", "appended")[i % 2])]
+    assert all(jaccard(a, b) < 0.8 for a, b in zip(far[::2], far[1::2]))
+    docs = spark.createDataFrame(list(enumerate(near + far)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs, simhash.similar_texts(0.8, 5)).collect()}
+    assert kept == set(range(0, 120, 2)) | set(range(120, 160))
+
+
+def test_large_buckets_meet_by_chunks(spark):
+    rng = random.Random(12)
+    base = words(rng, 120).split()
+    texts = []
+    for i in range(40):
+        at = rng.randrange(100)
+        texts.append(" ".join([*base[:at], *words(rng, rng.choice((8, 12, 20))).split(), *base[at + 12 :]]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    near = simhash.similar_texts(0.8, 5)
+    prints = docs.withColumn("text_hash", F.xxhash64("text"))
+    prints = prints.mapInArrow(simhash._sketched(near), "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>").cache()
+    nodes = [r.node for r in prints.orderBy("doc_id").collect()]
+    whole, chunked = (
+        dict(simhash.components(simhash._similar_links(docs, prints, near, limit)).collect()) for limit in (1 << 20, 300)
+    )
+    expected = roots(list(range(40)), lambda a, b: jaccard(texts[a], texts[b]) >= 0.8)
+    for got in (whole, chunked):
+        named = [got.get(n, n) for n in nodes]
+        assert all((named[a] == named[b]) == (expected[a] == expected[b]) for a in range(40) for b in range(40))

@@ -10,7 +10,8 @@ Only distinct fingerprints get keys, so exact copies cost one row. A bucket send
 forest of its links (at most one row for each member), never its pairs; a bucket beyond
 ``GROUP`` members is dealt out as pairs of chunks.
 
-``keep_one`` uses keys to propose pairs only: its links are checked on the sets of shingles themselves.
+``keep_one`` takes similarity of shingle sets instead: keys of MinHash bands propose pairs, and links are
+checked on the sets themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from trackweave.session import settle_small
 SEED = 42
 # Members of a bucket that one task compares at once: a megabyte or two, some seconds.
 GROUP = 1 << 16
+# MinHash keys of a text; as many buckets is it a member of.
+BANDS = 24
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,7 @@ class Similar:
 
 
 def similar_texts(similarity: float = 0.8, words: int = 5) -> Similar:
-    """Keys only propose such pairs; every link is checked on the whole sets of shingles."""
+    """MinHash keys propose such pairs; every link is checked on the whole sets of shingles."""
     return Similar(similarity, words)
 
 
@@ -140,24 +143,50 @@ def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
     return [np.unique(np.array(shingle_hashes(text, size), np.uint64)) for text in texts]
 
 
-def _routes(texts: list[bytes], sets: list[np.ndarray]) -> np.ndarray:
-    """Four words of SimHash over the distinct two-word shingles, since a changed word harms fewer of those."""
-    pairs = shingle_sets(texts, 2)
-    counts = np.fromiter(map(len, pairs), np.int64, len(pairs))
-    hashes = np.concatenate([np.empty(0, np.uint64), *pairs])
-    return np.stack([majority(_mixed(hashes, w), counts) for w in range(4)], axis=1)
+def band_rows(near: Similar) -> int:
+    """Minima in a key, as many as let a pair at the required similarity miss all keys once in 10,000 times at most."""
+    rows = 1
+    while rows < 16 and (1 - near.similarity ** (rows + 1)) ** BANDS <= 1e-4:
+        rows += 1
+    return rows
+
+
+def band_keys(sets: list[np.ndarray], near: Similar) -> np.ndarray:
+    """MinHash keys of each set, shape (sets, BANDS); a set without shingles has zeros.
+
+    Two sets agree in one minimum with a chance equal to their Jaccard similarity, wherever they differ.
+    """
+    rows = band_rows(near)
+    full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+    out = np.zeros((len(sets), BANDS), np.uint64)
+    if not len(full):
+        return out
+    hashes = np.concatenate([sets[i] for i in full])
+    sizes = np.array([len(sets[i]) for i in full])
+    starts = np.cumsum(sizes) - sizes
+    salts = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, rows, 2), np.uint64)
+    moved = np.empty_like(hashes)
+    for band in range(BANDS):
+        key = np.full(len(full), band, np.uint64)
+        for row in range(rows):
+            np.bitwise_xor(hashes, salts[band, row, 0], out=moved)
+            np.multiply(moved, salts[band, row, 1] * np.uint64(2) + np.uint64(1), out=moved)
+            key = _mixed(key ^ np.minimum.reduceat(moved, starts), row + 1)
+        out[full, band] = key
+    return out
 
 
 def _sketched(near: Similar):
-    """Node (hash of the set of shingles) and routes of every text."""
+    """Node (hash of the set of shingles) and keys of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            texts = utf8(block.column("text"))
-            sets = shingle_sets(texts, near.words)
+            sets = shingle_sets(utf8(block.column("text")), near.words)
             nodes = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            columns = [block.column("doc_id"), block.column("text_hash"), pa.array(nodes), _binary(_routes(texts, sets))]
-            yield pa.record_batch(columns, ["doc_id", "text_hash", "node", "routed"])
+            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+            keys = pa.ListArray.from_arrays(ends, pa.array(band_keys(sets, near).view(np.int64).ravel()))
+            columns = [block.column("doc_id"), block.column("text_hash"), pa.array(nodes), keys]
+            yield pa.record_batch(columns, ["doc_id", "text_hash", "node", "keys"])
 
     return run
 
@@ -398,8 +427,8 @@ def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int
     """
     count = spread(prints)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
-    classes = store(prints.groupBy("node").agg(F.min(order).alias("first"), F.first("routed").alias("routed")))
-    keys = classes.select("node", "routed").mapInArrow(_keyed, "key bigint, node bigint")
+    classes = store(prints.groupBy("node").agg(F.min(order).alias("first"), F.first("keys").alias("keys")))
+    keys = classes.select(F.explode("keys").alias("key"), "node")
     crowd = keys.repartition(count, "key").sortWithinPartitions("key", "node").mapInArrow(_crowded, "key bigint, node bigint")
     crowd = store(crowd.mapInArrow(_hubs, "key bigint, node bigint, hub bigint"))
     wanted = classes.join(crowd.select("node").distinct(), "node", "left_semi")
@@ -486,7 +515,7 @@ def _similar(docs: DataFrame, near: Similar) -> DataFrame:
     """(doc_id, text_hash, root) for every row; ``root`` names the component."""
     rows = documents(docs, "doc_id", "text")
     texts = rows.withColumn("text_hash", F.xxhash64("text"))
-    prints = store(texts.mapInArrow(_sketched(near), "doc_id bigint, text_hash bigint, node bigint, routed binary"))
+    prints = store(texts.mapInArrow(_sketched(near), "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>"))
     found = components(_similar_links(rows, prints, near, SHINGLES))
     return prints.join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
