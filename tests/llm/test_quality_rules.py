@@ -56,3 +56,23 @@ def test_odd_rows(odd, none):
     kept = quality_rules.keep_good(odd)
     assert kept.columns == odd.columns and kept.count() == 6
     assert quality_rules.judge(none).count() == 0 and quality_rules.keep_good(none).count() == 0
+
+
+def blocked(spark, hosts):
+    """Names of the blocked among ``hosts``: name -> (failures, documents)."""
+    rows = [(h, i < bad) for h, (bad, n) in hosts.items() for i in range(n)]
+    docs = spark.createDataFrame(rows, "source string, failed boolean")
+    return {r.source for r in quality_rules.blocked_hosts(docs, quality_rules.HostRules()).collect()}
+
+
+def test_many_bad_hosts_do_not_shield_each_other(spark):
+    for bad in (1, 3, 5, 6, 12):
+        hosts = {f"h{i}": (20, 20) if i < bad else (0, 20) for i in range(20)}
+        assert blocked(spark, hosts) == {f"h{i}" for i in range(bad)}
+    hosts = {f"h{i}": (17, 20) if i < 5 else (1, 20) for i in range(20)}
+    assert blocked(spark, hosts) == {f"h{i}" for i in range(5)}
+
+
+def test_a_tail_of_single_documents_shields_no_host_and_is_not_blocked(spark):
+    hosts = {f"one{i}": (int(i % 4 == 0), 1) for i in range(400)} | {f"good{i}": (1, 20) for i in range(10)} | {"bad": (39, 40)}
+    assert blocked(spark, hosts) == {"bad"}

@@ -1,7 +1,8 @@
 """Quality rules for documents, and verdicts on whole hosts drawn from them.
 
-A host's share of failing documents is shrunk towards the corpus with a beta prior whose moments are
-those of all hosts, so that a host with few documents is judged mostly by the others. Everything is
+A host's share of failing documents is shrunk towards the corpus with a beta prior, so that a host with few
+documents is judged mostly by the others. The prior's moments weigh hosts by their documents (mean squares
+between and within hosts), so that a tail of small hosts doesn't pass for differences between hosts. Everything is
 a column expression, an aggregate or a join; sorting for repeated windows happens inside a row.
 """
 
@@ -27,7 +28,9 @@ class HostRules:
     max_symbols: int = 10  # percent of the words
     max_dup_lines: int = 30  # percent of the lines with a word
     worst_rate: float = 0.5  # shrunk share of failing documents beyond which a host is blocked
-    outlying: float = 2.0  # standard deviations of the prior by which it must also exceed the mean
+    outlying: float = 2.0  # standard deviations of the prior by which it must also exceed the mean, at most half way to 1
+    hopeless: float = 0.9  # shrunk share beyond which it is blocked however the others do
+    least_prior: float = 2.0  # documents the prior weighs at least, so that one document never blocks its host
 
 
 def _repeated_words(hashes: Column, ordered: Column) -> Column:
@@ -99,16 +102,28 @@ def blocked_hosts(rows: DataFrame, rules: HostRules) -> DataFrame:
     """
     hosts = rows.where("source IS NOT NULL").groupBy("source")
     hosts = hosts.agg(F.count("*").alias("docs"), F.sum(F.col("failed").cast("bigint")).alias("failures"))
-    hosts = store(hosts.withColumn("raw", F.col("failures") / F.col("docs")))
-    # One row: the moments of the hosts' rates, less what their finite numbers of documents add.
-    noise = F.avg(F.col("raw") * (1 - F.col("raw")) / F.col("docs"))
-    mean, variance = hosts.agg(F.avg("raw"), F.var_pop("raw") - noise).first()
-    if mean is None or mean <= 0:
+    hosts = store(hosts)
+    n, x = F.col("docs"), F.col("failures")
+    # One row: what the mean squares between and within hosts are made of.
+    k, all_docs, all_failures, squares, between = hosts.agg(
+        F.count("*"), F.sum(n), F.sum(x), F.sum(n.cast("double") * n), F.sum(x.cast("double") * x / n)
+    ).first()
+    if not all_failures:
         return hosts.where("false").select("source", "docs", "failures", F.lit(0.0).alias("rate"))
-    variance = max(variance, 1e-9)
-    strength = max(mean * (1 - mean) / variance - 1, 1.0)
-    rate = (F.col("failures") + mean * strength) / (F.col("docs") + strength)
-    limit = max(rules.worst_rate, mean + rules.outlying * variance**0.5)
+    mean = all_failures / all_docs
+    alike = 0.0  # correlation of two documents of a host; hosts of one document each tell nothing of it
+    if all_docs > k > 1:
+        within = (all_failures - between) / (all_docs - k)
+        among = (between - all_docs * mean**2) / (k - 1)
+        usual = (all_docs - squares / all_docs) / (k - 1)
+        total = among + (usual - 1) * within
+        alike = min(max((among - within) / total, 0.0), 1.0) if total > 0 else 0.0
+    alike = max(alike, 1e-9)
+    strength = max(1 / alike - 1, rules.least_prior)
+    rate = (x + mean * strength) / (n + strength)
+    outlying = mean + rules.outlying * (mean * (1 - mean) * alike) ** 0.5
+    # Bad hosts raise mean and deviation themselves, and no rate exceeds 1.
+    limit = max(rules.worst_rate, min(outlying, (1 + mean) / 2, rules.hopeless))
     return hosts.withColumn("rate", rate).where(F.col("rate") > limit).select("source", "docs", "failures", "rate")
 
 
