@@ -99,3 +99,22 @@ def test_repeated_rows_and_items_are_found_one_by_one(spark, odd):
     got = d.leaks(odd, benchmark).collect()
     assert sorted(((r.doc_id or 0), (r.item_id or 0)) for r in got) == [(0, 0), (0, 9), (1, 0), (1, 0), (1, 9), (1, 9)]
     assert d.keep_clean(odd, benchmark).count() == 7
+
+
+def test_excerpts_of_a_window_are_found_at_every_offset(spark):
+    rng = random.Random(45)
+    item = words(rng, 60)[:300].strip() + "x"
+    texts = [f"{words(rng, 12)} {item[at : at + 80]} {words(rng, 12)}" for at in range(len(item) - 79)]
+    shorter = [f"{words(rng, 12)} {item[at : at + 60]} {words(rng, 12)}" for at in range(0, 200, 10)]
+    docs = spark.createDataFrame(list(enumerate(texts + shorter)), "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert sorted(r.doc_id for r in d.leaks(docs, benchmark).collect()) == list(range(len(texts)))
+
+
+def test_case_and_punctuation_fold_beyond_ascii(spark):
+    rng = random.Random(46)
+    item = " ".join("".join(rng.choice("абвгдежзиклмнопрстéüß") for _ in range(6)) for _ in range(20))
+    text = f"{words(rng, 9)} «{item.upper().replace(' ', ' – ')}» … {words(rng, 9)}"
+    docs = spark.createDataFrame([(1, text), (2, words(rng, 60))], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    assert [(r.doc_id, r.edits) for r in d.leaks(docs, benchmark).collect()] == [(1, 0)]

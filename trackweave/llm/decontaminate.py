@@ -2,8 +2,12 @@
 
 Two texts of which one has m characters and that are k edits apart share at least
 m + 1 - q (k + 1) q-grams, all on diagonals that differ by at most k. So the shared q-grams of a
-document and a benchmark window are counted in overlapping diagonal bands; bands below the bound
-cannot hold a match, the rest are verified by a banded edit distance.
+document and a benchmark item are counted in overlapping diagonal bands; stretches of a band where no
+window of the item reaches the bound cannot hold a match, the rest are verified by a banded edit distance.
+Windows begin everywhere in an item: those at every ``step`` give the figures of a leak, all others
+are tried where these find none.
+
+Characters are code points, compared without case.
 
 The benchmark is the stated query set: it is taken in blocks of a checked size, and every block
 passes over all documents.
@@ -11,9 +15,12 @@ passes over all documents.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +31,24 @@ from trackweave.llm.common import blocks, documents, store, utf8
 from trackweave.session import settle_small
 
 Q = 12
-# Letters and digits count, in lower case; runs of anything else below 0x80 are one space.
+# Letters and digits count, in lower case; runs of anything else are one space.
 PLAIN = bytes(
     c if c >= 0x80 or chr(c).isalnum() and not chr(c).isupper() else ord(chr(c).lower()) if chr(c).isupper() else 32
     for c in range(256)
 )
+OTHER = re.compile(r"[\W_]+")
 # Bytes of benchmark text that one pass over the documents looks for: about 130 MB of index in a task.
 BLOCK = 4 << 20
+# Windows that are aligned at once.
+ALIGNED = 512
 
 
 @dataclass(frozen=True)
 class Passages:
-    """Windows of ``window`` characters every ``step``; one edit is allowed for each ``per_edit`` characters."""
+    """Windows of ``window`` characters; one edit is allowed for each ``per_edit`` characters.
+
+    A leak's figures are those of the windows at every ``step``, if one of these is found.
+    """
 
     window: int = 80
     step: int = 40
@@ -43,63 +56,78 @@ class Passages:
     shortest: int = 24  # normalised items below this say nothing
 
 
-def normalised(text: bytes) -> bytes:
-    return b" ".join(text.translate(PLAIN).split())
+def normalised(text: bytes) -> str:
+    if text.isascii():
+        return b" ".join(text.translate(PLAIN).split()).decode()
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text.decode(errors="replace")).casefold())
+    return OTHER.sub(" ", folded).strip()
+
+
+def codes(text: str | bytes) -> np.ndarray:
+    """Code points, or bytes."""
+    if isinstance(text, bytes):
+        return np.frombuffer(text, np.uint8)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
 
+def edits_allowed(length: int, how: Passages) -> int:
+    # Fewer edits where the bound on shared q-grams would reach zero.
+    return max(0, min(length // how.per_edit, length // Q - 1))
 
-def windows(item: bytes, how: Passages) -> list[tuple[int, bytes, int]]:
-    """(offset, window, edits allowed) that cover a normalised item; the last one ends with the item."""
+
+def windows(item: str, how: Passages) -> list[tuple[int, str, int]]:
+    """(offset, window, edits allowed) at every step of a normalised item; the last one ends with the item."""
     if len(item) < how.shortest:
         return []
     last = max(0, len(item) - how.window)
-    out = []
-    for at in [*range(0, last, how.step), last]:
-        text = item[at : at + how.window]
-        # Fewer edits where the bound on shared q-grams would reach zero.
-        out.append((at, text, max(0, min(len(text) // how.per_edit, len(text) // Q - 1))))
-    return out
+    texts = [(at, item[at : at + how.window]) for at in [*range(0, last, how.step), last]]
+    return [(at, text, edits_allowed(len(text), how)) for at, text in texts]
 
 
 def grams(text: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q bytes at every position that has as many."""
+    """A 64-bit hash of the Q characters at every position that has as many."""
     n = len(text) - Q + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    eight = np.zeros(len(text) - 7, np.uint64)
-    for b in range(8):
-        eight |= text[b : len(text) - 7 + b].astype(np.uint64) << np.uint64(8 * b)
-    mixed = eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[Q - 8 : Q - 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
+    wide = text.astype(np.uint64)
+    mixed = np.zeros(n, np.uint64)
+    for c in range(Q):
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed += wide[c : c + n]
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
     return mixed ^ (mixed >> np.uint64(29))
 
 
 class Index:
-    """Sorted q-grams of all windows of some benchmark items."""
+    """Sorted q-grams of some benchmark items."""
 
     BITS = 20
 
     def __init__(self, items: list[tuple[int, bytes]], how: Passages):
-        self.item, self.text, self.edits, all_grams, owner, offset = [], [], [], [], [], []
-        for item, text in items:
-            for _, window, edits in windows(normalised(text), how):
-                found = grams(np.frombuffer(window, np.uint8))
-                all_grams.append(found)
-                owner.append(np.full(len(found), len(self.text)))
-                offset.append(np.arange(len(found)))
-                self.item.append(item)
-                self.text.append(window)
-                self.edits.append(edits)
+        self.item, self.text, self.steps, all_grams = [], [], [], []
+        for item, raw in items:
+            text = normalised(raw)
+            if len(text) < how.shortest:
+                continue
+            self.item.append(item)
+            self.text.append(codes(text))
+            self.steps.append([at for at, _, _ in windows(text, how)])
+            all_grams.append(grams(self.text[-1]))
+        sizes = np.array([len(g) for g in all_grams], np.int64)
         joined = np.concatenate([np.empty(0, np.uint64), *all_grams])
         order = np.argsort(joined, kind="stable")
         self.grams = joined[order]
-        self.owner = np.concatenate([np.empty(0, np.int64), *owner])[order].astype(np.int32)
-        self.offset = np.concatenate([np.empty(0, np.int64), *offset])[order].astype(np.int32)
-        self.length = np.array([len(t) for t in self.text], np.int64)
-        self.edit = np.array(self.edits, np.int64)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.offset = (np.arange(len(joined)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order].astype(np.int32)
+        self.length = np.array([min(len(t), how.window) for t in self.text], np.int64)  # of the item's windows
+        self.last = np.array([len(t) for t in self.text], np.int64) - self.length
+        self.edit = np.array([edits_allowed(n, how) for n in self.length.tolist()], np.int64)
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self.grams >> np.uint64(64 - self.BITS)] = True
 
-    def regions(self, text: np.ndarray) -> list[tuple[int, int]]:
-        """(window, first diagonal of the band) wherever the shared q-grams reach the window's bound."""
+    def regions(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, first diagonal of the band, first and last window offset) where the shared q-grams reach the bound."""
         hashes = grams(text)
         at = np.flatnonzero(self.seen[hashes >> np.uint64(64 - self.BITS)])
         low = np.searchsorted(self.grams, hashes[at], "left")
@@ -108,64 +136,105 @@ class Index:
         if not len(at):
             return []
         where = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        window = self.owner[where].astype(np.int64)
-        diagonal = np.repeat(at, many) - self.offset[where] + len(text)
+        item, offset = self.owner[where].astype(np.int64), self.offset[where].astype(np.int64)
+        # Diagonals above zero.
+        diagonal = np.repeat(at, many) - offset + self.last[item] + self.length[item]
         # Bands are 2k + 1 diagonals wide at a distance of k + 1: any k + 1 neighbours lie within one.
-        band = diagonal // (self.edit[window] + 1)
-        keys = np.concatenate([window * (1 << 40) + band, window * (1 << 40) + band - 1])
-        keys, counts = np.unique(keys, return_counts=True)
-        window, band = keys >> 40, keys & ((1 << 40) - 1)
-        enough = counts >= self.length[window] + 1 - Q * (self.edit[window] + 1)
-        first = band * (self.edit[window] + 1) - len(text)
-        return list(zip(window[enough].tolist(), first[enough].tolist()))
-
-
-def edits_within(window: bytes, text: bytes, most: int) -> tuple[int, int] | None:
-    """(edits, end) of the best place of ``window`` anywhere in ``text``, if at most ``most`` edits are needed.
-
-    ``text`` is as long as the window and a band on both sides, so its columns are the band.
+        band = diagonal // (self.edit[item] + 1)
+        item, offset = np.concatenate([item, item]), np.concatenate([offset, offset])
+        band = np.concatenate([band, band - 1])
+        order = np.lexsort((offset, band, item))
+        item, band, offset = item[order], band[order], offset[order]
+        # A window holds enough of them if it begins where ``bound`` hits in a row fit in.
+        bound = self.length[item] + 1 - Q * (self.edit[item] + 1)
+        span = self.length[item] - Q
+        end = np.minimum(np.arange(len(item)) + bound - 1, len(item) - 1)
+        enough = np.arange(len(item)) + bound - 1 < len(item)
+        enough &= (item[end] == item) & (band[end] == band) & (offset[end] - offset <= span)
+        item, band, start, end = item[enough], band[enough], offset[enough], offset[end[enough]]
+        first = np.maximum(end - span[enough], 0)
+        stop = np.minimum(start, self.last[item])
+        first, stop, item, band = (x[first <= stop] for x in (first, stop, item, band))
+        out: list[tuple[int, int, int, int]] = []
+        diagonals = band * (self.edit[item] + 1) - self.last[item] - self.length[item]
+        for i, d, a, b in zip(item.tolist(), diagonals.tolist(), first.tolist(), stop.tolist()):
+            if out and out[-1][:2] == (i, d) and a <= out[-1][3] + 1:
+                out[-1] = (i, d, out[-1][2], max(b, out[-1][3]))
+            else:
+                out.append((i, d, a, b))
+        return out
+
+
+def edits_within(window: str | bytes, text: str | bytes, most: int) -> tuple[int, int] | None:
+    """(edits, end) of the best place of ``window`` anywhere in ``text``, if at most ``most`` edits are needed."""
+    edits, ends = aligned(codes(window)[None], codes(text)[None], np.array([len(text)]))
+    return (int(edits[0]), int(ends[0])) if edits[0] <= most else None
+
+
+def aligned(wanted: np.ndarray, texts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edits, end) of the best place of each row of ``wanted`` anywhere in its row of ``texts``.
+
+    A row of ``texts`` counts up to its length; it is as long as the window and a band on both sides, so
+    its columns are the band.
     """
-    row = np.zeros(len(text) + 1, np.int64)  # a match may begin anywhere
-    letters = np.frombuffer(text, np.uint8)
-    steps = np.arange(len(text) + 1)
-    for i, char in enumerate(window, 1):
-        new = np.minimum(row + 1, np.concatenate([[i], row[:-1] + (letters != char)]))
-        row = np.minimum.accumulate(new - steps) + steps  # insertions along the row
-        if row.min() > most:
-            return None
-    end = int(np.argmin(row))
-    return int(row[end]), end
+    n, width = texts.shape
+    steps = np.arange(width + 1, dtype=np.int32)
+    row = np.zeros((n, width + 1), np.int32)  # a match may begin anywhere
+    for i in range(1, wanted.shape[1] + 1):
+        new = row + 1
+        np.minimum(new[:, 1:], row[:, :-1] + (texts != wanted[:, i - 1 : i]), out=new[:, 1:])
+        new -= steps
+        np.minimum.accumulate(new, axis=1, out=new)  # insertions along the row
+        new += steps
+        row = new
+    row[steps[None] > lengths[:, None]] = 1 << 30
+    ends = row.argmin(axis=1)
+    return row[np.arange(n), ends], ends
 
 
 def _searched(index: Index):
+    def placed(joined: np.ndarray, tried: Iterator[tuple[int, int, int, int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, edits, end) of each (row, item, window offset, from, to) of ``tried``."""
+        for size, same in groupby(tried, lambda x: int(index.length[x[1]])):
+            while part := list(islice(same, ALIGNED)):
+                wanted = np.stack([index.text[i][o : o + size] for _, i, o, _, _ in part])
+                lengths = np.array([b - a for *_, a, b in part])
+                texts = np.zeros((len(part), lengths.max()), np.uint32)
+                for k, (*_, a, b) in enumerate(part):
+                    texts[k, : b - a] = joined[a:b]
+                edits, ends = aligned(wanted, texts, lengths)
+                for (r, item, _, a, _), cost, end in zip(part, edits.tolist(), ends.tolist()):
+                    if cost <= index.edit[item]:
+                        yield r, item, cost, a + end
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", 1 << 21):
             texts = [normalised(t) for t in utf8(block.column("text"))]
             # One buffer for the block; no q-gram of a window holds the separator.
-            joined = np.frombuffer(b"\n".join(texts), np.uint8)
+            joined = codes("\n".join(texts))
             starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-            found: dict[tuple[int, int], list[int]] = {}
-            for window, first in index.regions(joined):
-                most, text = index.edits[window], index.text[window]
-                middle = min(max(first + most, 0), len(joined) - 1)
-                row = int(np.searchsorted(starts, middle, "right")) - 1
-                # The band's two diagonals at either side may lie in the next document.
-                for r in {row, int(np.searchsorted(starts, min(middle + len(text), len(joined) - 1), "right")) - 1}:
-                    base = int(starts[r])
-                    a, b = max(first - most - base, 0), first + 3 * most + len(text) - base
-                    if b <= 0 or a >= len(texts[r]):
-                        continue
-                    hit = edits_within(text, texts[r][a:b], most)
-                    if hit:
-                        key = (r, index.item[window])
-                        old = found.get(key, (0, 1 << 60, 0, 1 << 60))
-                        end = a + hit[1]
-                        found[key] = (
-                            old[0] + 1,
-                            min(old[1], max(0, end - len(text))),
-                            max(old[2], end),
-                            min(old[3], hit[0]),
-                        )
+            regions = sorted(index.regions(joined), key=lambda x: int(index.length[x[0]]))
+
+            def places(stepped: bool, known: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
+                for item, diagonal, low, high in regions:
+                    most, size, steps = int(index.edit[item]), int(index.length[item]), index.steps[item]
+                    for offset in [x for x in steps if low <= x <= high] if stepped else range(low, high + 1):
+                        first = diagonal + offset
+                        # The band's two diagonals at either side may lie in the next document.
+                        ends = np.clip([first + most, first + most + size], 0, len(joined) - 1)
+                        for r in {*(np.searchsorted(starts, ends, "right") - 1).tolist()}:
+                            a = max(first - most, int(starts[r]))
+                            b = min(first + 3 * most + size, int(starts[r]) + len(texts[r]))
+                            if a < b and (r, index.item[item]) not in known:
+                                yield r, item, offset, a, b
+
+            found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+            for stepped in (True, False):
+                for r, item, edits, end in placed(joined, places(stepped, set(found))):
+                    end -= int(starts[r])
+                    old = found.get((r, index.item[item]), (0, 1 << 60, 0, 1 << 60))
+                    begin = min(old[1], max(0, end - int(index.length[item])))
+                    found[r, index.item[item]] = (old[0] + 1, begin, max(old[2], end), min(old[3], edits))
             ids = block.column("doc_id").take(pa.array([r for r, _ in found], pa.int64()))
             hashes = block.column("text_hash").take(pa.array([r for r, _ in found], pa.int64()))
             items = pa.array([i for _, i in found], pa.int64())
@@ -192,7 +261,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, how: Passages) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, how: Passages = Passages()) -> DataFrame:
     """(doc_id, item_id, regions, start, end, edits): the items found in each row of ``docs`` (doc_id, text).
 
-    ``regions`` counts the bands that verified, ``start`` and ``end`` bound them in the normalised text,
+    ``regions`` counts the windows and bands that verified, ``start`` and ``end`` bound them in the normalised text,
     ``edits`` is the best region's. Null and empty texts hold and leak nothing, nor do items under
     ``shortest`` characters; repeated rows are searched one by one, a null item_id stays null.
     """
