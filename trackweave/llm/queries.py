@@ -14,6 +14,7 @@ from trackweave.llm import (
     secrets,
     simhash,
     url_filter,
+    whitening,
 )
 from trackweave.llm.common import table
 
@@ -61,6 +62,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_spectrum_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_byte_cnn": Query(op1_byte_cnn),
     "op2_simhash_near_dedup": Query(op2_simhash_near_dedup),
@@ -72,4 +77,5 @@ QUERIES = {
     "op8_secret_scan": Query(op8_secret_scan),
     "op9_host_quality": Query(op9_host_quality),
     "op10_suffix_dedup": Query(op10_suffix_dedup),
+    "op12_spectrum_whitening": Query(op12_spectrum_whitening),
 }
