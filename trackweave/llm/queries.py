@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from trackweave.catalog.inputs import Query
 from trackweave.llm import (
     classifier,
     decontaminate,
     licenses,
     mixing,
+    packing,
     pii,
     quality_rules,
     repeats,
@@ -66,6 +69,11 @@ def op12_spectrum_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_swap_packing(spark, sf_dir):
+    how = packing.Packing(public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.sequences(table(spark, sf_dir, "documents"), how)
+
+
 QUERIES = {
     "op1_byte_cnn": Query(op1_byte_cnn),
     "op2_simhash_near_dedup": Query(op2_simhash_near_dedup),
@@ -78,4 +86,5 @@ QUERIES = {
     "op9_host_quality": Query(op9_host_quality),
     "op10_suffix_dedup": Query(op10_suffix_dedup),
     "op12_spectrum_whitening": Query(op12_spectrum_whitening),
+    "op13_swap_packing": Query(op13_swap_packing),
 }
