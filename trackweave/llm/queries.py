@@ -6,6 +6,7 @@ import public_tokenizers
 
 from trackweave.catalog.inputs import Query
 from trackweave.llm import (
+    bag_ranking,
     classifier,
     decontaminate,
     licenses,
@@ -65,6 +66,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return repeats.digest(repeats.without_repeats(table(spark, sf_dir, "documents")))
 
 
+def op11_bag_ranking(spark, sf_dir):
+    return bag_ranking.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_spectrum_whitening(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -85,6 +90,7 @@ QUERIES = {
     "op8_secret_scan": Query(op8_secret_scan),
     "op9_host_quality": Query(op9_host_quality),
     "op10_suffix_dedup": Query(op10_suffix_dedup),
+    "op11_bag_ranking": Query(op11_bag_ranking),
     "op12_spectrum_whitening": Query(op12_spectrum_whitening),
     "op13_swap_packing": Query(op13_swap_packing),
 }
