@@ -32,7 +32,7 @@ DISPUTED = re.compile("[\x1c-\x1f]")
 WORD_END = re.compile(r"(?<=\S)[ \n]")
 # Characters encoded at once.
 STRETCH = 1 << 20
-# Parts whose ids a worker remembers (some 60 MB), and the longest of them.
+# Parts in a generation of those whose ids a worker remembers (some 80 MB), and the longest of them.
 REMEMBERED, PART = 400_000, 48
 # Words encoded in one go.
 ROW = 256
@@ -75,7 +75,9 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # bytes a token stands for
         self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        # Two generations: what was not used again while one filled up is forgotten.
         self.known: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,10 +111,12 @@ class Encoder:
             return [b"".join(ids for s in stretches(text) for ids in self.ids([s])) for text in texts]
         split = [[text] if DISPUTED.search(text) else PARTS.findall(text) for text in texts]
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.former, self.known = self.known, {}
         fresh = set(chain.from_iterable(split)).difference(self.known)
         fresh.discard("")
-        self.known.update(self._learn(fresh))
+        again = fresh.intersection(self.former)
+        self.known.update((part, self.former[part]) for part in again)
+        self.known.update(self._learn(fresh - again))
         out = [b"".join(map(self.known.__getitem__, parts)) for parts in split]
         for part in fresh:
             if len(part) > PART:
