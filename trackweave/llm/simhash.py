@@ -350,21 +350,42 @@ def links(nodes: DataFrame, radius: int, limit: int = GROUP) -> DataFrame:
 
 
 def _verified(near: Similar):
-    """Of pairs (a, b, left, right) those whose sets of shingles are similar enough."""
+    """Links (a, b) between hubs ``b`` and members ``a`` whose sets of shingles are similar enough.
+
+    Rows (b, part, node, grams) come by hub and part, the hub's own set first: one set is held at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = own = None
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            stays = []
-            for i in range(batch.num_rows):
-                one, other = np.asarray(left[i].values), np.asarray(right[i].values)
-                common = len(np.intersect1d(one, other, assume_unique=True))
-                stays.append(bool(near.near(common, len(one), len(other))))
-            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+            grams, rows = batch.column("grams"), []
+            for i, (b, node) in enumerate(zip(batch.column("b").to_pylist(), batch.column("node").to_pylist())):
+                if node == b:
+                    hub, own = b, np.array(grams[i].values)
+                    continue
+                assert hub == b
+                other = np.asarray(grams[i].values)
+                # Sets of very different sizes cannot be similar.
+                if near.near(min(len(own), len(other)), len(own), len(other)):
+                    if near.near(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)):
+                        rows.append((node, b))
+            a, b = zip(*rows) if rows else ((), ())
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
 
+def _checked_with_hubs(pairs: DataFrame, sets: DataFrame, near: Similar, members: int) -> DataFrame:
+    """Those of ``pairs`` (a, hub b) that are similar: a hub's set is sent once for each ``members`` of its members."""
+    count = spread(pairs)
+    hubs = store(pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(members)).cast("int").alias("parts")))
+    dealt = pairs.join(hubs, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node"))
+    own = hubs.select("b", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("b").alias("node"))
+    rows = dealt.union(own).join(sets, "node").repartition(count, "b", "part")
+    rows = rows.sortWithinPartitions("b", "part", F.col("node") != F.col("b"))
+    return rows.select("b", "node", "grams").mapInArrow(_verified(near), "a bigint, b bigint")
+
+
 def set_forest(sets: list[np.ndarray], roots: np.ndarray, near: Similar) -> Iterator[tuple[int, int]]:
     """Links between ``sets`` that connect them as all pairs' would; equal ``roots`` are connected already."""
     sizes = np.array([len(s) for s in sets])
@@ -437,9 +458,7 @@ def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int
     texts = docs.join(wanted, met).select("node", "text")
     sets = store(texts.mapInArrow(_set_rows(near), "node bigint, grams array<bigint>").dropDuplicates(["node"]))
     pairs = crowd.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    one = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    other = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-    found = store(pairs.join(one, "a").join(other, "b").mapInArrow(_verified(near), "a bigint, b bigint"))
+    found = store(_checked_with_hubs(store(pairs), sets, near, MEMBERS))
 
     sizes = sets.select("node", F.size("grams").alias("size"))
     rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -457,8 +476,10 @@ def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int
     return found.union(met.mapInArrow(_met(near, group), "a bigint, b bigint")).distinct()
 
 
-# Shingles of the members of a bucket that one task compares at once, by chunk: 8 MB.
-SHINGLES = 1 << 20
+# Shingles of the members of a bucket that one task compares at once, by chunk: 4 MB.
+SHINGLES = 1 << 19
+# Members of a hub that one task checks.
+MEMBERS = 256
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -468,8 +489,9 @@ def components(pairs: DataFrame) -> DataFrame:
     the smallest neighbour) until nothing changes; every round is written to shared storage.
     """
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003)).first()
+    def same(one: DataFrame, other: DataFrame) -> bool:
+        """Whether two sets of links are equal: as many, and none that the other lacks."""
+        return one.count() == other.count() and other.join(one, ["a", "b"], "left_anti").isEmpty()
 
     def both(df: DataFrame) -> DataFrame:
         return df.union(df.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -487,11 +509,9 @@ def components(pairs: DataFrame) -> DataFrame:
 
     # From the larger node to the smaller.
     now = store(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before, after = None, state(now)
-    while before != after:
-        before = after
-        now = store(contract(contract(now, True), False))
-        after = state(now)
+    before = None
+    while before is None or not same(before, now):
+        before, now = now, store(contract(contract(now, True), False))
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
