@@ -33,8 +33,8 @@ class HostRules:
     least_prior: float = 2.0  # documents the prior weighs at least, so that one document never blocks its host
 
 
-def _repeated_words(hashes: Column, ordered: Column) -> Column:
-    """Words covered by windows whose hash occurs twice; ``ordered``: (hash, start) structs in order."""
+def _repeated_words(ordered: Column) -> Column:
+    """Words covered by windows whose hash occurs twice; ``ordered``: (hash, start) structs in order, null if no hash does."""
     n = F.size(ordered)
     # A window next to an equal one in order is repeated.
     beside = F.arrays_zip(
@@ -42,14 +42,9 @@ def _repeated_words(hashes: Column, ordered: Column) -> Column:
         F.slice(ordered, 2, n - 1).alias("b"),
     )
     equal = F.filter(beside, lambda x: x["a"]["h"] == x["b"]["h"])
-    starts = F.array_sort(
-        F.array_distinct(
-            F.concat(F.transform(equal, lambda x: x["a"]["i"]), F.transform(equal, lambda x: x["b"]["i"]))
-        )
-    )
+    starts = F.concat(equal["a"]["i"], equal["b"]["i"])
     spread = F.concat(starts, F.transform(starts, lambda i: i + 1), F.transform(starts, lambda i: i + 2))
-    covered = F.size(F.array_distinct(spread))
-    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered).otherwise(0).cast("bigint")
+    return F.when(ordered.isNotNull(), F.size(F.array_distinct(spread))).otherwise(0).cast("bigint")
 
 
 def measured(docs: DataFrame, *keep: str) -> DataFrame:
@@ -74,14 +69,17 @@ def measured(docs: DataFrame, *keep: str) -> DataFrame:
             "_n": F.greatest(F.size("_words") - 2, F.lit(0)),
         }
     )
-    windows = F.arrays_zip(*[F.slice("_words", at, F.col("_n")) for at in (1, 2, 3)])
+    # Each word is hashed once, and a window's hash is made of those of its words.
+    rows = rows.withColumn("_codes", F.transform("_words", lambda w: F.xxhash64(w)))
+    windows = F.arrays_zip(*[F.slice("_codes", at, F.col("_n")) for at in (1, 2, 3)])
     rows = rows.withColumn("_hashes", F.transform(windows, lambda w: F.xxhash64(w)))
+    # Only texts with a repeated window are put in order.
+    again = F.size(F.array_distinct("_hashes")) < F.size("_hashes")
     pairs = F.arrays_zip(F.col("_hashes").alias("h"), F.sequence(F.lit(1), F.col("_n")).alias("i"))
-    rows = rows.withColumn("_ordered", F.when(F.col("_n") > 1, F.array_sort(pairs)))
-    return rows.withColumn(
-        "n_repeat_words",
-        F.when(F.col("_n") > 1, _repeated_words(F.col("_hashes"), F.col("_ordered"))).otherwise(0).cast("bigint"),
-    ).select(*keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    rows = rows.withColumn("_ordered", F.when((F.col("_n") > 1) & again, F.sort_array(pairs)))
+    return rows.withColumn("n_repeat_words", _repeated_words(F.col("_ordered"))).select(
+        *keep, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"
+    )
 
 
 def with_failures(rows: DataFrame, rules: HostRules) -> DataFrame:
@@ -141,7 +139,9 @@ def judge(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns as they were.
+    """The rows of ``docs`` that ``judge`` keeps, all columns as they were (also such named like the measures).
+
+    Null and empty texts fail, a null source is never blocked, repeated rows share their fate; an empty table gives none.
 
     Only verdicts are joined to the texts: on two hashes of the text (96 bits), which alone decides the
     base rule, and on the host.
