@@ -29,8 +29,8 @@ from xxhash import xxh3_64_intdigest
 
 from trackweave.llm.common import blocks, documents, spread, store, utf8
 
-# Kinds of pieces of one anchor that a task orders at once (about two megabytes of text).
-GROUP = 4096
+# Kinds of pieces of one anchor that a task orders at once (a quarter megabyte of text); beyond, they are spread.
+GROUP = 512
 # Bytes of a text that are cut at once.
 CHUNK = 1 << 20
 BASE = 0x5851F42D4C957F2D
