@@ -208,7 +208,7 @@ def _searched(index: Index):
                         yield r, item, cost, a + end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", 1 << 21):
+        for block in blocks(batches, "text"):
             texts = [normalised(t) for t in utf8(block.column("text"))]
             # One buffer for the block; no q-gram of a window holds the separator.
             joined = codes("\n".join(texts))
@@ -269,7 +269,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Passages = Passages()) ->
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, how: Passages = Passages()) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found, all columns as they were."""
+    """The rows of ``docs`` in which no benchmark item is found, all columns as they were.
+
+    Null and empty texts stay, repeated rows share their fate, rows that share only a doc_id are told apart by their
+    texts; an empty benchmark keeps all, an empty table gives none.
+    """
     found = _found(docs, benchmark, how)
     bad = settle_small(store(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()))
     met = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"])
