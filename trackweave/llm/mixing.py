@@ -87,11 +87,33 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     tokens is reached (the document that crosses it is the last one used). ``block`` deals the uses out
     in that order, each block having its part of every source; within a block order by ``order_key``.
     Tokens are white-space words. A null text has none: such documents are used once, in epoch 0. A null
-    source is a source of its own, repeated rows are uses of their own, an empty table gives none.
+    source is a source of its own, repeated rows are uses of their own, an empty table gives none. Other columns are
+    ignored.
     """
-    texts = documents(docs, "doc_id", "source", "text")
+    return _uses(docs, target).drop("text_hash")
+
+
+def mixed_texts(docs: DataFrame, target: Target = Target()) -> DataFrame:
+    """``mix`` with the text of each use: (doc_id, source, tokens, epoch, block, order_key, text).
+
+    Texts are joined by doc_id and hash of the text, so rows that share a doc_id keep their own; nulls, repeated rows,
+    empty tables and other columns as in ``mix``. Texts are shuffled once, however often they are used.
+    """
+    uses = store(_uses(docs, target))
+    texts = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
+    key = ["doc_id", "text_hash"]
+    if not texts.groupBy(*key).count().where("count > 1").isEmpty():
+        order = Window.partitionBy(*key).orderBy("text")
+        texts = texts.withColumn("_copy", F.row_number().over(order)).where("_copy = 1")
+    texts = texts.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "text")
+    met = uses["doc_id"].eqNullSafe(texts["_id"]) & (uses["text_hash"] == texts["_hash"])
+    return uses.join(texts, met).drop("text_hash", "_id", "_hash")
+
+
+def _uses(docs: DataFrame, target: Target) -> DataFrame:
+    texts = documents(docs, "doc_id", "source", "text").withColumn("text_hash", F.xxhash64("text"))
     words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", -1), ""))
-    rows = store(texts.select("doc_id", "source", words.cast("bigint").alias("tokens")))
+    rows = store(texts.select("doc_id", "text_hash", "source", words.cast("bigint").alias("tokens")))
     quotas = store(source_weights(rows, target)).withColumnRenamed("tokens", "source_tokens")
     # Whole epochs need no order; a use per document and epoch.
     most = F.floor(F.col("quota") / F.greatest("source_tokens", F.lit(1)) + F.lit(1e-9)).cast("int")
@@ -122,4 +144,4 @@ def mix(docs: DataFrame, target: Target = Target()) -> DataFrame:
     part = F.floor(run * F.lit(target.blocks) / F.greatest(length, F.lit(1.0))).cast("int")
     block = F.when(F.col("source_tokens") > 0, F.least(part, F.lit(target.blocks - 1)))
     scattered = F.pmod(F.col("order_key"), F.lit(target.blocks)).cast("int")
-    return used.select("doc_id", "source", "tokens", "epoch", F.coalesce(block, scattered).alias("block"), "order_key")
+    return used.select("doc_id", "text_hash", "source", "tokens", "epoch", F.coalesce(block, scattered).alias("block"), "order_key")

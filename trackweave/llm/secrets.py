@@ -193,7 +193,10 @@ def mask(text: str | None, enough: float = 10.0, by: str = "[secret]") -> str |
 
 
 def masked(docs: DataFrame, enough: float = 10.0) -> DataFrame:
-    """``docs`` with secret values masked in ``text``, and ``n_chars`` (if there) brought in line; no row goes."""
+    """``docs`` with secret values masked in ``text``, and ``n_chars`` (if there) brought in line; no row goes.
+
+    Null and empty texts stay as they are, as do repeated rows and all other columns; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
