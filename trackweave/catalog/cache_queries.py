@@ -15,9 +15,8 @@ from trackweave.operators import extraction as E
 from trackweave.schema import ADDED_COLUMN_DEFAULTS, evolve_features
 from trackweave.session import use_checkpoint_dir
 from trackweave.sources.files import big_enough as list_big
-from trackweave.sources.files import list_files
 from trackweave.sources.table import KeyedTable
-from trackweave.streaming.ingest import upsert_stream
+from trackweave.streaming.ingest import fresh_rows, save_stream, upsert_stream
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = [
@@ -269,11 +268,6 @@ SELECT ingest_seq, CASE WHEN key IS NULL THEN md5(file_path)
 FROM tracks"""
 
 
-def scan_files(spark, sf_dir):
-    """The table files themselves, listed with size and content key."""
-    return list_files(spark, sf_dir).select("file_path", "length", "last_modified", "file_hash")
-
-
 LATEST_EVENT = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
@@ -299,6 +293,41 @@ def stream_upsert(spark, sf_dir):
     return latest.read()
 
 
+# Events as files of a stream: which file an event comes in, and those that come twice; the same text runs in both engines.
+ARRIVALS = """
+  SELECT event_id, ts, user_id, value, base + CASE event_id % 17 WHEN 3 THEN 1 WHEN 5 THEN 3 ELSE 0 END AS arrival
+  FROM (SELECT *, CAST((day(ts) - 1) // 4 AS INT) AS base FROM {events})
+  UNION ALL SELECT event_id, ts, user_id, value, CAST((day(ts) - 1) // 4 AS INT) + CASE event_id % 4 WHEN 0 THEN 4 ELSE 1 END
+  FROM {events} WHERE event_id % 10 = 0"""
+# Days that an event may be late.
+LATE_DAYS = 6
+
+
+def stream_late(spark, sf_dir):
+    """Events once each, without those that come too late: late, repeated and too late rows over a dozen batches."""
+    root = scratch(spark)
+    text = ARRIVALS.replace("//", "DIV")
+    rows = spark.sql(text, events=table(spark, sf_dir, "events")).withColumn("time", F.col("ts").cast("timestamp"))
+    rows.write.partitionBy("arrival").parquet(f"{root}/rows")
+    for (number,) in rows.select("arrival").distinct().orderBy("arrival").collect():
+        # One file after the other: files are taken in the order of their times.
+        part = spark.read.parquet(f"{root}/rows").where(F.col("arrival") == number).drop("arrival")
+        part.coalesce(1).write.mode("append").parquet(f"{root}/source")
+    schema = spark.read.parquet(f"{root}/source").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/source")
+    fresh = fresh_rows(stream, ["event_id"], "time", f"{LATE_DAYS} days")
+    save_stream(fresh.drop("time"), f"{root}/out", f"{root}/progress").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "ts", "user_id", "value")
+
+
+LATE_SQL = f"""WITH arrivals AS ({ARRIVALS.replace("{events}", "events")}),
+newest AS (SELECT arrival, max(ts) AS ts FROM arrivals GROUP BY arrival),
+marks AS (SELECT a.arrival, max(n.ts) - INTERVAL {LATE_DAYS} DAY AS mark
+  FROM (SELECT DISTINCT arrival FROM arrivals) a LEFT JOIN newest n ON n.arrival < a.arrival - 1 GROUP BY a.arrival)
+SELECT DISTINCT a.event_id, a.ts, a.user_id, a.value FROM arrivals a JOIN marks m ON a.arrival = m.arrival
+WHERE m.mark IS NULL OR a.ts > m.mark"""
+
+
 LINE = T.StructType(
     [
         T.StructField("l_orderkey", T.LongType()),
@@ -310,7 +339,7 @@ LINE = T.StructType(
 
 
 def table_versions(spark, sf_dir):
-    """A keyed table after append, forget, append: lines come, returned ones go, later ones come back."""
+    """A keyed table after upsert, deletion and upsert: lines come, returned ones go, later ones come back."""
     rows = table(spark, sf_dir, "lineitem").groupBy(*LINE_KEY).agg(
         F.max("l_extendedprice").cast("double").alias("price"), F.max("l_returnflag").alias("flag")
     )
@@ -429,7 +458,7 @@ QUERIES = {
     "coerce": Query(coerce, COERCE_SQL),
     "key_index": Query(key_index, KEY_INDEX_SQL),
     "file_key": Query(file_key, FILE_KEY_SQL),
-    "scan_files": Query(scan_files),
+    "stream_late": Query(stream_late, LATE_SQL),
     "stream_upsert": Query(
         stream_upsert,
         """SELECT user_id, ts, event_id, event_type, value FROM (

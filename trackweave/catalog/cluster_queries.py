@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trackweave.catalog.inputs import TRACKS, Query, case, table, tracks
 from trackweave.functions import labels as L
 from trackweave.operators import clustering as K
+from trackweave.operators import minibatch as B
 from trackweave.operators.medians import narrowed_medians
 
 MEASURED = ["bpm", "centroid", "danceability"]
@@ -175,6 +176,61 @@ def kmeans_distribution(spark, sf_dir):
     return K.distribution_check(K.cluster_playlists(tracks(spark, sf_dir)).summary, clean)
 
 
+# Mini-batches with fixed start centers and keys that both engines can compute.
+START = [(-1.5, -0.5, -1.0), (-0.5, 0.5, 1.0), (0.5, -0.5, 0.5), (1.5, 0.5, -0.5)]
+ROUNDS, BATCH, KEYS = 4, 150, B.KEYS
+MIXER, STEP = 1_103_515_245, 12_345
+
+
+def _minibatch(spark, sf_dir) -> K.Clustered:
+    def key(epoch):
+        return (F.col("ingest_seq") % KEYS * MIXER + STEP * (epoch + 1)) % KEYS
+
+    how = B.MiniBatch(rounds=ROUNDS, batch=BATCH, patience=0)
+    return B.minibatch_clusters(_scaled(spark, sf_dir), len(START), how=how, start=START, key=key)
+
+
+def minibatch_centers(spark, sf_dir):
+    """Centers after a few rounds, with the number of tracks that are nearest to each."""
+    found = _minibatch(spark, sf_dir)
+    rows = [(i, *c) for i, c in enumerate(found.centers)]
+    centers = spark.createDataFrame(rows, "cluster int, bpm_w double, centroid_w double, danceability_w double")
+    sizes = found.tracks.groupBy("cluster").agg(F.count("*").alias("size"))
+    return centers.join(sizes, "cluster", "left").select(
+        "cluster", F.coalesce("size", F.lit(0)).alias("size"), *[F.round(f"{c}_w", 6).alias(f"{c}_w") for c in MEASURED]
+    )
+
+
+def minibatch_assigned(spark, sf_dir):
+    """Every clean track with the nearest of these centers."""
+    return _minibatch(spark, sf_dir).tracks.select("ingest_seq", "cluster")
+
+
+def _minibatch_sql() -> str:
+    values = ", ".join(f"({i}, {x}e0, {y}e0, {z}e0, 0)" for i, (x, y, z) in enumerate(START))
+    parts = [
+        f"""{CLEAN}, keyed AS (SELECT *, CAST(row_number() OVER (ORDER BY (ingest_seq % {KEYS} * {MIXER} + {STEP}) % {KEYS},
+          ingest_seq) - 1 AS BIGINT) // {BATCH} AS round FROM scaled),
+        c0(id, x, y, z, v) AS (VALUES {values})"""
+    ]
+    distance = "(bpm_w - x) * (bpm_w - x) + (centroid_w - y) * (centroid_w - y) + (danceability_w - z) * (danceability_w - z)"
+    for r in range(ROUNDS):
+        parts.append(
+            f"""n{r} AS (SELECT ingest_seq, arg_min(id, (d, id)) AS id FROM (
+              SELECT ingest_seq, id, {distance} AS d FROM keyed CROSS JOIN c{r} WHERE round = {r}) GROUP BY ingest_seq),
+            s{r} AS (SELECT id, count(*) AS m, sum(bpm_w) AS sx, sum(centroid_w) AS sy, sum(danceability_w) AS sz
+              FROM n{r} JOIN keyed USING (ingest_seq) GROUP BY id),
+            c{r + 1} AS (SELECT c.id, {", ".join(
+                f"CASE WHEN m IS NULL THEN {a} ELSE {a} + (s{a} - m * {a}) / (v + m) END AS {a}" for a in "xyz"
+            )}, v + coalesce(m, 0) AS v FROM c{r} c LEFT JOIN s{r} ON c.id = s{r}.id)"""
+        )
+    parts.append(
+        f"""assigned AS (SELECT ingest_seq, CAST(arg_min(id, (d, id)) AS INT) AS cluster FROM (
+          SELECT ingest_seq, id, {distance} AS d FROM scaled CROSS JOIN c{ROUNDS}) GROUP BY ingest_seq)"""
+    )
+    return ", ".join(parts)
+
+
 QUERIES = {
     "clean_clamp": Query(clean_clamp, CLEAN_SQL),
     "scale_weight": Query(
@@ -199,6 +255,13 @@ QUERIES = {
     "kmeans_playlists": Query(
         kmeans_playlists, f"{CLEAN} SELECT file_hash, true AS nearest, true AS named FROM clean"
     ),
+    "minibatch_centers": Query(
+        minibatch_centers,
+        f"""{_minibatch_sql()} SELECT CAST(c.id AS INT) AS cluster, count(a.cluster) AS size, round(any_value(x), 6) AS bpm_w,
+          round(any_value(y), 6) AS centroid_w, round(any_value(z), 6) AS danceability_w
+        FROM c{ROUNDS} c LEFT JOIN assigned a ON a.cluster = c.id GROUP BY c.id""",
+    ),
+    "minibatch_assigned": Query(minibatch_assigned, f"{_minibatch_sql()} SELECT ingest_seq, cluster FROM assigned"),
     "kmeans_distribution": Query(
         kmeans_distribution,
         f"{CLEAN} SELECT count(*) AS placed, count(*) AS tracks, true AS balanced FROM clean",

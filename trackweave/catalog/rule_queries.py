@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackweave.catalog.cache_queries import scratch
 from trackweave.catalog.inputs import TRACKS, Query, case, table, tracks
 from trackweave.functions import labels as L
 from trackweave.operators import grouping as G
+from trackweave.operators.incremental import GroupedTracks
 from trackweave.session import settle
 
 # The label ladders and key names, written from the published cut-offs.
@@ -305,6 +307,37 @@ SELECT l.playlist, o.playlist_order, l.size, coalesce(r.bpm_group, 'Various') AS
   coalesce(l.part, r.mood_group, 'Various') AS mood_group, r.key_group
 FROM labels l JOIN orders_of o ON l.playlist = o.playlist LEFT JOIN ranked r ON r.playlist = l.final_name"""
 
+# Tracks after two change sets: files that replace another one, tracks that come later, tracks that go.
+AFTER_CHANGES = """(ingest_seq % 50 = 7
+  OR (ingest_seq % 50 = 6 AND status <> 'P'
+      AND NOT EXISTS (SELECT 1 FROM tracks o WHERE o.ingest_seq = tracks.ingest_seq + 1 AND o.file_path = tracks.file_path))
+  OR (ingest_seq % 50 NOT IN (6, 7) AND (status = 'P' OR (owner % 19 <> 3 AND owner % 23 <> 5))))"""
+
+
+def _after_changes(spark, sf_dir) -> GroupedTracks:
+    """Two change sets on top of a first state, in small partitions."""
+    t = tracks(spark, sf_dir)
+    plain = t.where("ingest_seq % 50 NOT IN (6, 7)")
+    state = GroupedTracks(spark, scratch(spark), slice_bits=15, buckets=8)
+    state.rebuild(t.where("ingest_seq % 50 <> 7 AND status <> 'P'"))
+    state.update(t.where("ingest_seq % 50 = 7"), plain.where("owner % 19 = 3"))
+    state.update(plain.where("status = 'P'"), plain.where("owner % 23 = 5 AND status <> 'P'"))
+    return state
+
+
+def update_by_changes(spark, sf_dir):
+    """Playlists and positions kept up to date by change sets, in the end as if made anew."""
+    found = _after_changes(spark, sf_dir).playlists().tracks
+    return found.withColumn("playlist_order", F.col("playlist_order").cast("bigint"))
+
+
+def update_links(spark, sf_dir):
+    """The playlist of every track after the change sets, without ordering anything."""
+    return _after_changes(spark, sf_dir).links()
+
+
+AFTER_SQL = PLACED.replace("FROM tracks WHERE bpm IS NOT NULL", f"FROM tracks WHERE {AFTER_CHANGES} AND bpm IS NOT NULL")
+
 QUERIES = {
     "label_rule": Query(
         label_rule,
@@ -347,6 +380,10 @@ QUERIES = {
         WHERE part IS NOT NULL GROUP BY playlist, part""",
     ),
     "playlists_final": Query(playlists_final, SUMMARY_SQL),
+    "update_by_changes": Query(
+        update_by_changes, f"{AFTER_SQL} SELECT playlist, playlist_order, pos, file_hash, file_path FROM ordered"
+    ),
+    "update_links": Query(update_links, f"{AFTER_SQL} SELECT playlist, file_hash FROM ordered"),
     "playlist_positions": Query(
         playlist_positions, f"{PLACED} SELECT playlist, playlist_order, pos, file_hash, file_path FROM ordered"
     ),

@@ -18,7 +18,9 @@ from trackweave.plans import jobs as J
 from trackweave.plans.output import save_failed
 from trackweave.schema import MEASURES
 from trackweave.sources.files import list_files
-from trackweave.sources.m3u import open_filesystem
+from trackweave.sources.m3u import open_filesystem, read_m3u
+from trackweave.sources.table import FeatureTable
+from trackweave.streaming.ingest import watch_directory
 
 # Names with what file systems and readers stumble over; the same text runs in both engines.
 SONGS = """songs AS (
@@ -88,6 +90,44 @@ def _measure_file(path: str, source) -> dict:
     return {"duration": count / 44100, "bpm": rms, "key": label % 12, "centroid": 1e3, "danceability": 0.4}
 
 
+def scan_files(spark, sf_dir):
+    """Every file of the tree with its size and key: the name, the size and a time."""
+    files = list_files(spark, music(spark, sf_dir)).withColumn("base", F.regexp_extract("file_path", "[^/]*$", 0))
+    key = F.concat_ws("_", "base", F.col("length").cast("string"), (F.col("last_modified") * 1e6).cast("bigint").cast("string"))
+    near = F.substring_index("file_hash", "_", -1).cast("bigint") - F.substring_index(key, "_", -1).cast("bigint")
+    stem = F.regexp_replace("file_hash", r"_\d+$", "")
+    return files.select("base", "length", stem.alias("stem"), (F.abs(near) <= 1).alias("timed"))
+
+
+def _write_round(spark, sf_dir, root: str, number: int) -> None:
+    """Files of a round: new ones, and known ones with other contents."""
+    parts = {1: "vec_id % 3 <> 1", 2: "vec_id % 3 = 1 OR vec_id % 5 = 0", 3: "vec_id % 7 = 2"}
+    songs = _songs(spark, sf_dir).where(parts[number]).select("vec_id", (F.col("label") + 100 * number).alias("label"), "name", "embedding")
+    written = songs.repartition(8, "vec_id").mapInArrow(_writer(root, 2000 + number), "vec_id bigint")
+    written.write.format("noop").mode("overwrite").save()
+
+
+def watch_rounds(spark, sf_dir):
+    """A watched folder in three rounds: what was measured of which file, changed files once for each content."""
+    root, cache = scratch(spark), scratch(spark)
+    features = FeatureTable(spark, f"{cache}/features", buckets=4)
+    for number in (1, 2, 3):
+        _write_round(spark, sf_dir, root, number)
+        watch_directory(spark, root, features, f"{cache}/failed", _label_of, f"{cache}/progress").awaitTermination()
+    return features.read().select(_relative(root).alias("name"), F.col("key").alias("label"))
+
+
+def _label_of(path: str, source) -> dict:
+    number, label, count = struct.unpack("<qii", source.read(16))
+    return {"duration": 60.0, "bpm": 1.0, "key": label, "centroid": 1e3, "danceability": 0.4}
+
+
+WATCH_SQL = f"""{SONGS_SQL}, audio AS (SELECT * FROM songs WHERE vec_id % 7 <> 4)
+SELECT name, CAST(label + 100 AS INT) AS label FROM audio WHERE vec_id % 3 <> 1
+UNION ALL SELECT name, CAST(label + 200 AS INT) FROM audio WHERE vec_id % 3 = 1 OR vec_id % 5 = 0
+UNION ALL SELECT name, CAST(label + 300 AS INT) FROM audio WHERE vec_id % 7 = 2"""
+
+
 def map_extract(spark, sf_dir):
     """Every audio file is read whole by an isolated call; some of them fail on purpose."""
     root = music(spark, sf_dir)
@@ -175,12 +215,11 @@ def run_full_report(spark, sf_dir):
 
 
 def failed_file(spark, sf_dir):
-    """The list of failed files as written, read back."""
+    """The list of failed files as written in parts, in order, read back."""
     target = scratch(spark)
     names = _songs(spark, sf_dir).where("vec_id % 4 = 1").select(F.concat(F.lit("/music/"), "name").alias("file_path"))
-    save_failed(names.union(names), target, "/music", "/srv/media")
-    lines = spark.read.text(f"{target}/Failed_Files.m3u", wholetext=True)
-    return lines.select(F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
+    save_failed(names.union(names), target, "/music", "/srv/media", layout="parts", lines_per_part=50)
+    return read_m3u(spark, target).select(F.col("line_number").cast("int").alias("line_number"), "line")
 
 
 QUERIES = {
@@ -189,6 +228,13 @@ QUERIES = {
         f"""{SONGS_SQL} SELECT s.name, CAST(16 + 4 * len(e.embedding) AS BIGINT) AS length, s.vec_id % 7 <> 4 AS is_audio
         FROM songs s JOIN embeddings e ON s.vec_id = e.vec_id""",
     ),
+    "scan_files": Query(
+        scan_files,
+        f"""{SONGS_SQL}, sized AS (SELECT regexp_replace(s.name, '.*/', '') AS base, CAST(16 + 4 * len(e.embedding) AS BIGINT) AS length
+          FROM songs s JOIN embeddings e ON s.vec_id = e.vec_id)
+        SELECT base, length, base || '_' || length AS stem, true AS timed FROM sized""",
+    ),
+    "watch_rounds": Query(watch_rounds, WATCH_SQL),
     "map_extract": Query(map_extract, MAP_EXTRACT_SQL),
     "run_from_cache_links": Query(run_from_cache_links, f"{LINKS_SQL} FROM songs"),
     "run_update_links": Query(

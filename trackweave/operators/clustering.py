@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -72,12 +73,19 @@ def assign_nearest(points: DataFrame, centers: DataFrame, columns: list[str], ou
     ``centers`` (id and the same columns) has one row per cluster; those few rows are read
     and become constants of one expression, so the points are not joined or shuffled.
     """
+    rows = centers.select("id", *columns).collect()
+    nearest = nearest_center([tuple(r)[1:] for r in rows], columns, [r["id"] for r in rows])
+    return points.withColumn(out, nearest.getField("id"))
+
+
+def nearest_center(centers: list[tuple[float, ...]], columns: list[str], ids: list[int] | None = None) -> Column:
+    """(distance, id) of the nearest of some constant centers, squared; the lowest id (by default the place) on ties."""
     ranked = []
-    for center in centers.select("id", *columns).collect():
-        offsets = [F.col(c) - F.lit(center[c]) for c in columns]
+    for number, center in zip(ids or range(len(centers)), centers):
+        offsets = [F.col(c) - F.lit(x) for c, x in zip(columns, center)]
         distance = sum((o * o for o in offsets), F.lit(0.0))
-        ranked.append(F.struct(distance.alias("distance"), F.lit(center["id"]).alias("id")))
-    return points.withColumn(out, F.array_min(F.array(*ranked)).getField("id"))
+        ranked.append(F.struct(distance.alias("distance"), F.lit(number).alias("id")))
+    return F.array_min(F.array(*ranked))
 
 
 @dataclass(frozen=True)
@@ -185,15 +193,22 @@ def cluster_playlists(
     order: str = "ingest_seq",
     max_iter: int = MAX_ITER,
     tol: float = TOLERANCE,
+    fit: Callable[..., Clustered] | None = None,
 ) -> ClusterPlaylists:
     """The whole cluster grouping; ``order`` is a unique bigint column.
 
+    ``fit`` (scaled tracks, number, seed, ``order=``) takes the place of Lloyd's iteration: ``minibatch_clusters`` reads all
+    tracks twice, to draw its samples and to assign them.
+
     The scaled tracks are stored once, with the columns that are used. Fitting, medians, cell counts
     and positions then each scan the few columns they need; assigning again is cheaper than storing again.
     """
     used = [c for c in tracks.columns if c in {order, "file_hash", "file_path", "duration", "key", "scale", *WEIGHTS}]
     scaled = store(scale_weighted(clean_tracks(tracks.select(*used))))
-    clustered = kmeans_clusters(scaled, num_playlists, seed, WEIGHTS, max_iter, tol)
+    if fit:
+        clustered = fit(scaled, num_playlists, seed, order=order)
+    else:
+        clustered = kmeans_clusters(scaled, num_playlists, seed, WEIGHTS, max_iter, tol)
     placed = clustered.tracks.drop(*[f"{c}_w" for c in WEIGHTS])
     per_cluster = settle(cluster_summary(placed))
     return ClusterPlaylists(place_clustered(placed, per_cluster, order), merge_by_name(per_cluster), clustered)

@@ -116,6 +116,11 @@ def group_table(coded: DataFrame) -> DataFrame:
         F.min("ingest_seq").alias("first_seq"),
         F.min_by("mood", "ingest_seq").alias("mood"),
     )
+    return name_groups(grouped)
+
+
+def name_groups(grouped: DataFrame) -> DataFrame:
+    """Labels and names beside (gid, size, first_seq, mood); ``mood`` is the first track's."""
     rest = F.floor(F.col("gid") / len(SUFFIXES)).cast("int")
     key_slot = rest % KEY_SLOTS
     pair = F.floor(rest / KEY_SLOTS).cast("int")
@@ -298,27 +303,37 @@ def rule_playlists(features: DataFrame, rules: GroupingRules = GroupingRules(),
     plan = settle(merge_map(one_partition(group_table(coded)), rules))
     split = split_moods(coded, plan, rules)
 
-    segment = ["gid", "part"]
     cells = settle(
-        split.groupBy(*segment, cell_of("ingest_seq").alias("cell")).agg(
+        split.groupBy(*SEGMENT, cell_of("ingest_seq").alias("cell")).agg(
             F.count("*").alias("n"), F.min("ingest_seq").alias("first_part_seq")
         )
     )
-    counts = cells.groupBy(*segment).agg(F.sum("n").alias("n"), F.min("first_part_seq").alias("first_part_seq"))
-    segments = settle(segment_table(one_partition(counts), plan, rules))
+    segments = settle(segments_of_cells(cells, plan, rules))
+    return RulePlaylists(placed_tracks(split, cells, segments), playlist_summary(segments, plan))
+
+
+SEGMENT = ["gid", "part"]
+
+
+def segments_of_cells(cells: DataFrame, plan: DataFrame, rules: GroupingRules) -> DataFrame:
+    """The segment table out of cell counts (gid, part, cell, n, first_part_seq)."""
+    counts = cells.groupBy(*SEGMENT).agg(F.sum("n").alias("n"), F.min("first_part_seq").alias("first_part_seq"))
+    return segment_table(one_partition(counts), plan, rules)
+
 
+def placed_tracks(split: DataFrame, cells: DataFrame, segments: DataFrame) -> DataFrame:
+    """Every track of ``split`` with its playlist and position, by its cell's place; cells and segments are settled."""
     offsets = (
-        cell_offsets(cells.drop("first_part_seq"), segment)
-        .join(F.broadcast(segments.drop("n")), segment)
+        cell_offsets(cells.drop("first_part_seq"), SEGMENT)
+        .join(F.broadcast(segments.drop("n")), SEGMENT)
         .withColumn("before", F.col("before") + F.col("before_segment"))
         .drop("before_segment")
     )
     if cells.count() <= BROADCAST_ROWS:
         offsets = F.broadcast(offsets)
-    tracks = number_rows(split, offsets, segment, "ingest_seq", "pos").select(
+    return number_rows(split, offsets, SEGMENT, "ingest_seq", "pos").select(
         "playlist", "playlist_order", "pos", "file_hash", "file_path"
     )
-    return RulePlaylists(tracks, playlist_summary(segments, plan))
 
 
 def playlist_summary(segments: DataFrame, plan: DataFrame) -> DataFrame:

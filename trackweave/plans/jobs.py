@@ -95,8 +95,9 @@ def run_full(
     extractor: Extractor,
     num_playlists: int = NUM_PLAYLISTS,
     tasks: int | None = None,
+    layout: str = "parts",
 ) -> RunReport:
-    """Analyse the files below ``music_dir``, cluster them and write the playlists."""
+    """Analyse the files below ``music_dir``, cluster them and write the playlists, in parts or (``layout``) single files."""
     workspace = Workspace(spark, cache_dir)
     listing = store(list_files(spark, music_dir))
     missing = purge(workspace, listing, music_dir)
@@ -107,9 +108,9 @@ def run_full(
     playlists = tracks = 0
     if not good.isEmpty():
         result = cluster_playlists(good, num_playlists, order="seq")
-        save_playlists(result.tracks, result.summary, output_dir, music_dir, host_music_dir)
+        save_playlists(result.tracks, result.summary, output_dir, music_dir, host_music_dir, layout=layout)
         playlists, tracks = result.summary.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    failures = save_failed(failed, output_dir, music_dir, host_music_dir)
+    failures = save_failed(failed, output_dir, music_dir, host_music_dir, layout=layout)
     return RunReport(good.count(), failures, missing.count(), playlists, tracks)
 
 
@@ -146,7 +147,7 @@ def store_links(workspace: Workspace, tracks: DataFrame, summary: DataFrame, kep
     workspace.links.rewrite(links)
 
 
-def _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept) -> RunReport:
+def _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept, layout) -> RunReport:
     # Several passes read these columns: they are taken out of the table once.
     columns = ["file_hash", "file_path", "bpm", "centroid", "danceability", "key", "scale", "ingest_seq"]
     result = rule_playlists(store(workspace.features.read().select(*columns)), rules, unique_hashes=True)
@@ -155,8 +156,8 @@ def _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, k
         store_links(workspace, tracks, summary, kept)
     playlists, total = summary.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if playlists:
-        save_playlists(tracks, summary, output_dir, music_dir, host_music_dir)
-    failures = save_failed(missing, output_dir, music_dir, host_music_dir)
+        save_playlists(tracks, summary, output_dir, music_dir, host_music_dir, layout=layout)
+    failures = save_failed(missing, output_dir, music_dir, host_music_dir, layout=layout)
     return RunReport(0, failures, missing.count(), playlists, total)
 
 
@@ -167,11 +168,12 @@ def run_from_cache(
     output_dir: str,
     cache_dir: str,
     rules: GroupingRules = GroupingRules(),
+    layout: str = "parts",
 ) -> RunReport:
     """Rule playlists out of the feature table alone."""
     workspace = Workspace(spark, cache_dir)
     missing = purge(workspace, store(list_files(spark, music_dir)), music_dir)
-    return _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, workspace.links.read())
+    return _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, workspace.links.read(), layout)
 
 
 def run_update(
@@ -183,6 +185,7 @@ def run_update(
     rules: GroupingRules = GroupingRules(),
     changed: DataFrame | None = None,
     null_watermark: str = "none",
+    layout: str = "parts",
 ) -> RunReport:
     """Rule playlists again; links of changed files are renewed, if any file changed."""
     workspace = Workspace(spark, cache_dir)
@@ -193,4 +196,4 @@ def run_update(
     kept = None
     if not changed.isEmpty():
         kept = store(C.unlink_changed(workspace.links.read(), features, changed))
-    return _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept)
+    return _regroup(workspace, music_dir, host_music_dir, output_dir, missing, rules, kept, layout)

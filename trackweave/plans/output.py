@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.functions.paths import host_path, sanitise_name
+from trackweave.session import store
 from trackweave.sources.m3u import LINES_PER_PART, write_m3u
 
 ALL_TRACKS = "All_Successful_Tracks"
@@ -66,6 +67,21 @@ def save_playlists(
     write_m3u(placed.select(line, F.inline(F.array(own, every))), output_dir, layout, lines_per_part)
 
 
+def ordered_lines(lines: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(line, pos): distinct lines in order, sorted by many tasks.
+
+    Ranges of lines are sorted each by a task; a line's position is its place there and the lines of the ranges before.
+    """
+    width = tasks or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = lines.select("line").distinct().repartitionByRange(width, "line").sortWithinPartitions("line")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = store(ranged.select("line", F.spark_partition_id().alias("range"), place.alias("place")))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("range").agg(F.count("*").alias("n"))
+    ranges = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(ranges), "range").select("line", (F.col("start") + F.col("place") + 1).alias("pos"))
+
+
 def save_failed(
     failed: DataFrame,
     output_dir: str,
@@ -75,14 +91,12 @@ def save_failed(
     layout: str = "single",
     lines_per_part: int = LINES_PER_PART,
 ) -> int:
-    """The distinct failed paths, sorted in each file; nothing is written without any."""
+    """The distinct failed paths in order, in either layout; nothing is written without any. Returns their number."""
+    line = host_path(F.col("file_path"), source_root, host_root, strict_prefix).alias("line")
     paths = failed.select("file_path").distinct()
+    rows = ordered_lines(paths.select(line)).select(F.lit(FAILED_FILES).alias("playlist"), "pos", "line")
     count = paths.count()
     if count:
-        parts = -(-count // lines_per_part) if layout == "parts" else 1
-        part = F.pmod(F.xxhash64("file_path"), F.lit(parts))
-        line = host_path(F.col("file_path"), source_root, host_root, strict_prefix).alias("line")
-        rows = paths.select(F.lit(FAILED_FILES).alias("playlist"), (part * lines_per_part + 1).alias("pos"), line)
         write_m3u(rows, output_dir, layout, lines_per_part)
     return count
 

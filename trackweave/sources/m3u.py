@@ -1,9 +1,10 @@
-"""The m3u sink: ordered playlist files written by many tasks.
+"""m3u playlists as a sink and a source: ordered files written and read by many tasks.
 
 Layout ``single``: every playlist is one ``<name>.m3u``, written by one task as a stream. Layout
-``parts``: every playlist is ``<name>.00000.m3u``, ``<name>.00001.m3u`` ... in order, with a fixed number of
-lines each; choose it where one task is too few for a playlist. Tasks write aside; when all are done,
-tasks move the files into place.
+``parts``: the lines are in ``<name>.00000.m3u``, ``<name>.00001.m3u`` ... in order, with a fixed number of
+lines each, and ``<name>.m3u`` is an index that names them after a comment with that number; no task has more than
+a part. Tasks write aside; when all are done, tasks move the files into place. The source reads every part of an index
+by a task of its own, which knows from the index where its lines stand.
 """
 
 from __future__ import annotations
@@ -18,13 +19,23 @@ import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceArrowWriter,
+    DataSourceReader,
+    InputPartition,
+    WriterCommitMessage,
+)
 
 from trackweave.session import store
 
 # Lines of a numbered part in the layout "parts".
 LINES_PER_PART = 1_000_000
 LAYOUTS = ("single", "parts")
+# First line of an index: a comment to players.
+INDEX_MARK = "#PARTS:"
+# Bytes read from a file at once.
+CHUNK = 1 << 20
 
 
 @cache
@@ -126,13 +137,85 @@ def playlist_of(file_name: str) -> str:
     return name if dot and len(number) == 5 and number.isdigit() else stem
 
 
+@dataclass
+class PlaylistFile(InputPartition):
+    """A file whose lines belong to ``playlist`` from line ``first`` on."""
+
+    path: str
+    playlist: str
+    first: int
+
+
+def _lines(path: str) -> Iterator[list[str]]:
+    """The lines of a file, in lists of bounded size; a line end at the end of the file begins no further line."""
+    fs, inner = open_filesystem(path)
+    with fs.open_input_stream(inner) as source:
+        rest = b""
+        while chunk := source.read(CHUNK):
+            *whole, rest = (rest + chunk).split(b"\n")
+            if whole:
+                yield [w.removesuffix(b"\r").decode("utf-8") for w in whole]
+        if rest:
+            yield [rest.removesuffix(b"\r").decode("utf-8")]
+
+
+def index_of(path: str) -> tuple[int, list[str]] | None:
+    """(lines in a part, file names) if the file is an index."""
+    found: list[str] = []
+    for lines in _lines(path):
+        if not found and not lines[0].startswith(INDEX_MARK):
+            return None
+        found += lines
+    return (int(found[0].removeprefix(INDEX_MARK)), found[1:]) if found else None
+
+
+class M3uReader(DataSourceReader):
+    """A folder's playlists by the file; only indexes are read beforehand."""
+
+    def __init__(self, folder: str):
+        self.folder = folder.rstrip("/")
+
+    def partitions(self):
+        fs, base = open_filesystem(self.folder)
+        infos = fs.get_file_info(pafs.FileSelector(base))
+        names = sorted(i.base_name for i in infos if i.type == pafs.FileType.File and i.base_name.endswith(".m3u"))
+        indexes = {n: found for n in names if playlist_of(n) == n.removesuffix(".m3u") and (found := index_of(f"{self.folder}/{n}"))}
+        out, named = [], set()
+        for name, (lines, parts) in indexes.items():
+            named.update(parts)
+            for number, part in enumerate(parts):
+                out.append(PlaylistFile(f"{self.folder}/{part}", name.removesuffix(".m3u"), number * lines))
+        for name in names:
+            if name not in indexes and name not in named:
+                out.append(PlaylistFile(f"{self.folder}/{name}", name.removesuffix(".m3u"), 0))
+        return out or [None]
+
+    def read(self, partition):
+        if partition is None:
+            return
+        first = partition.first
+        for lines in _lines(partition.path):
+            numbers = pa.array(range(first, first + len(lines)), pa.int64())
+            yield pa.record_batch([pa.array([partition.playlist] * len(lines)), numbers, pa.array(lines)], ["playlist", "line_number", "line"])
+            first += len(lines)
+
+
 class M3uSink(DataSource):
-    """``df.write.format("m3u")`` for rows (file, line) sorted by file in each partition; ``path`` is aside."""
+    """``df.write.format("m3u")`` for rows (file, line) sorted by file in each partition; ``path`` is aside.
+
+    ``spark.read.format("m3u").load(folder)``: (playlist, line_number, line), comments included.
+    """
 
     @classmethod
     def name(cls):
         return "m3u"
 
+    def schema(self):
+        return "playlist string, line_number bigint, line string"
+
+    def reader(self, schema):
+        return M3uReader(self.options["path"])
+
     def writer(self, schema, overwrite):
         return M3uWriter(self.options["path"])
 
@@ -197,10 +280,16 @@ def file_name(playlist: Column, pos: Column, layout: str, lines_per_part: int) -
     return F.concat(playlist, F.lit("."), part, F.lit(".m3u"))
 
 
+def read_m3u(spark: SparkSession, folder: str) -> DataFrame:
+    """(playlist, line_number, line) of every playlist in a folder, in either layout; a task for each file of lines."""
+    spark.dataSource.register(M3uSink)
+    return spark.read.format("m3u").load(folder)
+
+
 def write_m3u(
     rows: DataFrame, target: str, layout: str = "single", lines_per_part: int = LINES_PER_PART
 ) -> None:
-    """Write rows (playlist, pos, line): one shuffle by file, sorted by position.
+    """Write rows (playlist, pos, line), ``pos`` from 1 without gaps: one shuffle by file, sorted by position.
 
     Files that a playlist had from an earlier run and does not have any more are deleted.
     """
@@ -210,9 +299,18 @@ def write_m3u(
     fs, base = open_filesystem(target)
     fs.create_dir(base, recursive=True)
     aside = f"{target}/_writing-{uuid.uuid4().hex}"
-    named = rows.select(
-        file_name(F.col("playlist"), F.col("pos"), layout, lines_per_part).alias("file"), "pos", "line"
-    )
+    file = file_name(F.col("playlist"), F.col("pos"), layout, lines_per_part)
+    own = F.struct(file.alias("file"), F.col("pos").cast("bigint").alias("pos"), "line")
+    if layout == "parts":
+        # The first line of a part also enters the part's name into the index.
+        index = F.concat("playlist", F.lit(".m3u")).alias("file")
+        entry = F.struct(index, (F.floor((F.col("pos") - 1) / lines_per_part) + 1).alias("pos"), file.alias("line"))
+        head = F.struct(index, F.lit(0).cast("bigint").alias("pos"), F.lit(f"{INDEX_MARK}{lines_per_part}").alias("line"))
+        lines = F.when(F.col("pos") == 1, F.array(own, entry, head))
+        lines = lines.when((F.col("pos") - 1) % lines_per_part == 0, F.array(own, entry)).otherwise(F.array(own))
+        named = rows.select(F.inline(lines))
+    else:
+        named = rows.select(F.inline(F.array(own)))
     (
         named.repartition("file")
         .sortWithinPartitions("file", "pos", "line")

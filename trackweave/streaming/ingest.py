@@ -13,8 +13,10 @@ from trackweave.operators import cache as C
 from trackweave.operators.extraction import Extractor, extract_measures
 from trackweave.session import store
 from trackweave.sources.files import big_enough, describe_files, too_small
+from trackweave.sources.listing import changed_files
 from trackweave.sources.table import FeatureTable, KeyedTable
 
+
 def stream_name(checkpoint: str) -> str:
     """A stream's mark in the table: batches are numbered for each checkpoint folder."""
     return hashlib.md5(checkpoint.encode()).hexdigest()
@@ -37,6 +39,21 @@ def upsert_stream(
     return (query.trigger(availableNow=True) if available_now else query).start()
 
 
+def fresh_rows(rows: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
+    """Rows of a stream, each of ``keys`` once, without those that come later than ``delay`` behind the newest.
+
+    Keys are remembered as state until the watermark has passed them by ``delay``, so a repeated row is dropped
+    whatever its batch, and the state is as long as the delay and not as the stream.
+    """
+    return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+
+
+def save_stream(rows: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Append a stream to a Parquet folder; every batch counts once."""
+    query = rows.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    return (query.trigger(availableNow=True) if available_now else query).start()
+
+
 def watch_directory(
     spark: SparkSession,
     music_dir: str,
@@ -46,18 +63,11 @@ def watch_directory(
     checkpoint: str,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Measure files as they appear below ``music_dir``; unchanged ones are skipped.
+    """Measure files as they appear or change below ``music_dir``; unchanged ones are skipped, hidden names are taken.
 
-    Failed paths go to the Parquet folder ``failures``, one subfolder per batch. Spark's streaming file
-    source passes over names that start with ``_`` or ``.``; a run over the listing takes those.
+    Failed paths go to the Parquet folder ``failures``, one subfolder per batch.
     """
-    stream = (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("recursiveFileLookup", "true")
-        .load(music_dir)
-        .select("path", "length", "modificationTime")
-    )
+    stream = changed_files(spark, music_dir)
 
     def take(batch: DataFrame, number: int) -> None:
         audio = describe_files(batch).where(is_audio(F.col("file_path")))
