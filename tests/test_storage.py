@@ -1,6 +1,5 @@
 import os
 import sys
-from dataclasses import replace
 
 import pytest
 from pyspark import cloudpickle
@@ -10,9 +9,8 @@ from trackweave.operators.extraction import extract_measures, measures_from_samp
 from trackweave.plans import jobs as J
 from trackweave.plans.output import save_failed, save_playlists
 from trackweave.schema import MEASURES
-from trackweave.sources import storage
 from trackweave.sources.files import list_files, too_small
-from trackweave.sources.m3u import open_filesystem, outer_path, playlist_of
+from trackweave.sources.m3u import open_filesystem, outer_path, playlist_of, read_m3u
 from trackweave.sources.table import FeatureTable, KeyedTable
 from trackweave.streaming.ingest import upsert_stream, watch_directory
 
@@ -35,62 +33,59 @@ def test_table_keeps_newest_row_and_replays_count_once(spark, tmp_path):
     table = FeatureTable(spark, str(tmp_path / "t"), buckets=3)
     assert table.read().count() == 0 and table.read().columns == [f.name for f in table.schema]
     table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0), ("b", "/b", 1.0, 1.0)]), "s", 0)
-    table.append(feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)]), "s", 1)
-    number = table.version().number
-    table.append(feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)]), "s", 1)
-    assert table.version().number == number
+    second = feature_rows(spark, [("b", "/b2", 2.0, 1.0), ("c", "/c", 2.0, 1.0)])
+    table.append(second, "s", 1)
+    before = sorted(map(tuple, table.read().collect()))
+    table.append(second, "s", 1)  # a replayed batch has the numbers it had
+    assert sorted(map(tuple, table.read().collect())) == before
     assert rows_of(table) == {"a": ("/a", 1.0), "b": ("/b2", 2.0), "c": ("/c", 2.0)}
     assert len({r.ingest_seq for r in table.read().collect()}) == 3
+    assert os.listdir(tmp_path / "t" / "batches" / "s") == ["1"]
 
 
-def test_change_rewrites_touched_buckets_only_and_old_versions_go(spark, tmp_path):
+def bucket_files(table):
+    return {b: sorted(n for n in os.listdir(f"{table.root}/rows/{b}") if n.endswith(".parquet")) for b in os.listdir(f"{table.root}/rows") if b.startswith("bucket=")}
+
+
+def test_change_rewrites_touched_buckets_only(spark, tmp_path):
     table = FeatureTable(spark, str(tmp_path / "t"), buckets=8)
     table.append(feature_rows(spark, [(f"h{i}", f"/{i}", 1.0, 1.0) for i in range(60)]))
-    before = table.version()
-    for k in range(5):
+    before = bucket_files(table)
+    for k in range(3):
         table.append(feature_rows(spark, [("h3", "/3", 2.0 + k, 1.0)]))
-    after = table.version()
-    assert sum(after.folders[b] != before.folders[b] for b in before.folders) == 1
+    after = bucket_files(table)
+    assert len(before) == 8 and sum(after[b] != before[b] for b in before) == 1
     rows = table.read()
-    assert rows.where("bpm > 1").first().bpm == 6.0 and rows.count() == 60
+    assert rows.where("bpm > 1").first().bpm == 4.0 and rows.count() == 60
     assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
-    assert len(os.listdir(tmp_path / "t" / "versions")) - sum(n.startswith((".", "_")) for n in os.listdir(tmp_path / "t" / "versions")) == 3
-
-
-def test_two_writers_lose_nothing(spark, tmp_path):
-    table = FeatureTable(spark, str(tmp_path / "t"), buckets=2)
-    table.append(feature_rows(spark, [("base", "/base", 1.0, 1.0)]))
-    other = FeatureTable(spark, table.root, buckets=2)
-    publish, calls = table._publish, []
+    # Numbers go on, also after the rows that had them are gone.
+    table.forget(rows.select("file_hash"))
+    assert table.read().count() == 0 and len(bucket_files(table)) == 8
+    top = table.top()
+    table.append(feature_rows(spark, [("new", "/new", 1.0, 1.0)]))
+    assert table.read().first().ingest_seq > top >= 62
 
-    def overtaken(version):
-        if not calls:
-            other.append(feature_rows(spark, [("other", "/other", 1.0, 1.0)]))
-        calls.append(version.number)
-        return publish(version)
-
-    table._publish = overtaken
-    table.append(feature_rows(spark, [("mine", "/mine", 1.0, 1.0)]))
-    assert set(rows_of(table)) == {"base", "other", "mine"} and len(calls) == 2
-    assert len({r.ingest_seq for r in table.read().collect()}) == 3
 
-
-def test_only_one_creates_a_version(spark, tmp_path):
-    (tmp_path / "v").mkdir()
-    path = str(tmp_path / "v" / "1")
-    assert storage.create_text(spark, path, "one") and not storage.create_text(spark, path, "two")
-    assert storage.read_text(spark, path) == "one" and storage.read_text(spark, path + "x") is None
+def test_a_change_may_be_applied_again(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), spark.createDataFrame([], "k string, t int").schema, ["k"], ["t"], buckets=2)
+    rows = spark.createDataFrame([("a", 5), ("b", 1)], table.schema)
+    for _ in range(2):
+        table.append(rows)
+        table.forget(rows.where("k = 'b'"))
+        assert table.read().collect() == [("a", 5)]
+    table.rewrite(spark.createDataFrame([("z", 1)], table.schema))
+    assert table.read().collect() == [("z", 1)]
 
 
 def test_older_files_get_defaults_for_added_columns(spark, tmp_path):
-    table = FeatureTable(spark, str(tmp_path / "t"), buckets=1)
-    table.append(feature_rows(spark, [("a", "/a", 1.0, 1.0)]))
-    version = table.version()
-    old = spark.read.parquet(f"{table.root}/{version.folders[0]}/bucket=0").drop("key", "zcr")
-    old.write.parquet(f"{table.root}/data-old/bucket=0")
-    assert table._publish(replace(version, number=version.number + 1, folders={0: "data-old"}))
-    row = table.read().first()
-    assert (row.key, row.zcr) == (-1, 0.0)
+    table = FeatureTable(spark, str(tmp_path / "t"), buckets=4)
+    table.append(feature_rows(spark, [(f"h{i}", "/a", 1.0, 1.0) for i in range(9)]))
+    old = FeatureTable(spark, str(tmp_path / "old"), buckets=4)
+    spark.read.parquet(f"{table.root}/rows").drop("key", "zcr").write.partitionBy("bucket").parquet(f"{old.root}/rows")
+    assert {(r.key, r.zcr) for r in old.read().collect()} == {(-1, 0.0)}
+    # The first change brings all buckets up to date.
+    old.append(feature_rows(spark, [("h3", "/a", 2.0, 1.0)]))
+    assert sorted((r.file_hash, r.key) for r in old.read().collect()) == [(f"h{i}", 0 if i == 3 else -1) for i in range(9)]
 
 
 def test_forgotten_keys_come_back_when_added_again(spark, tmp_path):
@@ -127,11 +122,17 @@ def test_parts_are_a_layout_of_their_own(spark, tmp_path):
     save_playlists(tracks, summary, out)
     save_playlists(tracks, summary, out, layout="parts", lines_per_part=10)
     names = sorted(os.listdir(out))
-    assert [n for n in names if n.startswith("B")] == ["B.00000.m3u", "B.00001.m3u", "B.00002.m3u"]
-    whole = "\n".join(open(f"{out}/{n}").read() for n in names if n.startswith("B"))
+    assert [n for n in names if n.startswith("B")] == ["B.00000.m3u", "B.00001.m3u", "B.00002.m3u", "B.m3u"]
+    whole = "\n".join(open(f"{out}/{n}").read() for n in names if n.startswith("B."[:2]) and n != "B.m3u")
     assert whole == "\n".join(r[3] for r in rows[3:])
-    # A short playlist has a number as well: the layout does not depend on sizes.
-    assert "A.00000.m3u" in names and len(names) == 1 + 3 + 3
+    # A short playlist has parts as well: the layout does not depend on sizes.
+    assert "A.00000.m3u" in names and len(names) == 1 + 3 + 3 + 3
+    assert open(f"{out}/B.m3u").read() == "#PARTS:10\nB.00000.m3u\nB.00001.m3u\nB.00002.m3u"
+    found = read_m3u(spark, out)
+    assert found.rdd.getNumPartitions() == 7
+    lines = sorted((r.playlist, r.line_number, r.line) for r in found.collect())
+    assert [x[2] for x in lines if x[0] == "B"] == [r[3] for r in rows[3:]]
+    assert [x[1:] for x in lines if x[0] == "All_Successful_Tracks"] == [(i, r[3]) for i, r in enumerate(rows)]
     assert {playlist_of(n) for n in names} == {"A", "B", "All_Successful_Tracks"}
     with pytest.raises(ValueError):
         save_playlists(tracks, summary, out, layout="other")
@@ -152,7 +153,11 @@ def test_failed_files_are_distinct_and_optional(spark, tmp_path):
     failed = spark.createDataFrame([("/m/a",), ("/m/b",), ("/m/a",)], "file_path string")
     assert save_failed(failed.where("false"), out) == 0 and not os.path.exists(out)
     assert save_failed(failed, out, "/m", "/h") == 2
-    assert sorted(open(f"{out}/Failed_Files.m3u").read().split("\n")) == ["/h/a", "/h/b"]
+    assert open(f"{out}/Failed_Files.m3u").read().split("\n") == ["/h/a", "/h/b"]
+    many = spark.createDataFrame([(f"/m/{i * 37 % 100:03d}",) for i in range(100)], "file_path string").repartition(7)
+    assert save_failed(many, out, "/m", "/h", layout="parts", lines_per_part=9) == 100
+    found = [(r.line_number, r.line) for r in read_m3u(spark, out).collect()]
+    assert sorted(found) == [(i, f"/h/{i:03d}") for i in range(100)]
 
 
 def make_files(root, names, size=2000):
@@ -217,7 +222,7 @@ def test_full_run_then_cache_then_update(spark, tmp_path):
     make_files(music, ["tiny.mp3"], 100)
     args = (spark, str(music), "/host", str(out), cache)
 
-    report = J.run_full(*args, extractor, num_playlists=3)
+    report = J.run_full(*args, extractor, num_playlists=3, layout="single")
     assert (report.ok_files, report.failed_files, report.purged_files, report.saved_tracks) == (30, 3, 0, 30)
     lines = open(out / "All_Successful_Tracks.m3u").read().split("\n")
     assert sorted(lines) == sorted(f"/host/d{i % 2}/{i}.mp3" for i in range(30))
@@ -308,6 +313,10 @@ def test_watched_directory(spark, tmp_path):
     assert scan() == 2
     make_files(music, ["3.mp3"])
     assert scan() == 3
+    make_files(music, ["d/_hidden.mp3", ".x/.4.mp3"])
+    make_files(music, ["2.mp3"], 3000)  # changed: its new content is a row of its own
+    assert scan() == 6
+    assert scan() == 6
     assert [os.path.basename(r.file_path) for r in spark.read.parquet(failures).collect()] == ["bad.mp3"]
 
 

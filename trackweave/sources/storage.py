@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import SparkSession
 
 
@@ -18,42 +15,6 @@ def child_names(spark: SparkSession, text: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
 
-def read_text(spark: SparkSession, text: str) -> str | None:
-    """Content of a small file; None if it is not there."""
-    path, fs = _path(spark, text)
-    if not fs.exists(path):
-        return None
-    stream = fs.open(path)
-    try:
-        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
-    finally:
-        stream.close()
-
-
-def create_text(spark: SparkSession, text: str, content: str) -> bool:
-    """Create a small file whole, unless it exists: of several writers exactly one gets True.
-
-    It is written aside under a name of its own first. A local file system renames onto existing
-    files, so there a hard link decides; elsewhere the rename itself fails.
-    """
-    target, fs = _path(spark, text)
-    folder, name = text.rsplit("/", 1)
-    aside, _ = _path(spark, f"{folder}/_{name}-{uuid.uuid4().hex}.tmp")
-    stream = fs.create(aside, False)
-    stream.write(bytearray(content, "utf-8"))
-    stream.close()
-    try:
-        if fs.getUri().getScheme() != "file":
-            return not fs.exists(target) and fs.rename(aside, target)
-        os.link(aside.toUri().getPath(), target.toUri().getPath())
-        return True
-    except FileExistsError:
-        return False
-    finally:
-        if fs.exists(aside):
-            fs.delete(aside, False)
-
-
 def delete(spark: SparkSession, text: str) -> None:
     path, fs = _path(spark, text)
     fs.delete(path, True)

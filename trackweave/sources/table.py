@@ -1,20 +1,17 @@
-"""Keyed Parquet tables in hash buckets.
+"""Keyed Parquet tables, upserted by Spark's dynamic partition overwrite.
 
-A version of the table is a small text file that names the folder of every bucket. A change reads the
-buckets its keys fall into, writes them anew into a fresh folder, and publishes exactly the version
-after the one it read; if another writer was faster it starts again from that one. Readers see the
-old version or the new one, and a crash leaves the old one in force.
+A table is one Parquet folder partitioned by hash bucket of its keys. An upsert reads the buckets its keys fall into,
+keeps the newest row of each key, and overwrites these partitions and no others.
+
+One writer at a time, and readers between writes: whoever needs more takes a table format. A change that was
+broken off is applied again and gives the same table, since it is stated by keys and rows; batches of a stream are
+kept by their number until they have been applied, so a replayed batch has the very rows it had.
 
 Choose ``buckets`` so that one of them suits a task (about a gigabyte): a bucket is written by one.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-from dataclasses import dataclass, field, replace
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,40 +22,13 @@ from trackweave.session import settle_small, store
 from trackweave.sources import storage
 
 BUCKETS = 16
-# Versions that stay readable; what only older ones name is deleted.
-KEPT_VERSIONS = 3
-RETRIES = 20
-
-
-@dataclass(frozen=True)
-class Version:
-    """What a version file says: folders by bucket, the largest sequence number, and the last batch of each stream."""
-
-    number: int = 0
-    buckets: int = BUCKETS
-    top: int = -1
-    folders: dict[int, str] = field(default_factory=dict)
-    batches: dict[str, int] = field(default_factory=dict)
-
-    def text(self) -> str:
-        lines = [f"buckets {self.buckets}", f"top {self.top}"]
-        lines += [f"folder {b} {name}" for b, name in sorted(self.folders.items())]
-        lines += [f"batch {stream} {n}" for stream, n in sorted(self.batches.items())]
-        return "\n".join(lines) + "\n"
-
-    @staticmethod
-    def parse(number: int, text: str) -> Version:
-        lines = [line.split(" ") for line in text.splitlines()]
-        single = {line[0]: int(line[1]) for line in lines if len(line) == 2}
-        folders = {int(line[1]): line[2] for line in lines if line[0] == "folder"}
-        batches = {line[1]: int(line[2]) for line in lines if line[0] == "batch"}
-        return Version(number, single["buckets"], single["top"], folders, batches)
 
 
 class KeyedTable:
     """A table with unique ``keys``; among rows of one key the largest ``newest_by`` wins.
 
-    ``seq`` names a bigint column that numbers rows in order of arrival.
+    ``seq`` names a bigint column that numbers rows in order of arrival. Every bucket holds one row without keys: it
+    keeps the partition in being when its last row goes, and its ``seq`` is the largest number given so far.
     """
 
     def __init__(
@@ -78,133 +48,112 @@ class KeyedTable:
         known = [c for c in newest_by if c != seq]
         self.batch_order = known + [c for c in schema.names if c not in {*known, *keys, seq}]
 
-    def _versions(self) -> list[int]:
-        names = storage.child_names(self.spark, f"{self.root}/versions")
-        return sorted(int(n) for n in names if n.isdigit())
-
-    def _file(self, number: int) -> str:
-        return f"{self.root}/versions/{number:012d}"
-
-    def version(self) -> Version:
-        """The version in force; number 0 while the table is new."""
-        for number in reversed(self._versions()):
-            text = storage.read_text(self.spark, self._file(number))
-            if text is not None:
-                return Version.parse(number, text)
-        return Version(buckets=self.buckets)
+    def _count(self) -> int:
+        """Buckets of the table on disk, 0 while there is none."""
+        return sum(n.startswith("bucket=") for n in storage.child_names(self.spark, f"{self.root}/rows"))
 
     def _bucket(self, count: int) -> Column:
         keys = [F.col(k).cast(self.schema[k].dataType) for k in self.keys]
         return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
 
-    def _load(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*paths)
+    def _load(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/rows")
 
-    def _rows(self, version: Version, buckets: set[int] | None = None) -> DataFrame:
-        """Rows of some buckets, or of all."""
-        by_folder: dict[str, list[str]] = {}
-        for b, folder in sorted(version.folders.items()):
-            if buckets is None or b in buckets:
-                by_folder.setdefault(folder, []).append(f"{self.root}/{folder}/bucket={b}")
-        if not by_folder:
-            return empty_table(self.spark, self.schema)
-        loaded = [self._load(paths).select(*self.schema.names) for paths in by_folder.values()]
-        return reduce(DataFrame.unionByName, loaded)
+    def _rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of some buckets, or of all; other partitions are not listed for reading."""
+        rows = self._load().where(F.col(self.keys[0]).isNotNull())
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
 
     def read(self) -> DataFrame:
         """The rows in force, one for each key; an absent table is empty. Nothing is shuffled."""
-        return self._rows(self.version())
-
-    def _write(self, rows: DataFrame, count: int) -> tuple[str, set[int]]:
-        """Write rows, which have ``bucket`` and come by bucket, to a fresh folder; which buckets are there."""
-        folder = f"data-{uuid.uuid4().hex}"
-        rows.select(*self.schema.names, "bucket").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
-        names = storage.child_names(self.spark, f"{self.root}/{folder}")
-        return folder, {int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")}
-
-    def _publish(self, version: Version) -> bool:
-        """Make ``version`` the one after its predecessor, unless that has a successor already."""
-        if not storage.create_text(self.spark, self._file(version.number), version.text()):
-            return False
-        numbers = self._versions()
-        old, kept = numbers[:-KEPT_VERSIONS], numbers[-KEPT_VERSIONS:]
-        texts = {n: storage.read_text(self.spark, self._file(n)) for n in [*old, *kept]}
-        named = {n: set(Version.parse(n, text).folders.items()) for n, text in texts.items() if text}
-        alive = set().union(*(named.get(n, set()) for n in kept))
-        for b, folder in set().union(*(named.get(n, set()) for n in old)) - alive:
-            storage.delete(self.spark, f"{self.root}/{folder}/bucket={b}")
-        for n in old:
-            storage.delete(self.spark, self._file(n))
-        return True
-
-    def _change(self, touched: DataFrame | None, make: Callable[[Version, DataFrame], DataFrame], **marks) -> None:
-        """Rewrite the buckets that ``touched`` keys fall into (None: all) as ``make`` says; again after a conflict."""
-        for _ in range(RETRIES):
-            base = self.version()
-            count = base.buckets
-            if touched is None:
-                buckets = set(range(count))
-            else:
-                buckets = {r[0] for r in touched.select(self._bucket(count)).distinct().collect()}
-            bucketed = make(base, self._rows(base, buckets)).withColumn("bucket", self._bucket(count))
-            folder, written = self._write(bucketed.repartition(count, "bucket"), count)
-            rest = {b: f for b, f in base.folders.items() if b not in buckets}
-            top = base.top
-            if self.seq and written:
-                fresh = self._load([f"{self.root}/{folder}/bucket={b}" for b in sorted(written)])
-                last = fresh.agg(F.max(self.seq)).first()[0]
-                top = top if last is None else max(top, last)
-            new = replace(
-                base,
-                number=base.number + 1,
-                top=top,
-                folders={**rest, **{b: folder for b in written}},
-                batches={**base.batches, **marks.get("batches", {})},
-            )
-            if self._publish(new):
-                return
-            storage.delete(self.spark, f"{self.root}/{folder}")
-        raise RuntimeError(f"{self.root}: {RETRIES} changes in a row were overtaken by other writers")
+        if not self._count():
+            return empty_table(self.spark, self.schema)
+        return self._rows().select(*self.schema.names)
+
+    def top(self) -> int:
+        """The largest sequence number ever given: only the rows without keys are looked at."""
+        if not self.seq or not self._count():
+            return -1
+        found = self._load().where(F.col(self.keys[0]).isNull()).agg(F.max(self.seq)).first()[0]
+        return -1 if found is None else found
+
+    def _write(self, rows: DataFrame, buckets: list[int], count: int, top: int) -> None:
+        """Overwrite the partitions ``buckets`` with ``rows``."""
+        names = [*self.schema.names, "bucket"]
+        marks = self.spark.createDataFrame([(b,) for b in buckets], "bucket int")
+        blank = {c: F.lit(None).cast(self.schema[c].dataType) for c in self.schema.names}
+        if self.seq:
+            blank[self.seq] = F.lit(top).cast("bigint")
+        both = rows.withColumn("bucket", self._bucket(count)).select(*names).unionByName(marks.withColumns(blank).select(*names))
+        # Settled first: a partition cannot be overwritten while it is read. Blank rows come first in their file.
+        settled = store(both)
+        ordered = settled.repartition(count, "bucket").sortWithinPartitions("bucket", self.keys[0])
+        ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/rows")
+
+    def _touched(self, keys: DataFrame, count: int) -> list[int]:
+        """Buckets to write for some keys; all of them if the files are older than the schema, so that none stays behind."""
+        if set(self.schema.names) - set(self.spark.read.parquet(f"{self.root}/rows").columns):
+            return list(range(count))
+        return sorted(r[0] for r in keys.select(self._bucket(count)).distinct().collect())
+
+    def _numbered(self, rows: DataFrame) -> DataFrame:
+        """The newest row of each key of a batch, numbered on from the largest number given."""
+        newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.batch_order])
+        if self.seq:
+            newest = newest.withColumn(self.seq, F.monotonically_increasing_id() + F.lit(self.top() + 1))
+        return newest.select(*self.schema.names)
 
     def append(self, rows: DataFrame, stream: str = "", batch: int = -1) -> None:
-        """Add ``rows``; of each key the newest row stays.
+        """Upsert ``rows``; of each key the newest row stays, whether stored or new.
 
-        A ``stream``'s batches count once: one that is not beyond the last batch is skipped. Sequence
-        numbers continue after the largest one.
+        A ``stream``'s batch is written under its number before it is applied; one that comes again is taken from there, and
+        its predecessor is then no longer needed.
         """
-        if stream and batch <= self.version().batches.get(stream, -1):
-            return
-        newest = latest_per_key(rows, self.keys, [F.desc_nulls_last(c) for c in self.batch_order])
-        if self.seq:
-            newest = newest.withColumn(self.seq, F.monotonically_increasing_id())
-        # Settled: a recomputed task must not number rows in another way.
-        fresh = store(newest.select(*self.schema.names))
+        if stream:
+            folder = f"{self.root}/batches/{stream}"
+            if "_SUCCESS" not in storage.child_names(self.spark, f"{folder}/{batch}"):
+                self._numbered(rows).write.mode("overwrite").parquet(f"{folder}/{batch}")
+            fresh = self.spark.read.parquet(f"{folder}/{batch}")
+            for name in storage.child_names(self.spark, folder):
+                if name.isdigit() and int(name) < batch:
+                    storage.delete(self.spark, f"{folder}/{name}")
+        else:
+            # Settled: a recomputed task must not number rows in another way.
+            fresh = store(self._numbered(rows))
         if fresh.isEmpty():
             return
-
-        def merged(base: Version, old: DataFrame) -> DataFrame:
-            new = fresh.withColumn(self.seq, F.col(self.seq) + F.lit(base.top + 1)) if self.seq else fresh
-            both = old.unionByName(new).withColumn("bucket", self._bucket(base.buckets)).repartition(base.buckets, "bucket")
-            # The bucket leads the window's keys: rows meet where they are written.
-            kept = latest_per_key(both, ["bucket", *self.keys], [F.desc_nulls_last(c) for c in self.newest_by])
-            return kept.drop("bucket")
-
-        self._change(fresh, merged, batches={stream: batch} if stream else {})
+        count = self._count()
+        buckets = self._touched(fresh, count) if count else list(range(self.buckets))
+        old = self._rows(buckets).select(*self.schema.names) if count else empty_table(self.spark, self.schema)
+        count = count or self.buckets
+        both = old.unionByName(fresh).withColumn("bucket", self._bucket(count)).repartition(count, "bucket")
+        # The bucket leads the window's keys: rows meet where they are written.
+        kept = latest_per_key(both, ["bucket", *self.keys], [F.desc_nulls_last(c) for c in self.newest_by])
+        top = max(self.top(), fresh.agg(F.max(self.seq)).first()[0]) if self.seq else -1
+        self._write(kept.drop("bucket"), buckets, count, top)
 
     def forget(self, keys: DataFrame) -> None:
         """Delete the rows of ``keys``; rows added later count again."""
         gone = settle_small(keys.select(*self.keys).distinct())
-        if not gone.isEmpty():
-            self._change(gone, lambda base, old: old.join(gone, self.keys, "left_anti"))
+        count = self._count()
+        if not count or gone.isEmpty():
+            return
+        buckets = self._touched(gone, count)
+        rows = self._rows(buckets).select(*self.schema.names)
+        self._write(rows.join(gone, self.keys, "left_anti"), buckets, count, self.top())
 
     def rewrite(self, rows: DataFrame) -> None:
         """Replace the whole table by ``rows`` (one row per key)."""
+        count = self._count() or self.buckets
         settled = store(rows.select(*self.schema.names))
-        self._change(None, lambda base, old: settled)
+        top = self.top()
+        if self.seq:
+            top = max(top, settled.agg(F.coalesce(F.max(self.seq), F.lit(-1))).first()[0])
+        self._write(settled, list(range(count)), count, top)
 
 
 class FeatureTable(KeyedTable):
-    """Track features by content hash; buckets written before a column existed get its default."""
+    """Track features by content hash; files written before a column existed give its default."""
 
     def __init__(
         self, spark: SparkSession, root: str, newest_by: list[str] | None = None, buckets: int = BUCKETS
@@ -214,5 +163,5 @@ class FeatureTable(KeyedTable):
         recent = ["last_modified", "last_analyzed"]
         self.batch_order = recent + [c for c in self.batch_order if c not in recent]
 
-    def _load(self, paths: list[str]) -> DataFrame:
-        return evolve_features(super()._load(paths))
+    def _load(self) -> DataFrame:
+        return evolve_features(super()._load())
