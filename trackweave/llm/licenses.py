@@ -46,6 +46,21 @@ NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
     "all rights reserved no part of this": "all-rights-reserved",
 }
+# Words that tell a notice from those of other licences: they must be there, whole, in this order. The edits are for the rest;
+# one of them may fall into a word of LONG characters or more.
+TELLING = {
+    "mit": {"released": "mit"},
+    "apache-2": {"licensed": "apache 2"},
+    "cc-by-nc": {"licensed": "cc by nc", "creative": "noncommercial"},
+    "cc-by-sa": {"licensed": "cc by sa", "creative": "sharealike"},
+    "cc0": {"creative": "zero"},
+    "gpl-3": {"gnu": "gnu 3"},
+    "gpl-2": {"gnu": "gnu 2"},
+    "lgpl": {"gnu": "gnu lesser"},
+    "agpl": {"gnu": "gnu affero"},
+    "mpl-2": {"mozilla": "mozilla 2"},
+}
+LONG = 8
 PER_EDIT = 10  # characters of a notice for each edit allowed
 
 
@@ -66,6 +81,25 @@ def _compiled() -> list[tuple[str, str, int, list[tuple[int, bytes]], regex.Patt
     return out
 
 
+@cache
+def _telling(notice: str) -> regex.Pattern | None:
+    """What the words of a match must hold; a notice's first word chooses among those of its label."""
+    words = TELLING.get(NOTICES[notice], {}).get(notice.split()[0])
+    if words is None:
+        return None
+    parts = [f"(?:{regex.escape(w)}){{e<=1}}" if len(w) >= LONG else regex.escape(w) for w in words.split()]
+    return regex.compile("(?: .*)? ".join(["", *parts]).removeprefix("(?: .*)?").encode() + b" ")
+
+
+def told_apart(notice: str, spaced: bytes, start: int, end: int) -> bool:
+    """Whether the whole words that a match touches hold the notice's telling ones."""
+    pattern = _telling(notice)
+    if pattern is None:
+        return True
+    start, end = spaced.rfind(b" ", 0, start + 1), spaced.find(b" ", end - 1)
+    return pattern.search(spaced, max(start, 0), end + 1 if end >= 0 else len(spaced)) is not None
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(GAPS).split()
 
@@ -94,7 +128,7 @@ def fuzzy_spans(spaced: bytes) -> list[tuple[int, int, str, int]]:
             if start + edits < reach:
                 continue  # inside the last match
             m = pattern.search(spaced, max(start - edits, reach), min(len(spaced), start + len(notice) + 2 * edits))
-            if m:
+            if m and told_apart(notice, spaced, m.start(), m.end()):
                 found.append((m.start(), m.end(), label, sum(m.fuzzy_counts)))
                 reach = m.end()
     # Notices differ in a version or a letter: of those over the same words the nearest is meant.
