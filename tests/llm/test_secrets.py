@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
 
 import pytest
+from corpus import words
 
 from trackweave.llm import secrets
 
@@ -100,3 +102,39 @@ def test_odd_rows(odd, none):
     assert len(rows) == 10 and {r.spans for r in rows} == {""}
     assert {r.base_sha256 for r in rows} == {hashlib.sha256(b"").hexdigest()}
     assert secrets.scan(none).count() == 0 and secrets.masked(none).count() == 0
+
+
+PLAIN = [
+    "the token is documentation of the internationalization",
+    "bearer = authentication and signing-key is available",
+    "secret: configuration_value of the documentation",
+    "client_secret => ${VAULT_CLIENT} password = $DB_PASSWORD_PROD token: {{vault_token_name}}",
+    "secret = <your-secret-value> api_key => env.PRODUCTION_API_KEY",
+]
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    rng = random.Random(61)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(PLAIN * 3 + [words(rng, 300)])], "doc_id bigint, text string, word int")
+    known = secrets.learned(docs)
+    assert {"documentation", "internationalization", "authentication", "available"} <= set(known.rank)
+    # A value of one text alone is not learned.
+    assert not {w for w in docs.where("doc_id = 15").first().text.split() if len(w) >= 6} & set(known.rank)
+    spans = [s for t in PLAIN for s in secrets.all_spans(t, words=known) if s[1] == "guess"]
+    assert spans == []
+    for hard in ("bearer = k9Xw2pQz7LmVt4", "signing-key => $ecr3tT0k9Xw2pQz", "pass: qzvkxjwpqhzt"):
+        assert [s[1] for s in secrets.all_spans(hard, words=known)] == ["guess"]
+    assert {r.spans for r in secrets.scan(docs).collect() if "guess" in r.spans} == set()
+
+
+def test_learned_words_equal_a_plain_count(spark):
+    rng = random.Random(62)
+    texts = [" ".join(rng.choices(["Alpha", "beta-gamma", "delta9delta", "épsilon", "zetas", "eta", "theta"], k=12)) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(4)
+    how = secrets.Vocabulary(most=3, texts=2)
+    counts = {}
+    for t in texts:
+        for w in {w for w in re.split(r"[^a-z\x80-\U0010ffff]+", t.lower()) if re.fullmatch("[a-z]{4,24}", w)}:
+            counts[w] = counts.get(w, 0) + 1
+    want = sorted(counts, key=lambda w: (-counts[w], w))[:3]
+    assert list(secrets.learned(docs, how).rank) == list(secrets.Words.of(want).rank)

@@ -12,7 +12,8 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass
+from functools import cache, cached_property
 from itertools import accumulate
 
 import pyarrow as pa
@@ -48,13 +49,58 @@ WORDS = (
     "trust freedom access system server root guest temp demo pass key token dev prod stage local host "
     "your here insert replace placeholder none null undefined todo redacted value string"
 ).split()
-RANK = {word: rank for rank, word in enumerate(WORDS, 1)}
-LONGEST = max(map(len, WORDS))
+# Values that stand for a secret kept elsewhere: ${NAME}, $NAME, $(call), {{ name }}, <name>, %NAME%, env.NAME, os.environ...
+TEMPLATE = re.compile(
+    r"\$\{[^}]*\}?|\$\([^)]*\)?|\$[A-Z_][A-Z0-9_]*|\{\{.*|<[\w.-]+>?|%[A-Z_]+%|(?:process\.)?env[.\[(].*|os\.(?:environ|getenv).*", re.A
+)
 LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890", "abcdefghijklmnopqrstuvwxyz")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d")
 
 
+@dataclass(frozen=True)
+class Words:
+    """A dictionary: the rank of each word, most frequent first, is its cost."""
+
+    rank: dict[str, int]
+
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.rank), default=0)
+
+    @classmethod
+    def of(cls, more: list[str] = []) -> Words:
+        """The common parts of passwords, then ``more`` in their order."""
+        return cls({word: rank for rank, word in enumerate(dict.fromkeys([*WORDS, *more]), 1)})
+
+
+COMMON = Words.of()
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Which words of a corpus its dictionary has: the ``most`` most frequent ones of ``least`` to ``longest`` letters.
+
+    A word counts once for a text, and must be in ``texts`` of them: a random value is in one, or in its copies. The bound on
+    the dictionary (about three megabytes) does not depend on the corpus; the counts are over all of it.
+    """
+
+    most: int = 50_000
+    least: int = 4
+    longest: int = 24
+    texts: int = 3
+
+
+def learned(docs: DataFrame, how: Vocabulary = Vocabulary()) -> Words:
+    """The dictionary of ``docs`` (text): words of a-z, counted by Spark with partial sums before the shuffle; ties by the word."""
+    parts = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z\\x{80}-\\x{10FFFF}]+")
+    words = documents(docs, "text").select(F.explode(F.array_distinct(parts)).alias("word"))
+    words = words.where(F.length("word").between(how.least, how.longest) & F.col("word").rlike("^[a-z]+$"))
+    counts = words.groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") >= how.texts)
+    top = counts.orderBy(F.desc("texts"), "word").limit(how.most).collect()
+    return Words.of([r.word for r in top])
+
+
 @cache
 def _steps() -> frozenset[str]:
     """Neighbouring characters of a keyboard row or of the alphabet, in either direction."""
@@ -68,12 +114,12 @@ def _brute(char: str) -> float:
     return math.log10(26 if char.isalpha() and char.isascii() else 33) + (0.1 if char.isupper() else 0)
 
 
-def guess_cost(value: str, enough: float = math.inf) -> float:
+def guess_cost(value: str, enough: float = math.inf, words: Words = COMMON) -> float:
     """log10 of the guesses for ``value``, by its cheapest segmentation; stops at ``enough``.
 
     Segments go forwards from each position, so the cheapest end still open bounds all that follows.
     """
-    n = len(value)
+    n, rank_of, longest = len(value), words.rank, words.longest
     low = value.lower()
     plain = low.translate(LEET)
     best = [0.0] + [math.inf] * n
@@ -98,8 +144,8 @@ def guess_cost(value: str, enough: float = math.inf) -> float:
         if cost == math.inf:
             continue
         reach(i + 1, _brute(value[i]))
-        for size in range(3, min(LONGEST, n - i) + 1):
-            rank = RANK.get(low[i : i + size]) or RANK.get(plain[i : i + size], 0) * 4
+        for size in range(3, min(longest, n - i) + 1):
+            rank = rank_of.get(low[i : i + size]) or rank_of.get(plain[i : i + size], 0) * 4
             if rank:
                 cased = 0.0 if value[i : i + size] == low[i : i + size] else 0.3
                 reach(i + size, 0.3 + math.log10(rank + 10) + cased)
@@ -133,8 +179,8 @@ def base_spans(text: str) -> list[tuple[int, str, int, tuple[int, int]]]:
 _ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
-def all_spans(text: str, enough: float = 10.0) -> list[tuple[int, str, int, tuple[int, int]]]:
-    """Base spans and those of values whose guess cost reaches ``enough``, by start, then kind."""
+def all_spans(text: str, enough: float = 10.0, words: Words = COMMON) -> list[tuple[int, str, int, tuple[int, int]]]:
+    """Base spans and those of values whose guess cost reaches ``enough``, by start, then kind; templates are no values."""
     found = base_spans(text)
     low = text.lower()
     if any(h in low for h in HINTS):
@@ -144,7 +190,7 @@ def all_spans(text: str, enough: float = 10.0) -> list[tuple[int, str, int, tupl
             span = m.span(1)
             before = bisect_right(covered, (span[0], math.inf))
             inside = before and span[1] <= furthest[before - 1]
-            if not inside and guess_cost(m[1], enough) >= enough:
+            if not inside and not TEMPLATE.fullmatch(m[1].rstrip("\"',;.")) and guess_cost(m[1], enough, words) >= enough:
                 found.append((span[0], "guess", span[1], span))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
 
@@ -153,12 +199,12 @@ def _joined(spans) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end, _ in spans)
 
 
-def _scanned(enough: float):
+def _scanned(enough: float, words: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             counts, shas, texts = [[], [], []], [], []
             for text in block.column("text").to_pylist():
-                spans = all_spans(text or "", enough)
+                spans = all_spans(text or "", enough, words)
                 base = [s for s in spans if s[1] != "guess"]
                 for kind, column in zip(KINDS, counts):
                     column.append(sum(s[1] == kind for s in base))
@@ -170,19 +216,20 @@ def _scanned(enough: float):
     return run
 
 
-def scan(docs: DataFrame, enough: float = 10.0) -> DataFrame:
+def scan(docs: DataFrame, enough: float = 10.0, words: Words | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): counts and spans (code points, end exclusive) of its secrets.
 
-    ``enough``: log10 of the guesses from which a credential's value counts as a secret. A null or
+    ``enough``: log10 of the guesses from which a credential's value counts as a secret; ``words``: the dictionary, by
+    default that of ``docs`` itself. A null or
     empty text has none; repeated rows and null ids are scanned like others.
     """
     kinds = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string"
-    return documents(docs, "doc_id", "text").mapInArrow(_scanned(enough), kinds)
+    return documents(docs, "doc_id", "text").mapInArrow(_scanned(enough, words or learned(docs)), kinds)
 
 
-def mask(text: str | None, enough: float = 10.0, by: str = "[secret]") -> str | None:
+def mask(text: str | None, enough: float = 10.0, words: Words = COMMON, by: str = "[secret]") -> str | None:
     """``text`` with the value of each secret replaced; overlapping values are replaced once."""
-    if not text or not (spans := all_spans(text, enough)):
+    if not text or not (spans := all_spans(text, enough, words)):
         return text
     parts, at = [], 0
     for a, b in sorted(span for *_, span in spans):
@@ -192,16 +239,18 @@ def mask(text: str | None, enough: float = 10.0, by: str = "[secret]") -> str |
     return "".join([*parts, text[at:]])
 
 
-def masked(docs: DataFrame, enough: float = 10.0) -> DataFrame:
+def masked(docs: DataFrame, enough: float = 10.0, words: Words | None = None) -> DataFrame:
     """``docs`` with secret values masked in ``text``, and ``n_chars`` (if there) brought in line; no row goes.
 
     Null and empty texts stay as they are, as do repeated rows and all other columns; an empty table gives none.
+    ``words`` as in ``scan``.
     """
+    known = words or learned(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             before = block.column("text").to_pylist()
-            after = [mask(t, enough) for t in before]
+            after = [mask(t, enough, known) for t in before]
             names = block.schema.names
             block = block.set_column(names.index("text"), "text", pa.array(after, pa.string()))
             if "n_chars" in names:
