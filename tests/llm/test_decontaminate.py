@@ -59,6 +59,9 @@ def test_no_window_within_its_edits_is_lost(spark):
                 for _, w, k in d.windows(d.normalised(passage.encode()), how)
                 if edit_distance_inside(w, d.normalised(text.encode())) <= k
             ]
+            short = d.normalised(passage.encode())
+            if len(short) < how.shortest and f" {short} " in f" {d.normalised(text.encode())} ":
+                costs.append(0)
             if costs:
                 want[i, item] = min(costs)
     assert got == want and len(want) > 12
@@ -118,3 +121,23 @@ def test_case_and_punctuation_fold_beyond_ascii(spark):
     docs = spark.createDataFrame([(1, text), (2, words(rng, 60))], "doc_id bigint, text string")
     benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
     assert [(r.doc_id, r.edits) for r in d.leaks(docs, benchmark).collect()] == [(1, 0)]
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    rng = random.Random(47)
+    items = [(1, "2+2=4 what is it?"), (2, "Why not him"), (3, "?!"), (4, "why NOT him!"), (None, "tenletters")]
+    texts = [
+        f"{words(rng, 5)} 2 + 2 = 4, What is it? {words(rng, 5)}",
+        "why not hims, swhy not him, whynot him",
+        "Why: not him",
+        f"{words(rng, 3)} tenletters",
+        "xtenletters tenlettersx",
+        "why not him why not him",
+        "why",
+        "not him",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    found = d.leaks(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    got = sorted(((r.doc_id, r.item_id or 0, r.regions, r.edits) for r in found))
+    assert got == [(0, 1, 1, 0), (2, 2, 1, 0), (2, 4, 1, 0), (3, 0, 1, 0), (5, 2, 2, 0), (5, 4, 2, 0)]
+    assert [(r.start, r.end) for r in found if r.doc_id == 2] == [(0, 11)] * 2

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import groupby, islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -53,7 +54,7 @@ class Passages:
     window: int = 80
     step: int = 40
     per_edit: int = 16
-    shortest: int = 24  # normalised items below this say nothing
+    shortest: int = 24  # normalised items below this are found as whole words in a row, without edits
 
 
 def normalised(text: bytes) -> str:
@@ -106,9 +107,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], how: Passages):
         self.item, self.text, self.steps, all_grams = [], [], [], []
+        self.short: dict[str, list[int | None]] = {}
         for item, raw in items:
             text = normalised(raw)
             if len(text) < how.shortest:
+                if text:
+                    self.short.setdefault(text, []).append(item)
                 continue
             self.item.append(item)
             self.text.append(codes(text))
@@ -126,6 +130,16 @@ class Index:
         self.seen = np.zeros(1 << self.BITS, bool)
         self.seen[self.grams >> np.uint64(64 - self.BITS)] = True
 
+    def exact(self):
+        """An automaton over the short items; None without any."""
+        if not self.short:
+            return None
+        automaton = ahocorasick.Automaton()
+        for text, items in self.short.items():
+            automaton.add_word(text, (len(text), items))
+        automaton.make_automaton()
+        return automaton
+
     def regions(self, text: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(item, first diagonal of the band, first and last window offset) where the shared q-grams reach the bound."""
         hashes = grams(text)
@@ -207,11 +221,22 @@ def _searched(index: Index):
                     if cost <= index.edit[item]:
                         yield r, item, cost, a + end
 
+    def whole(text: str, starts: np.ndarray, automaton) -> Iterator[tuple[int, int | None, int, int]]:
+        """(row, item, begin, end) of the short items that stand in ``text`` as whole words."""
+        for last, (size, items) in automaton.iter(text):
+            begin, end = last + 1 - size, last + 1
+            if (begin == 0 or text[begin - 1] in " \n") and (end == len(text) or text[end] in " \n"):
+                r = int(np.searchsorted(starts, begin, "right")) - 1
+                for item in items:
+                    yield r, item, begin - int(starts[r]), end - int(starts[r])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = index.exact()
         for block in blocks(batches, "text"):
             texts = [normalised(t) for t in utf8(block.column("text"))]
             # One buffer for the block; no q-gram of a window holds the separator.
-            joined = codes("\n".join(texts))
+            line = "\n".join(texts)
+            joined = codes(line)
             starts = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
             regions = sorted(index.regions(joined), key=lambda x: int(index.length[x[0]]))
 
@@ -235,6 +260,9 @@ def _searched(index: Index):
                     old = found.get((r, index.item[item]), (0, 1 << 60, 0, 1 << 60))
                     begin = min(old[1], max(0, end - int(index.length[item])))
                     found[r, index.item[item]] = (old[0] + 1, begin, max(old[2], end), min(old[3], edits))
+            for r, item, begin, end in whole(line, starts, automaton) if automaton else ():
+                old = found.get((r, item), (0, 1 << 60, 0, 0))
+                found[r, item] = (old[0] + 1, min(old[1], begin), max(old[2], end), 0)
             ids = block.column("doc_id").take(pa.array([r for r, _ in found], pa.int64()))
             hashes = block.column("text_hash").take(pa.array([r for r, _ in found], pa.int64()))
             items = pa.array([i for _, i in found], pa.int64())
@@ -262,8 +290,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, how: Passages = Passages()) ->
     """(doc_id, item_id, regions, start, end, edits): the items found in each row of ``docs`` (doc_id, text).
 
     ``regions`` counts the windows and bands that verified, ``start`` and ``end`` bound them in the normalised text,
-    ``edits`` is the best region's. Null and empty texts hold and leak nothing, nor do items under
-    ``shortest`` characters; repeated rows are searched one by one, a null item_id stays null.
+    ``edits`` is the best region's. Null and empty texts hold and leak nothing, nor do items without a letter or digit; items
+    under ``shortest`` characters are found as whole words without edits; repeated rows are searched one by one, a null item_id stays null.
     """
     return _found(docs, benchmark, how).drop("text_hash")
 
