@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackweave.llm.common import blocks, documents, utf8
@@ -182,9 +182,11 @@ def fit(docs: DataFrame, labels: DataFrame, net: Network = Network()) -> dict[st
     usable = documents(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IN (0, 1)")
     usable = usable.where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(net.sample))
-    texts = documents(docs, "doc_id", "text").join(chosen, "doc_id").select("quality", "text")
-    # One row for each chosen id, whatever the documents repeat.
-    rows = texts.mapInArrow(_viewed(net), "quality int, views array<binary>").limit(2 * net.sample).collect()
+    texts = documents(docs, "doc_id", "text").join(chosen, "doc_id")
+    # One row for each chosen id, the one with the least hash of its text, whatever the documents repeat.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    texts = texts.withColumn("_place", place).where("_place = 1").select("quality", "text")
+    rows = texts.mapInArrow(_viewed(net), "quality int, views array<binary>").collect()
     rows.sort(key=lambda r: (r.quality, r.views))
     if not rows:
         return start_weights(net)
