@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 from corpus import words
+from pyspark.sql import functions as F
 from trackweave.llm import mixing
 
 
@@ -108,3 +109,17 @@ def test_odd_rows(odd, none):
     assert {(r.doc_id, r.source) for r in rows} == {(r.doc_id, r.source) for r in odd.collect()}
     assert mixing.mix(none).count() == 0
     assert mixing.mix(odd.where("text IS NULL")).count() == 2
+
+
+def test_uses_carry_their_own_text(spark, odd, none):
+    rows = [(1, "a", "one text"), (1, "a", "another text"), (None, "a", "no id"), (2, None, None), (3, "b", "twice"), (3, "b", "twice"), (4, "b", "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, text string").withColumn("epoch", F.lit("x"))
+    uses = mixing.mix(docs).collect()
+    texts = mixing.mixed_texts(docs).collect()
+    columns = ["doc_id", "source", "tokens", "epoch", "block", "order_key"]
+    assert sorted((tuple(r[c] for c in columns) for r in texts), key=repr) == sorted(map(tuple, uses), key=repr)
+    assert {(r.doc_id, r.source, r.text) for r in texts} == set(rows)
+    assert all(r.tokens == len((r.text or "").split()) for r in texts)
+    given = {(r.doc_id, r.text) for r in odd.collect()}
+    assert {(r.doc_id, r.text) for r in mixing.mixed_texts(odd).collect()} == given
+    assert mixing.mixed_texts(none).collect() == []
