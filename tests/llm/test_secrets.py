@@ -131,10 +131,12 @@ def test_learned_words_equal_a_plain_count(spark):
     rng = random.Random(62)
     texts = [" ".join(rng.choices(["Alpha", "beta-gamma", "delta9delta", "épsilon", "zetas", "eta", "theta"], k=12)) for _ in range(40)]
     docs = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string").repartition(4)
-    how = secrets.Vocabulary(most=3, texts=2)
     counts = {}
     for t in texts:
         for w in {w for w in re.split(r"[^a-z\x80-\U0010ffff]+", t.lower()) if re.fullmatch("[a-z]{4,24}", w)}:
             counts[w] = counts.get(w, 0) + 1
-    want = sorted(counts, key=lambda w: (-counts[w], w))[:3]
-    assert list(secrets.learned(docs, how).rank) == list(secrets.Words.of(want).rank)
+    for most in (0, 1, 3, 100):
+        kept = [w for w in counts if sum(n >= counts[w] for n in counts.values()) <= most]
+        want = sorted(kept, key=lambda w: (-counts[w], w))
+        assert list(secrets.learned(docs, secrets.Vocabulary(most=most, texts=2)).rank) == list(secrets.Words.of(want).rank)
+    assert secrets.learned(docs.where("false")).rank == secrets.COMMON.rank

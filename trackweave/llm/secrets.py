@@ -17,10 +17,10 @@ from functools import cache, cached_property
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import blocks, documents
+from trackweave.llm.common import blocks, documents, store
 
 # The base patterns.
 ASSIGN = re.compile(
@@ -81,8 +81,9 @@ COMMON = Words.of()
 class Vocabulary:
     """Which words of a corpus its dictionary has: the ``most`` most frequent ones of ``least`` to ``longest`` letters.
 
-    A word counts once for a text, and must be in ``texts`` of them: a random value is in one, or in its copies. The bound on
-    the dictionary (about three megabytes) does not depend on the corpus; the counts are over all of it.
+    A word counts once for a text, and must be in ``texts`` of them: a random value is in one, or in its copies. Words that are
+    equally frequent are all in it, or none if they would be too many. The bound on the dictionary (about three
+    megabytes) does not depend on the corpus; the counts are over all of it.
     """
 
     most: int = 50_000
@@ -96,9 +97,13 @@ def learned(docs: DataFrame, how: Vocabulary = Vocabulary()) -> Words:
     parts = F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z\\x{80}-\\x{10FFFF}]+")
     words = documents(docs, "text").select(F.explode(F.array_distinct(parts)).alias("word"))
     words = words.where(F.length("word").between(how.least, how.longest) & F.col("word").rlike("^[a-z]+$"))
-    counts = words.groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") >= how.texts)
-    top = counts.orderBy(F.desc("texts"), "word").limit(how.most).collect()
-    return Words.of([r.word for r in top])
+    counts = store(words.groupBy("word").agg(F.count("*").alias("texts")).where(F.col("texts") >= how.texts))
+    # The least number of texts at which the words are not too many; one row for each number of texts is looked at.
+    sizes = counts.groupBy("texts").agg(F.count("*").alias("words"))
+    upto = F.sum("words").over(Window.orderBy(F.desc("texts")))
+    cut = sizes.withColumn("upto", upto).where(F.col("upto") <= how.most).agg(F.min("texts")).first()[0]
+    found = counts.where(F.col("texts") >= cut).collect() if cut is not None else []
+    return Words.of([r.word for r in sorted(found, key=lambda r: (-r.texts, r.word))])
 
 
 @cache
