@@ -72,11 +72,59 @@ def test_pooling_equals_one_pass_over_all_positions():
 
 def test_gradient_equals_differences():
     rng = np.random.default_rng(84)
-    net = c.Network(filters=3, embedding=2, epochs=1, batch=8, rate=0.0, short=0.0)
-    texts = [[rng.integers(0, 256, 264).astype(np.uint8).tobytes() for _ in range(2)] for _ in range(8)]
-    labels = np.array([0, 1] * 4, np.float32)
-    before, after = c.start_weights(net), c.train(texts, labels, net)
-    assert all(np.allclose(before[k], after[k]) for k in before if k != "offset")
+    net = c.Network(filters=3, embedding=2)
+    texts = [c._padded(rng.integers(0, 256, n).astype(np.uint8).tobytes(), net) for n in (3000, 0, 200, 700)]
+    labels = np.array([0, 1, 0, 1], np.float64)
+    w = {k: v.astype(np.float64) for k, v in c.start_weights(net).items()}
+    w["out"][:], w["bias"][:] = np.linspace(-1, 1, len(w["out"])), (0.1, -0.2, 0.3)
+
+    def loss():
+        raw = [t.tobytes() for t in texts]
+        p = []
+        for text in raw:
+            n = (len(text) - net.chunk - net.width) // net.chunk + 1
+            top, _ = c._peaks(np.frombuffer(text, np.uint8), net.chunk * np.arange(n), w, net)
+            pooled = np.maximum(top, 0)
+            p.append(c._sigmoid(np.concatenate([pooled.max(axis=0), pooled.mean(axis=0)]) @ w["out"] + w["offset"])[0])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log1p(-np.array(p)))
+
+    got = c.gradients(texts, labels, w, net, at_once=5)
+    for name in w:
+        flat = w[name].reshape(-1)
+        for i in rng.choice(len(flat), min(len(flat), 12), replace=False):
+            keep, step = flat[i], 1e-5
+            flat[i] = keep + step
+            above = loss()
+            flat[i] = keep - step
+            below = loss()
+            flat[i] = keep
+            assert got[name].reshape(-1)[i] == pytest.approx((above - below) / (2 * step), abs=2e-4), name
+
+
+def test_marks_anywhere_in_long_texts_are_learned(spark):
+    net = c.Network(epochs=30, batch=16, rate=0.02)  # 240 texts need more and larger steps than SMALL takes
+    rng = random.Random(85)
+    docs, labels = [], []
+    for i in range(240):
+        parts = [words(rng, 12) for _ in range(40)]
+        if i % 2:
+            parts[rng.choice((20, 39))] = "@@@@ #### @@@@ ####"  # in the middle or at the end, nowhere else
+        docs.append((i, " ".join(parts)))
+        labels.append((i, int(i % 2 == 0), 0))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    w = c.fit(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), net)
+    out = [r for r in c.score(docs, w, net).collect() if r.held_out]
+    assert np.mean([(r.score >= 0.5) == (r.doc_id % 2 == 0) for r in out]) > 0.95
+
+
+def test_bounds_of_the_sample(labelled):
+    docs, labels = labelled
+    few = c.Network(filters=4, embedding=2, epochs=1, budget=5000, longest=800)
+    w = c.fit(docs, labels, few)
+    short = docs.where("octet_length(text) <= 800")
+    again = c.fit(short, labels, few)
+    assert any(not np.array_equal(w[k], v) for k, v in c.start_weights(few).items())
+    assert all(np.array_equal(w[k], again[k]) for k in w)
 
 
 def test_odd_rows(odd, none, labelled):

@@ -3,7 +3,7 @@
 Bytes are embedded, filters slide over them, and every chunk of the text keeps each filter's largest
 response (chunks overlap by the filters' width, and cover the text to its last byte). The largest and
 the mean response over all chunks are combined into one probability. The network is trained here, by
-gradient descent on a bounded sample of labelled rows; scoring is one pass over the documents.
+gradient descent on a bounded sample of labelled rows, each seen whole; scoring is one pass over the documents.
 """
 
 from __future__ import annotations
@@ -16,16 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackweave.llm.common import blocks, documents, utf8
+from trackweave.llm.common import blocks, documents, store, utf8
 
 
 @dataclass(frozen=True)
 class Network:
     """Shape and training of the network.
 
-    ``sample``: labelled rows used for training at most (those with the least hash of the id);
-    ``views``: chunks of a training text used at most, spread evenly over the whole of it; ``short``: share of
-    the training texts that a step sees as one short piece only, so that short texts are judged fairly.
+    The bounds on the training sample: ``sample`` labelled rows at most (those with the least hash of the id),
+    none of more than ``longest`` bytes, ``budget`` bytes together. Every text of the sample is learned from whole.
+    ``short``: share of the training texts that a step sees as one short piece only, so that short texts are
+    judged fairly.
     """
 
     width: int = 8
@@ -34,7 +35,8 @@ class Network:
     embedding: int = 6
     filters: int = 24
     sample: int = 6000
-    views: int = 8
+    longest: int = 1 << 21
+    budget: int = 1 << 25
     short: float = 0.3
     epochs: int = 14
     batch: int = 64
@@ -72,21 +74,79 @@ def _responses(chunks: np.ndarray, w: dict[str, np.ndarray], net: Network) -> tu
     return windows, windows @ w["filters"]
 
 
-def _piece(chunks: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """One of the chunks, cut off somewhere after its first eight bytes."""
-    one = chunks[rng.integers(len(chunks))][None].copy()
-    one[:, rng.integers(8, one.shape[1]) :] = 0
+def _padded(text: bytes, net: Network) -> np.ndarray:
+    """Bytes of a text, filled up with zeros so that its last chunk is whole."""
+    last = int(chunk_starts(len(text), net)[-1])
+    return np.frombuffer(text.ljust(last + net.chunk + net.width, b"\0"), np.uint8)
+
+
+def _piece(text: np.ndarray, rng: np.random.Generator, net: Network) -> np.ndarray:
+    """One chunk of a padded text, cut off somewhere after its first eight bytes."""
+    length = net.chunk + net.width
+    at = net.chunk * rng.integers((len(text) - length) // net.chunk + 1)
+    one = text[at : at + length].copy()
+    one[rng.integers(8, length) :] = 0
     return one
 
 
-def train(texts: list[list[bytes]], labels: np.ndarray, net: Network) -> dict[str, np.ndarray]:
-    """Weights fitted to documents, each given as its chunks; by Adam on the log loss."""
+def _peaks(
+    data: np.ndarray, starts: np.ndarray, w: dict[str, np.ndarray], net: Network, at_once: int = 512
+) -> tuple[np.ndarray, np.ndarray]:
+    """Each chunk's largest response per filter, and the bytes under the filter there."""
+    tops, under = [], []
+    for at in range(0, len(starts), at_once):
+        some = starts[at : at + at_once, None]
+        _, z = _responses(data[some + np.arange(net.chunk + net.width)], w, net)
+        best = z.argmax(axis=1)  # (chunks, filters)
+        tops.append(np.take_along_axis(z, best[:, None], axis=1)[:, 0] + w["bias"])
+        under.append(data[(some + best * net.stride)[:, :, None] + np.arange(net.width)])
+    return np.concatenate(tops), np.concatenate(under)
+
+
+def gradients(
+    texts: list[np.ndarray], labels: np.ndarray, w: dict[str, np.ndarray], net: Network, at_once: int = 512
+) -> dict[str, np.ndarray]:
+    """Slopes of the mean log loss over padded texts, all chunks of each.
+
+    Only the bytes under the largest responses are kept from the way forward, so what is held at a time
+    grows with the texts by some 300 bytes a chunk.
+    """
+    length = net.chunk + net.width
+    counts = np.array([(len(t) - length) // net.chunk + 1 for t in texts])
+    firsts = np.cumsum(counts) - counts
+    owner = np.repeat(np.arange(len(texts)), counts)
+    offsets = np.cumsum([0, *(len(t) for t in texts[:-1])])
+    starts = offsets[owner] + net.chunk * (np.arange(len(owner)) - firsts[owner])
+    top, under = _peaks(np.concatenate(texts), starts, w, net, at_once)
+    active = top > 0
+    pooled = np.where(active, top, 0)
+    most = np.maximum.reduceat(pooled, firsts)
+    features = np.concatenate([most, np.add.reduceat(pooled, firsts) / counts[:, None]], axis=1)
+    slope = (_sigmoid(features @ w["out"] + w["offset"]) - labels) / len(texts)
+    back = slope[:, None] * w["out"]
+    is_most = pooled == most[owner]
+    share_of = np.add.reduceat(is_most.astype(np.int64), firsts)
+    g = back[owner, : net.filters] * is_most / share_of[owner] + back[owner, net.filters :] / counts[owner, None]
+    g = (g * active).astype(np.float32)
+    grads = {"out": features.T @ slope, "offset": slope.sum(keepdims=True), "bias": g.sum(axis=0)}
+    grads["filters"], grads["bytes"] = np.zeros_like(w["filters"]), np.zeros_like(w["bytes"])
+    for at in range(0, len(g), at_once):
+        some, read = g[at : at + at_once], under[at : at + at_once]
+        chosen = w["bytes"][read].reshape(*some.shape, -1)  # (chunks, filters, width * embedding)
+        grads["filters"] += np.einsum("cfk,cf->kf", chosen, some)
+        spread = (some[:, :, None] * w["filters"].T).reshape(-1, net.embedding)
+        for d in range(net.embedding):
+            grads["bytes"][:, d] += np.bincount(read.ravel(), spread[:, d], 256)
+    return grads
+
+
+def train(texts: list[bytes], labels: np.ndarray, net: Network) -> dict[str, np.ndarray]:
+    """Weights fitted to whole texts; by Adam on the log loss."""
     w = start_weights(net)
     share = float(np.clip(labels.mean(), 0.01, 0.99))
     w["offset"][:] = np.log(share / (1 - share))
     rng = np.random.default_rng(net.seed + 1)
-    length = net.chunk + net.width
-    padded = [np.stack([np.frombuffer(c.ljust(length, b"\0"), np.uint8) for c in doc]) for doc in texts]
+    padded = [_padded(text, net) for text in texts]
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     step = 0
     for epoch in range(net.epochs):
@@ -94,37 +154,9 @@ def train(texts: list[list[bytes]], labels: np.ndarray, net: Network) -> dict[st
         order = rng.permutation(len(padded))
         for at in range(0, len(order), net.batch):
             rows = order[at : at + net.batch]
-            seen = [_piece(padded[i], rng) if rng.random() < net.short else padded[i] for i in rows]
-            chunks = np.concatenate(seen)
-            counts = np.array([len(s) for s in seen])
-            owner = np.repeat(np.arange(len(rows)), counts)
-            windows, z = _responses(chunks, w, net)
-            best = z.argmax(axis=1)  # (chunks, filters)
-            each = np.arange(len(chunks))[:, None]
-            top = z[each, best, np.arange(net.filters)] + w["bias"]
-            active = top > 0
-            pooled = np.where(active, top, 0)
-            starts = np.cumsum(counts) - counts
-            most = np.maximum.reduceat(pooled, starts)
-            mean = np.add.reduceat(pooled, starts) / counts[:, None]
-            features = np.concatenate([most, mean], axis=1)
-            slope = (_sigmoid(features @ w["out"] + w["offset"]) - labels[rows]) / len(rows)
-            grads = {"out": features.T @ slope, "offset": slope.sum(keepdims=True)}
-            back = slope[:, None] * w["out"]
-            is_most = pooled == most[owner]
-            share_of = np.add.reduceat(is_most, starts)[owner]
-            g = back[owner, : net.filters] * is_most / share_of + back[owner, net.filters :] / counts[owner, None]
-            g = (g * active).astype(np.float32)
-            chosen = windows[each, best]  # (chunks, filters, width * embedding)
-            grads["filters"] = np.einsum("cfk,cf->kf", chosen, g)
-            grads["bias"] = g.sum(axis=0)
-            spread = (g[:, :, None] * w["filters"].T).reshape(-1, net.embedding)
-            where = chunks[each[:, :, None], (best * net.stride)[:, :, None] + np.arange(net.width)].ravel()
-            grads["bytes"] = np.stack(
-                [np.bincount(where, spread[:, d], 256) for d in range(net.embedding)], axis=1
-            )
+            seen = [_piece(padded[i], rng, net) if rng.random() < net.short else padded[i] for i in rows]
             step += 1
-            for k, grad in grads.items():
+            for k, grad in gradients(seen, labels[rows], w, net).items():
                 grad = grad + (net.decay * w[k] if k in ("filters", "out", "bytes") else 0)
                 m, v = moments[k]
                 m += 0.1 * (grad - m)
@@ -139,7 +171,7 @@ def probabilities(texts: list[bytes], w: dict[str, np.ndarray], net: Network, at
     length = net.chunk + net.width
     for text in texts:
         starts = chunk_starts(len(text), net)
-        data = np.frombuffer(text.ljust(int(starts[-1]) + length, b"\0"), np.uint8)
+        data = _padded(text, net)
         most, total = np.zeros(net.filters, np.float32), np.zeros(net.filters, np.float64)
         for at in range(0, len(starts), at_once):
             # A chunk reads on into the next one by the filters' width.
@@ -159,23 +191,8 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _viewed(net: Network):
-    """Evenly spread chunks of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            views = []
-            for text in utf8(block.column("text")):
-                starts = chunk_starts(len(text), net)
-                picked = np.unique(np.linspace(0, len(starts) - 1, net.views).round().astype(int))
-                views.append([text[a : a + net.chunk + net.width] for a in starts[picked].tolist()])
-            yield pa.record_batch([block.column("quality"), pa.array(views, pa.list_(pa.binary()))], ["quality", "views"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame, net: Network = Network()) -> dict[str, np.ndarray]:
-    """Weights from at most ``net.sample`` labelled rows that are not held out.
+    """Weights from a sample of labelled rows that are not held out, within the bounds that ``net`` states.
 
     Without any such row (or with one class only) the network keeps its prior.
     """
@@ -185,12 +202,17 @@ def fit(docs: DataFrame, labels: DataFrame, net: Network = Network()) -> dict[st
     texts = documents(docs, "doc_id", "text").join(chosen, "doc_id")
     # One row for each chosen id, the one with the least hash of its text, whatever the documents repeat.
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    texts = texts.withColumn("_place", place).where("_place = 1").select("quality", "text")
-    rows = texts.mapInArrow(_viewed(net), "quality int, views array<binary>").collect()
-    rows.sort(key=lambda r: (r.quality, r.views))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    texts = store(texts.withColumn("_place", place).where("_place = 1").withColumn("_size", size))
+    # Sizes of at most ``sample`` rows; texts in order of hash while the budget of bytes lasts.
+    sizes = texts.where(F.col("_size") <= net.longest).select("doc_id", "_size", F.xxhash64("doc_id").alias("_hash"))
+    before = Window.orderBy("_hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = sizes.withColumn("_total", F.sum("_size").over(before)).where(F.col("_total") <= net.budget)
+    rows = texts.join(F.broadcast(within.select("doc_id")), "doc_id").select("quality", "text").collect()
+    rows.sort(key=lambda r: (r.quality, r.text or ""))
     if not rows:
         return start_weights(net)
-    return train([r.views for r in rows], np.array([r.quality for r in rows], np.float32), net)
+    return train([(r.text or "").encode() for r in rows], np.array([r.quality for r in rows], np.float32), net)
 
 
 def _scored(w: dict[str, np.ndarray], net: Network):
