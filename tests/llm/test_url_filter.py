@@ -69,6 +69,20 @@ def test_features_equal_plain_ones(spark):
         assert r.depth == r.path.count("/")
 
 
+def test_rates_leave_out_the_own_fold(spark):
+    rng = random.Random(72)
+    rows = [(f"u{i}", rng.choice("abc"), float(rng.random() < 0.4), rng.randrange(3)) for i in range(60)]
+    rows.append(("alone", "d", 1.0, 1))
+    labelled = spark.createDataFrame(rows, "url string, suffix string, label double, fold int")
+    overall = sum(r[2] for r in rows) / len(rows)
+    got = {(r._suffix, r._fold): r.suffix_rate for r in u.rates(labelled, "suffix", 5.0, 3).collect()}
+    assert len(got) == 4 * 4
+    for (suffix, fold), rate in got.items():
+        used = [r[2] for r in rows if r[1] == suffix and r[3] != fold]
+        assert rate == pytest.approx((sum(used) + 5 * overall) / (len(used) + 5))
+    assert got["d", 1] == pytest.approx(overall)
+
+
 def test_one_kind_of_label_or_none(spark):
     rows = u.judge(frame(spark, ["https://a.org/", "https://b.net/x", None, ""])).collect()
     assert {r.verdict for r in rows} == {"allow"}

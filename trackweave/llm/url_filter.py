@@ -42,6 +42,7 @@ class Trees:
     depth: int = 4
     rate: float = 0.2
     sample: int = 50_000
+    folds: int = 5  # rates that a labelled URL is trained with come from the other folds
     prior: float = 20.0  # labelled URLs that a suffix needs for its own rate to weigh half
     block: float = 0.5
     seed: int = 42
@@ -112,18 +113,27 @@ def lexical(rows: DataFrame) -> DataFrame:
     )
 
 
-def rates(labelled: DataFrame, key: str, prior: float) -> DataFrame:
-    """(key, rate): share of blocked URLs below each suffix, shrunk towards all labelled URLs' share."""
+def rates(labelled: DataFrame, key: str, prior: float, folds: int) -> DataFrame:
+    """(key, fold, rate): share of blocked URLs below each suffix, shrunk towards all labelled URLs' share.
+
+    A row of fold f has the rate over the other folds, so that no labelled URL's own label is in its features;
+    the row of fold -1 has the rate over all of them, for URLs to be judged.
+    """
     overall = labelled.agg(F.avg("label")).first()[0]
-    sums = labelled.groupBy(key).agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
-    rate = (F.col("blocked") + prior * overall) / (F.col("n") + prior)
-    return settle_small(sums.select(F.col(key).alias(f"_{key}"), rate.alias(f"{key}_rate")))
+    parts = labelled.groupBy(key, "fold").agg(F.sum("label").alias("blocked"), F.count("*").alias("n"))
+    whole = parts.groupBy(key).agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n"))
+    every = F.sequence(F.lit(-1), F.lit(folds - 1))
+    spread = whole.withColumn("fold", F.explode(every)).join(parts, [key, "fold"], "left")
+    blocked = F.col("all_blocked") - F.coalesce("blocked", F.lit(0.0))
+    n = F.col("all_n") - F.coalesce("n", F.lit(0))
+    rate = (blocked + prior * overall) / (n + prior)
+    return settle_small(spread.select(F.col(key).alias(f"_{key}"), F.col("fold").alias("_fold"), rate.alias(f"{key}_rate")))
 
 
-def with_rates(rows: DataFrame, tables: dict[str, DataFrame], overall: float) -> DataFrame:
+def with_rates(rows: DataFrame, tables: dict[str, DataFrame], overall: float, fold: Column) -> DataFrame:
     for key, table in tables.items():
-        rows = rows.join(table, rows[key] == table[f"_{key}"], "left").drop(f"_{key}")
-        rows = rows.withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(overall)))
+        rows = rows.join(table, (rows[key] == table[f"_{key}"]) & (fold == table["_fold"]), "left")
+        rows = rows.drop(f"_{key}", "_fold").withColumn(f"{key}_rate", F.coalesce(f"{key}_rate", F.lit(overall)))
     return rows
 
 
@@ -154,10 +164,11 @@ def judge(pages: DataFrame, rules: dict[str, str] = RULES, trees: Trees = Trees(
     if least is None or least == most:
         scored = rows.withColumn("score", F.lit(0.0))
     else:
-        tables = {key: rates(labelled, key, trees.prior) for key in ("suffix", "domain")}
-        model = fit(with_rates(labelled, tables, overall), trees)
+        labelled = labelled.withColumn("fold", F.pmod(F.xxhash64("url", F.lit("fold")), F.lit(trees.folds)).cast("int"))
+        tables = {key: rates(labelled, key, trees.prior, trees.folds) for key in ("suffix", "domain")}
+        model = fit(with_rates(labelled, tables, overall, F.col("fold")), trees)
         assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        told = model.transform(assembler.transform(with_rates(rows, tables, overall)))
+        told = model.transform(assembler.transform(with_rates(rows, tables, overall, F.lit(-1))))
         scored = told.withColumn("score", vector_to_array("probability")[1])
     own = F.when(F.col("score") >= trees.block, "block").otherwise("allow")
     verdict = F.coalesce(decided, own)
