@@ -10,8 +10,9 @@ from trackweave.catalog.rule_queries import PLACED
 from trackweave.functions import paths as P
 from trackweave.functions import signal as S
 from trackweave.operators import grouping as G
+from trackweave.operators.chunks import split_samples
 from trackweave.operators.clustering import distribution_check
-from trackweave.operators.extraction import measures_from_samples
+from trackweave.operators.extraction import measures_from_chunks, measures_from_samples
 from trackweave.plans.output import all_tracks as place_all
 from trackweave.plans.output import run_counts as count_run
 from trackweave.plans.output import save_playlists
@@ -102,19 +103,19 @@ def array_nanmean(spark, sf_dir):
     )
 
 
-def samples_measured(spark, sf_dir):
-    """Vectors as sample buffers; for every third label only their positive entries.
-
-    A buffer counts as long enough from 48 samples on and long enough for a key from 64 on.
-    """
+def _buffers(spark, sf_dir):
+    """Vectors as sample buffers; for every third label only their positive entries."""
     positive = F.filter("embedding", lambda x: x > 0)
-    buffers = table(spark, sf_dir, "embeddings").select(
+    return table(spark, sf_dir, "embeddings").select(
         "vec_id",
         F.when(F.col("label") % 3 == 0, positive).otherwise(F.col("embedding")).alias("samples"),
         (F.col("label") * 30.0).alias("bpm"),
         F.col("label").alias("key"),
     )
-    return measures_from_samples(buffers, min_samples=48, min_key_samples=64).select(
+
+
+def _shown(measured):
+    return measured.select(
         "vec_id",
         F.round("duration", 9).alias("duration"),
         "bpm",
@@ -127,6 +128,19 @@ def samples_measured(spark, sf_dir):
     )
 
 
+def samples_measured(spark, sf_dir):
+    """A buffer counts as long enough from 48 samples on and long enough for a key from 64 on."""
+    return _shown(measures_from_samples(_buffers(spark, sf_dir), min_samples=48, min_key_samples=64))
+
+
+def samples_chunked(spark, sf_dir):
+    """The same measures out of chunks of ten samples."""
+    buffers = _buffers(spark, sf_dir)
+    chunks = split_samples(buffers, "vec_id", 10)
+    tracks_only = buffers.drop("samples")
+    return _shown(measures_from_chunks(tracks_only, chunks, "vec_id", min_samples=48, min_key_samples=64))
+
+
 def _vectors(buffer: str) -> str:
     """Energy, sign changes and squared differences of each buffer."""
     return f"""
@@ -217,6 +231,7 @@ QUERIES = {
           CAST(embedding[1] AS DOUBLE) AS first FROM embeddings""",
     ),
     "samples_measured": Query(samples_measured, SAMPLES_SQL),
+    "samples_chunked": Query(samples_chunked, SAMPLES_SQL),
     "all_tracks": Query(
         all_tracks,
         f"""{PLACED} SELECT row_number() OVER (ORDER BY playlist_order, pos) AS all_pos, playlist, file_path

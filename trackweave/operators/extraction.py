@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from trackweave.functions import signal as S
 from trackweave.functions.scalars import KEY_NAMES, as_float, as_int, beat_confidence, key_index, scale_index
+from trackweave.operators.chunks import chunk_measures
 from trackweave.schema import FEATURES_SCHEMA, INTEGER_MEASURES, MEASURES
 from trackweave.sources.m3u import open_filesystem
 
@@ -112,11 +113,40 @@ def measures_from_samples(
     defaults; the key needs ``min_key_samples``. The duration is always real. Empty tracks
     get ``error``. Arrow batches are cut by bytes, so a task holds some tracks at a time.
     """
-    present = set(tracks.columns)
-    length = F.size("samples")
     measured = tracks.withColumn("_m", S.measures(F.col("samples")))
+    features = _gated(measured, F.size("samples"), failed, min_samples, min_key_samples)
+    return features.drop("_m", "samples")
+
+
+def measures_from_chunks(
+    tracks: DataFrame,
+    chunks: DataFrame,
+    key: str,
+    failed: str = "error",
+    min_samples: int = S.MIN_SAMPLES,
+    min_key_samples: int = S.MIN_KEY_SAMPLES,
+) -> DataFrame:
+    """``measures_from_samples`` for samples in ``chunks`` (key, start, samples), of tracks of any length.
+
+    One row for each row of ``tracks``, which carries the raw outputs; a track without chunks, or whose
+    chunks have no sample, is empty (duration 0; a null buffer has a null duration). Chunks that
+    do not cover their track once from its beginning leave all defaults and the error "missing samples".
+    """
+    sums = chunk_measures(chunks, key).select(
+        F.col(key).alias("_key"), F.struct("n", "rms", "zcr", "slope", "whole").alias("_m")
+    )
+    met = tracks.join(sums, tracks[key].eqNullSafe(sums["_key"]), "left").drop("_key")
+    missing = F.when(~F.col("_m.whole"), F.lit("missing samples"))
+    noted = F.col(failed) if failed in tracks.columns else F.lit(None).cast("string")
+    met = met.withColumn(failed, F.coalesce(missing, noted))
+    return _gated(met, F.coalesce("_m.n", F.lit(0)), failed, min_samples, min_key_samples).drop("_m")
+
+
+def _gated(measured: DataFrame, length: Column, failed: str, min_samples: int, min_key_samples: int) -> DataFrame:
+    """Measures out of ``_m`` (rms, zcr, slope) and the raw outputs, defaults where a track is too short or failed."""
+    present = set(measured.columns)
     raw = {
-        **_raw_measures(tracks),
+        **_raw_measures(measured),
         "loudness": F.col("_m.rms"),
         "zcr": F.col("_m.zcr"),
         "centroid": S.centroid_hz(F.col("_m.slope")),
@@ -127,11 +157,11 @@ def measures_from_samples(
     complete = length >= min_samples
     if failed in present:
         complete = complete & F.col(failed).isNull()
-    columns = {"duration": S.duration_seconds(F.col("samples"))}
+    columns = {"duration": length / F.lit(float(S.SAMPLE_RATE))}
     for name, default in MEASURE_DEFAULTS.items():
         coerce = as_int if name in INTEGER_MEASURES else as_float
         value = coerce(raw[name]) if name in raw else F.lit(default)
         columns[name] = F.when(complete, value).otherwise(F.lit(default)).cast(FEATURES_SCHEMA[name].dataType)
     noted = F.col(failed) if failed in present else F.lit(None).cast("string")
     empty = F.when(F.coalesce(length, F.lit(0)) <= 0, F.lit("empty audio"))
-    return measured.withColumns({**columns, failed: F.coalesce(empty, noted)}).drop("_m", "samples")
+    return measured.withColumns({**columns, failed: F.coalesce(empty, noted)})
