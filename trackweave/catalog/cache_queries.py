@@ -14,6 +14,7 @@ from trackweave.operators import cache as C
 from trackweave.operators import extraction as E
 from trackweave.schema import ADDED_COLUMN_DEFAULTS, evolve_features
 from trackweave.session import use_checkpoint_dir
+from trackweave.sources.bucketed import BucketedTable
 from trackweave.sources.files import big_enough as list_big
 from trackweave.sources.table import KeyedTable
 from trackweave.streaming.ingest import fresh_rows, save_stream, upsert_stream
@@ -102,6 +103,26 @@ def purge_kept(spark, sf_dir):
     return C.present_rows(tracks(spark, sf_dir), _listing(spark, sf_dir)).select("file_path", "file_hash")
 
 
+def _bucketed(spark, rows, key):
+    kept = BucketedTable(spark, scratch(spark), key, 16)
+    kept.write(rows)
+    return kept
+
+
+def bucketed_purge(spark, sf_dir):
+    """The purge against a table in buckets of its paths."""
+    lacking = _bucketed(spark, tracks(spark, sf_dir), "file_path").lacking(_listing(spark, sf_dir))
+    return lacking.select("file_path", "file_hash")
+
+
+def bucketed_lookup(spark, sf_dir):
+    """The lookup against a table in buckets of its hashes."""
+    files = _files(spark, sf_dir)
+    cached = _bucketed(spark, _cached(spark, sf_dir), "file_hash").matching(files)
+    found = C.lookup(files, cached).where("is_hit")
+    return found.select("file_hash", "file_path", "filename", "last_modified", "bpm", "centroid", "key", "scale")
+
+
 def failed_distinct(spark, sf_dir):
     """Purged paths together with those of files below the size limit."""
     small = table(spark, sf_dir, "lineitem").where("l_quantity < 5").select("l_orderkey").distinct()
@@ -375,6 +396,16 @@ QUERIES = {
         f"""{TRACKS} SELECT file_path, file_hash FROM tracks
         WHERE file_path NOT IN (SELECT file_path FROM tracks WHERE status <> 'P')""",
     ),
+    "bucketed_purge": Query(
+        bucketed_purge,
+        f"""{TRACKS} SELECT file_path, file_hash FROM tracks
+        WHERE file_path NOT IN (SELECT file_path FROM tracks WHERE status <> 'P')""",
+    ),
+    "bucketed_lookup": Query(
+        bucketed_lookup,
+        f"""{FILES} SELECT f.file_hash, f.file_path, f.filename, f.last_modified, c.bpm, c.centroid, c.key, c.scale
+        FROM files f JOIN cached c ON f.file_hash = c.file_hash AND c.cached_at >= f.last_modified""",
+    ),
     "purge_kept": Query(
         purge_kept,
         f"""{TRACKS} SELECT file_path, file_hash FROM tracks
