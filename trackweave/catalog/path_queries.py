@@ -12,6 +12,7 @@ from trackweave.functions import signal as S
 from trackweave.operators import grouping as G
 from trackweave.operators.chunks import split_samples
 from trackweave.operators.clustering import distribution_check
+from trackweave.operators.counters import store_playlists
 from trackweave.operators.extraction import measures_from_chunks, measures_from_samples
 from trackweave.plans.output import all_tracks as place_all
 from trackweave.plans.output import run_counts as count_run
@@ -181,6 +182,12 @@ def run_counts(spark, sf_dir):
     return count_run(_rule(spark, sf_dir).summary, t.where("bpm IS NOT NULL"), t.where("bpm IS NULL"))
 
 
+def counted_playlists(spark, sf_dir):
+    """Counters taken while the playlists' tracks are written."""
+    result = _rule(spark, sf_dir)
+    return store_playlists(result.tracks, result.summary)[1]
+
+
 def rule_distribution(spark, sf_dir):
     t = tracks(spark, sf_dir)
     return distribution_check(_rule(spark, sf_dir).summary, G.usable(t))
@@ -243,6 +250,11 @@ QUERIES = {
           (SELECT count(DISTINCT file_path) FROM tracks WHERE bpm IS NULL) AS failed_files,
           count(DISTINCT playlist) AS saved_playlists, count(*) AS saved_tracks FROM ordered""",
     ),
+    "counted_playlists": Query(
+        counted_playlists,
+        f"""{PLACED} SELECT count(DISTINCT playlist) AS saved_playlists, count(*) AS saved_tracks,
+          count(*) FILTER (WHERE file_path IS NULL) AS unnamed, true AS balanced FROM ordered""",
+    ),
     "rule_distribution": Query(
         rule_distribution,
         f"{PLACED} SELECT count(*) AS placed, count(*) AS tracks, true AS balanced FROM labelled",
