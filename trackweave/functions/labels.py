@@ -69,6 +69,14 @@ def ladder_name(index: Column, ladder: Ladder) -> Column:
     return F.get(F.array(*[F.lit(name) for _, name in ladder]), index)
 
 
+def split_from(playlist: Column) -> Column:
+    """Name of the group that a split playlist was cut from by its own mood; other names stay.
+
+    A group's suffix follows from its mood, so its own mood's name can only stand behind that suffix.
+    """
+    return F.regexp_replace(playlist, "(?:_Balanced|(?<=_Warm)_(?:Warm|Mellow)|(?<=_Bright)_(?:Bright|Crisp))$", "")
+
+
 def bpm_group(bpm: Column) -> Column:
     return step_label(bpm, RULE_TEMPO)
 
