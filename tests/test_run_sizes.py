@@ -20,7 +20,7 @@ def large(spark, tmp_path_factory):
     return str(folder), engine
 
 
-@pytest.mark.parametrize("name", ["run_from_cache_links"])
+@pytest.mark.parametrize("name", ["run_from_cache_links", "run_update_links"])
 def test_links_of_split_groups_equal_their_sql(spark, large, name):
     folder, engine = large
     _, rows, verdict = compare(spark, engine, folder, name)
