@@ -22,6 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays.
 
+    SimHash fingerprints within three bits and MinHash keys bring pairs together; each is checked on its sets of shingles.
     Null texts and texts without words are one group; of repeated rows one stays; other columns are carried.
     """
     long_rows(spark)

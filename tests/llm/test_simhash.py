@@ -220,3 +220,26 @@ def test_large_buckets_meet_by_chunks(spark):
     for got in (whole, chunked):
         named = [got.get(n, n) for n in nodes]
         assert all((named[a] == named[b]) == (expected[a] == expected[b]) for a in range(40) for b in range(40))
+
+
+def test_near_fingerprints_propose_pairs_of_similar_texts(spark):
+    rng = random.Random(13)
+    texts = []
+    for _ in range(12):
+        base = words(rng, 400)
+        texts += [base, f"{base} {words(rng, 1)}"]
+    near = simhash.similar_texts(0.8, 5)
+    sets = simhash.shingle_sets([t.encode() for t in texts], 5)
+    prints = simhash.set_prints(sets)
+    close = [i for i in range(0, 24, 2) if int(np.bitwise_count(prints[i] ^ prints[i + 1]).sum()) <= 3]
+    assert len(close) >= 6
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    rows = docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        simhash._printed(near), "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>, checked binary"
+    )
+    # Without a MinHash key in common, the fingerprints alone must bring the pairs together.
+    rows = rows.withColumn("keys", F.array("node")).cache()
+    nodes = [r.node for r in rows.orderBy("doc_id").collect()]
+    found = simhash._similar_links(docs, rows, near, 1 << 20, simhash.near_prints(rows))
+    linked = {frozenset(r) for r in found.collect()}
+    assert linked == {frozenset((nodes[i], nodes[i + 1])) for i in close}

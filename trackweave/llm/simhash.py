@@ -10,8 +10,8 @@ Only distinct fingerprints get keys, so exact copies cost one row. A bucket send
 forest of its links (at most one row for each member), never its pairs; a bucket beyond
 ``GROUP`` members is dealt out as pairs of chunks.
 
-``keep_one`` takes similarity of shingle sets instead: keys of MinHash bands propose pairs, and links are
-checked on the sets themselves.
+``keep_one`` asks for similarity of shingle sets: pairs whose fingerprints of these sets are near, found in the same way, and
+pairs that meet by keys of MinHash bands, for those whose fingerprints lie farther apart, are all checked on the sets themselves.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ class Similar:
 
 
 def similar_texts(similarity: float = 0.8, words: int = 5) -> Similar:
-    """MinHash keys propose such pairs; every link is checked on the whole sets of shingles."""
+    """Near fingerprints and MinHash keys propose such pairs; every link is checked on the whole sets of shingles."""
     return Similar(similarity, words)
 
 
@@ -176,17 +176,37 @@ def band_keys(sets: list[np.ndarray], near: Similar) -> np.ndarray:
     return out
 
 
+def _sketch(block: pa.RecordBatch, sets: list[np.ndarray], near: Similar) -> pa.RecordBatch:
+    nodes = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+    ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
+    keys = pa.ListArray.from_arrays(ends, pa.array(band_keys(sets, near).view(np.int64).ravel()))
+    columns = [block.column("doc_id"), block.column("text_hash"), pa.array(nodes), keys]
+    return pa.record_batch(columns, ["doc_id", "text_hash", "node", "keys"])
+
+
 def _sketched(near: Similar):
     """Node (hash of the set of shingles) and keys of every text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            yield _sketch(block, shingle_sets(utf8(block.column("text")), near.words), near)
+
+    return run
+
+
+def set_prints(sets: list[np.ndarray]) -> np.ndarray:
+    """SimHash of each set of shingles, shape (sets, 1)."""
+    counts = np.fromiter(map(len, sets), np.int64, len(sets))
+    return majority(np.concatenate([np.empty(0, np.uint64), *sets]), counts)[:, None]
+
+
+def _printed(near: Similar):
+    """What ``_sketched`` gives, and the fingerprint of the set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             sets = shingle_sets(utf8(block.column("text")), near.words)
-            nodes = np.fromiter((xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            ends = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
-            keys = pa.ListArray.from_arrays(ends, pa.array(band_keys(sets, near).view(np.int64).ravel()))
-            columns = [block.column("doc_id"), block.column("text_hash"), pa.array(nodes), keys]
-            yield pa.record_batch(columns, ["doc_id", "text_hash", "node", "keys"])
+            yield _sketch(block, sets, near).append_column("checked", _binary(set_prints(sets)))
 
     return run
 
@@ -439,10 +459,22 @@ def _met(near: Similar, names: list[str]):
     return run
 
 
-def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int) -> DataFrame:
+def near_prints(prints: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes that connect those whose fingerprints ``checked`` differ in three bits or fewer.
+
+    One node of each fingerprint stands for it; the others with that fingerprint are paired with it.
+    """
+    nodes = store(prints.select("node", "checked").distinct())
+    first = store(nodes.groupBy("checked").agg(F.min("node").alias("least")))
+    same = nodes.join(first, "checked").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    kinds = first.select(F.col("least").alias("node"), "checked", F.col("checked").alias("routed"))
+    return links(kinds, Near().radius).union(same)
+
+
+def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int, proposed: DataFrame | None = None) -> DataFrame:
     """(a, b): links between nodes that connect them as all similar pairs within buckets would.
 
-    Each member of a bucket is first checked against the bucket's hub, every such pair once. Buckets
+    Each member of a bucket is first checked against the bucket's hub, and pairs ``proposed`` (a, b) with them, every such pair once. Buckets
     whose members are then not all connected get the members' sets, dealt out as pairs of chunks of about
     ``limit`` shingles.
     """
@@ -452,13 +484,17 @@ def _similar_links(docs: DataFrame, prints: DataFrame, near: Similar, limit: int
     keys = classes.select(F.explode("keys").alias("key"), "node")
     crowd = keys.repartition(count, "key").sortWithinPartitions("key", "node").mapInArrow(_crowded, "key bigint, node bigint")
     crowd = store(crowd.mapInArrow(_hubs, "key bigint, node bigint, hub bigint"))
-    wanted = classes.join(crowd.select("node").distinct(), "node", "left_semi")
+    pairs = crowd.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    met = crowd.select("node")
+    if proposed is not None:
+        pairs = pairs.union(proposed.select(F.greatest("a", "b"), F.least("a", "b")))
+        met = met.union(proposed.select("a")).union(proposed.select("b"))
+    wanted = classes.join(met.distinct(), "node", "left_semi")
     wanted = settle_small(wanted.select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash")))
     met = docs["doc_id"].eqNullSafe(wanted["_id"]) & (F.xxhash64(docs["text"]) == wanted["_hash"])
     texts = docs.join(wanted, met).select("node", "text")
     sets = store(texts.mapInArrow(_set_rows(near), "node bigint, grams array<bigint>").dropDuplicates(["node"]))
-    pairs = crowd.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    found = store(_checked_with_hubs(store(pairs), sets, near, MEMBERS))
+    found = store(_checked_with_hubs(store(pairs.distinct()), sets, near, MEMBERS))
 
     sizes = sets.select("node", F.size("grams").alias("size"))
     rooted = crowd.join(components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -535,8 +571,9 @@ def _similar(docs: DataFrame, near: Similar) -> DataFrame:
     """(doc_id, text_hash, root) for every row; ``root`` names the component."""
     rows = documents(docs, "doc_id", "text")
     texts = rows.withColumn("text_hash", F.xxhash64("text"))
-    prints = store(texts.mapInArrow(_sketched(near), "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>"))
-    found = components(_similar_links(rows, prints, near, SHINGLES))
+    columns = "doc_id bigint, text_hash bigint, node bigint, keys array<bigint>, checked binary"
+    prints = store(texts.mapInArrow(_printed(near), columns))
+    found = components(_similar_links(rows, prints, near, SHINGLES, store(near_prints(prints))))
     return prints.join(found, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
