@@ -326,3 +326,21 @@ def test_keyed_table_orders_by_given_columns(spark, tmp_path):
     table.append(spark.createDataFrame([("a", 5), ("a", 9)], schema))
     table.append(spark.createDataFrame([("a", 7)], schema))
     assert table.read().collect() == [("a", 9)]
+
+
+def test_a_bucket_is_written_by_as_many_tasks_as_its_rows_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("trackweave.sources.table.ROWS_PER_TASK", 50)
+    schema = spark.createDataFrame([], "k bigint, t int").schema
+    table = KeyedTable(spark, str(tmp_path / "t"), schema, ["k"], ["t"], buckets=2)
+    rows = spark.range(600).select(F.col("id").alias("k"), F.lit(1).alias("t"))
+    table.append(rows)
+    for bucket in (0, 1):
+        files = list((tmp_path / "t" / "rows" / f"bucket={bucket}").glob("*.parquet"))
+        # One file has the row without keys.
+        assert len(files) >= 3
+        counts = [r[0] for r in spark.read.parquet(*map(str, files)).groupBy(F.input_file_name()).count().select("count").collect()]
+        assert max(counts) <= 200
+    table.append(rows.where("k % 3 = 0").withColumn("t", F.lit(2)))
+    table.forget(rows.where("k % 5 = 0").select("k"))
+    expected = sorted((k, 2 if k % 3 == 0 else 1) for k in range(600) if k % 5)
+    assert sorted(map(tuple, table.read().collect())) == expected

@@ -7,7 +7,8 @@ One writer at a time, and readers between writes: whoever needs more takes a tab
 broken off is applied again and gives the same table, since it is stated by keys and rows; batches of a stream are
 kept by their number until they have been applied, so a replayed batch has the very rows it had.
 
-Choose ``buckets`` so that one of them suits a task (about a gigabyte): a bucket is written by one.
+A bucket is cut by the hash of its keys into as many tasks and files as its rows need, so no task grows with the table.
+Choose ``buckets`` by how much of the table a small change should rewrite.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from trackweave.session import settle_small, store
 from trackweave.sources import storage
 
 BUCKETS = 16
+# Rows of a table that one task ranks and writes, about.
+ROWS_PER_TASK = 1 << 18
 
 
 class KeyedTable:
@@ -56,6 +59,15 @@ class KeyedTable:
         keys = [F.col(k).cast(self.schema[k].dataType) for k in self.keys]
         return F.pmod(F.xxhash64(*keys), F.lit(count)).cast("int")
 
+    def _dealt(self, rows: DataFrame, written: int, count: int, size: int) -> DataFrame:
+        """``rows`` of ``written`` buckets with their bucket and the ``part`` of it that a task gets; ``size`` rows in all."""
+        parts = max(1, -(-size // (ROWS_PER_TASK * max(written, 1))))
+        keys = [F.col(k).cast(self.schema[k].dataType) for k in self.keys]
+        # Another hash than the bucket's, which leaves only some remainders to a bucket.
+        part = F.pmod(F.xxhash64(F.lit("part"), *keys), F.lit(parts)).cast("int")
+        dealt = rows.withColumns({"bucket": self._bucket(count), "part": part})
+        return dealt.repartition(count * parts, "bucket", "part")
+
     def _load(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/rows")
 
@@ -84,10 +96,11 @@ class KeyedTable:
         blank = {c: F.lit(None).cast(self.schema[c].dataType) for c in self.schema.names}
         if self.seq:
             blank[self.seq] = F.lit(top).cast("bigint")
-        both = rows.withColumn("bucket", self._bucket(count)).select(*names).unionByName(marks.withColumns(blank).select(*names))
-        # Settled first: a partition cannot be overwritten while it is read. Blank rows come first in their file.
-        settled = store(both)
-        ordered = settled.repartition(count, "bucket").sortWithinPartitions("bucket", self.keys[0])
+        # Settled first: a partition cannot be overwritten while it is read.
+        settled = store(rows.select(*self.schema.names))
+        dealt = self._dealt(settled, len(buckets), count, settled.count()).select(*names)
+        # Blank rows are a file of their own.
+        ordered = dealt.sortWithinPartitions("bucket").unionByName(marks.withColumns(blank).select(*names).coalesce(1))
         ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/rows")
 
     def _touched(self, keys: DataFrame, count: int) -> list[int]:
@@ -126,11 +139,11 @@ class KeyedTable:
         buckets = self._touched(fresh, count) if count else list(range(self.buckets))
         old = self._rows(buckets).select(*self.schema.names) if count else empty_table(self.spark, self.schema)
         count = count or self.buckets
-        both = old.unionByName(fresh).withColumn("bucket", self._bucket(count)).repartition(count, "bucket")
-        # The bucket leads the window's keys: rows meet where they are written.
-        kept = latest_per_key(both, ["bucket", *self.keys], [F.desc_nulls_last(c) for c in self.newest_by])
+        both = self._dealt(old.unionByName(fresh), len(buckets), count, old.count() + fresh.count())
+        # Bucket and part lead the window's keys: rows meet where they were dealt to.
+        kept = latest_per_key(both, ["bucket", "part", *self.keys], [F.desc_nulls_last(c) for c in self.newest_by])
         top = max(self.top(), fresh.agg(F.max(self.seq)).first()[0]) if self.seq else -1
-        self._write(kept.drop("bucket"), buckets, count, top)
+        self._write(kept.drop("bucket", "part"), buckets, count, top)
 
     def forget(self, keys: DataFrame) -> None:
         """Delete the rows of ``keys``; rows added later count again."""
