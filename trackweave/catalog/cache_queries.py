@@ -193,11 +193,9 @@ def clamp_confidence(spark, sf_dir):
 def cached_and_fresh(spark, sf_dir):
     """Cached measures of the hits together with defaults for the misses, as one list."""
     found = C.lookup(_files(spark, sf_dir), _cached(spark, sf_dir))
-    columns = ["file_path", "file_hash", "is_hit", "bpm", "key"]
-    fresh = found.where("NOT is_hit").withColumns(
-        {"bpm": F.lit(E.MEASURE_DEFAULTS["bpm"]), "key": F.lit(E.MEASURE_DEFAULTS["key"])}
-    )
-    return found.where("is_hit").select(*columns).unionByName(fresh.select(*columns))
+    # One pass over one lookup: a hit keeps its measures, whatever they are.
+    measures = {c: F.when(F.col("is_hit"), F.col(c)).otherwise(F.lit(E.MEASURE_DEFAULTS[c])) for c in ("bpm", "key")}
+    return found.withColumns(measures).select("file_path", "file_hash", "is_hit", "bpm", "key")
 
 
 def big_enough(spark, sf_dir):
