@@ -138,6 +138,17 @@ def test_parts_are_a_layout_of_their_own(spark, tmp_path):
         save_playlists(tracks, summary, out, layout="other")
 
 
+def test_many_small_parts_share_read_tasks(spark, tmp_path):
+    out = str(tmp_path / "out")
+    tracks, summary, rows = tracks_of(spark, {"A": 300, "B": 100})
+    save_playlists(tracks, summary, out, layout="parts", lines_per_part=2)
+    found = read_m3u(spark, out)
+    assert 64 <= found.rdd.getNumPartitions() < 150  # for 400 files of lines
+    lines = sorted((r.playlist, r.line_number, r.line) for r in found.collect())
+    assert [x[1:] for x in lines if x[0] == "All_Successful_Tracks"] == [(i, r[3]) for i, r in enumerate(rows)]
+    assert [x[1:] for x in lines if x[0] == "B"] == [(i, r[3]) for i, r in enumerate(rows[300:])]
+
+
 def test_clean_names_stay_apart(spark, tmp_path):
     out = str(tmp_path / "out")
     tracks, summary, rows = tracks_of(spark, {"Slow_C#_Major": 2, "Slow_C_Major": 2, "D#": 1, "D!": 1})

@@ -3,8 +3,8 @@
 Layout ``single``: every playlist is one ``<name>.m3u``, written by one task as a stream. Layout
 ``parts``: the lines are in ``<name>.00000.m3u``, ``<name>.00001.m3u`` ... in order, with a fixed number of
 lines each, and ``<name>.m3u`` is an index that names them after a comment with that number; no task has more than
-a part. Tasks write aside; when all are done, tasks move the files into place. The source reads every part of an index
-by a task of its own, which knows from the index where its lines stand.
+a part. Tasks write aside; when all are done, tasks move the files into place. No file is read by several tasks: the index
+tells where the lines of a part stand. Where there are many small files, a task reads several.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ LAYOUTS = ("single", "parts")
 INDEX_MARK = "#PARTS:"
 # Bytes read from a file at once.
 CHUNK = 1 << 20
+# Up to this many files are read by a task each; beyond it tasks take several files, up to so many bytes together.
+READ_TASKS, READ_BYTES = 64, 1 << 24
 
 
 @cache
@@ -98,7 +100,7 @@ class M3uWriter(DataSourceArrowWriter):
             start = 0
             while start < len(names):
                 name = names[start].as_py()
-                # Rows come sorted by file: the run ends where the name changes.
+                # Rows come file by file: the run ends where the name changes.
                 other = pc.index(pc.not_equal(names.slice(start), name), True).as_py()
                 length = other if other >= 0 else len(names) - start
                 if name != current:
@@ -138,7 +140,7 @@ def playlist_of(file_name: str) -> str:
 
 
 @dataclass
-class PlaylistFile(InputPartition):
+class PlaylistFile:
     """A file whose lines belong to ``playlist`` from line ``first`` on."""
 
     path: str
@@ -146,6 +148,29 @@ class PlaylistFile(InputPartition):
     first: int
 
 
+@dataclass
+class PlaylistFiles(InputPartition):
+    """Files that one task reads."""
+
+    files: list[PlaylistFile]
+
+
+def share_files(files: list[tuple[PlaylistFile, int]]) -> list[PlaylistFiles]:
+    """Files with their bytes, dealt to tasks: one each, or as many as hold ``READ_BYTES`` or an even share, if that is less."""
+    if len(files) <= READ_TASKS:
+        return [PlaylistFiles([file]) for file, _ in files]
+    limit = min(READ_BYTES, sum(size for _, size in files) // READ_TASKS)
+    tasks: list[PlaylistFiles] = []
+    room = -1
+    for file, size in files:
+        if size > room:
+            tasks.append(PlaylistFiles([]))
+            room = limit
+        tasks[-1].files.append(file)
+        room -= size
+    return tasks
+
+
 def _lines(path: str) -> Iterator[list[str]]:
     """The lines of a file, in lists of bounded size; a line end at the end of the file begins no further line."""
     fs, inner = open_filesystem(path)
@@ -178,30 +203,32 @@ class M3uReader(DataSourceReader):
     def partitions(self):
         fs, base = open_filesystem(self.folder)
         infos = fs.get_file_info(pafs.FileSelector(base))
-        names = sorted(i.base_name for i in infos if i.type == pafs.FileType.File and i.base_name.endswith(".m3u"))
+        sizes = {i.base_name: i.size for i in infos if i.type == pafs.FileType.File and i.base_name.endswith(".m3u")}
+        names = sorted(sizes)
         indexes = {n: found for n in names if playlist_of(n) == n.removesuffix(".m3u") and (found := index_of(f"{self.folder}/{n}"))}
         out, named = [], set()
         for name, (lines, parts) in indexes.items():
             named.update(parts)
             for number, part in enumerate(parts):
-                out.append(PlaylistFile(f"{self.folder}/{part}", name.removesuffix(".m3u"), number * lines))
+                out.append((PlaylistFile(f"{self.folder}/{part}", name.removesuffix(".m3u"), number * lines), sizes.get(part, 0)))
         for name in names:
             if name not in indexes and name not in named:
-                out.append(PlaylistFile(f"{self.folder}/{name}", name.removesuffix(".m3u"), 0))
-        return out or [None]
+                out.append((PlaylistFile(f"{self.folder}/{name}", name.removesuffix(".m3u"), 0), sizes[name]))
+        return share_files(out) or [None]
 
     def read(self, partition):
         if partition is None:
             return
-        first = partition.first
-        for lines in _lines(partition.path):
-            numbers = pa.array(range(first, first + len(lines)), pa.int64())
-            yield pa.record_batch([pa.array([partition.playlist] * len(lines)), numbers, pa.array(lines)], ["playlist", "line_number", "line"])
-            first += len(lines)
+        for file in partition.files:
+            first = file.first
+            for lines in _lines(file.path):
+                numbers = pa.array(range(first, first + len(lines)), pa.int64())
+                yield pa.record_batch([pa.array([file.playlist] * len(lines)), numbers, pa.array(lines)], ["playlist", "line_number", "line"])
+                first += len(lines)
 
 
 class M3uSink(DataSource):
-    """``df.write.format("m3u")`` for rows (file, line) sorted by file in each partition; ``path`` is aside.
+    """``df.write.format("m3u")`` for rows (file, line), in each partition file by file; ``path`` is aside.
 
     ``spark.read.format("m3u").load(folder)``: (playlist, line_number, line), comments included.
     """
@@ -281,7 +308,7 @@ def file_name(playlist: Column, pos: Column, layout: str, lines_per_part: int) -
 
 
 def read_m3u(spark: SparkSession, folder: str) -> DataFrame:
-    """(playlist, line_number, line) of every playlist in a folder, in either layout; a task for each file of lines."""
+    """(playlist, line_number, line) of every playlist in a folder, in either layout; no file is read by several tasks."""
     spark.dataSource.register(M3uSink)
     return spark.read.format("m3u").load(folder)
 
@@ -313,7 +340,8 @@ def write_m3u(
         named = rows.select(F.inline(F.array(own)))
     (
         named.repartition("file")
-        .sortWithinPartitions("file", "pos", "line")
+        # Names of parts begin alike: their hash decides sooner.
+        .sortWithinPartitions(F.xxhash64("file"), "file", "pos", "line")
         .select("file", "line")
         .write.format("m3u")
         .mode("append")
