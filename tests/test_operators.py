@@ -218,3 +218,43 @@ def test_measures_must_be_finite(spark):
     df = spark.createDataFrame(rows, "file_path string, bpm double, centroid double, danceability double")
     with pytest.raises(ValueError, match="bpm"):
         K.scale_weighted(K.clean_tracks(df))
+
+
+def test_rounds_over_all_rows_end_at_rest(spark, monkeypatch):
+    """Large tables start from a sample's centers; the rounds that follow see every row and end only at rest."""
+    monkeypatch.setattr(K, "START_ROWS", 300)
+    random.seed(6)
+    rows = [tuple(random.gauss(i % 5 * 2, 1.0) for _ in range(3)) for i in range(4000)]
+    columns = [f"{c}_w" for c in K.WEIGHTS]
+    scaled = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in columns)).repartition(3).cache()
+    found = K.kmeans_clusters(scaled, 5)
+    assert found.converged and len(found.centers) == 5
+    own = {}
+    for *p, c in found.tracks.select(*columns, "cluster").collect():
+        far = [sum((a - b) ** 2 for a, b in zip(p, center)) for center in found.centers]
+        assert far[c] == min(far)
+        own.setdefault(c, []).append(p)
+    assert sum(map(len, own.values())) == 4000
+    for c, mine in own.items():
+        mean = [statistics.fmean(x) for x in zip(*mine)]
+        assert sum((a - b) ** 2 for a, b in zip(mean, found.centers[c])) ** 0.5 <= 2 * K.TOLERANCE
+    assert not K.kmeans_clusters(scaled, 5, max_iter=1).converged
+
+
+def test_rare_points_keep_their_centers_where_the_sample_lacks_them(spark, monkeypatch):
+    monkeypatch.setattr(K, "START_ROWS", 50)
+    # Three far points in as many directions among equal ones.
+    far = [f"CAST(IF(id = {1000 * i + 7}, 1000, 0) AS DOUBLE) AS {c}_w" for i, c in enumerate(K.WEIGHTS)]
+    scaled = spark.range(3000).selectExpr(*far)
+    found = K.kmeans_clusters(scaled, 4)
+    assert sorted(r[0] for r in found.tracks.groupBy("cluster").count().select("count").collect()) == [1, 1, 1, 2997]
+
+
+@pytest.mark.parametrize("n", [1, 2, 8, 16])
+def test_nearest_by_plain_columns_is_the_nearest(spark, n):
+    random.seed(n)
+    centers = [(float(random.randrange(4)), float(random.randrange(4))) for _ in range(n)]
+    df = spark.range(200).select((F.col("id") % 9 / 2).alias("a"), (F.col("id") % 7 / 2).alias("b"))
+    both = K.place_nearest(df, centers, ["a", "b"]).withColumn("want", K.nearest_center(centers, ["a", "b"])["id"])
+    assert both.columns == ["a", "b", "cluster", "want"] and both.where("cluster <> want").isEmpty()
+

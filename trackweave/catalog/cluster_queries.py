@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackweave.catalog.inputs import TRACKS, Query, case, table, tracks
@@ -144,6 +145,31 @@ SELECT playlist, dense_rank() OVER (ORDER BY first_cluster) AS playlist_order,
   row_number() OVER (PARTITION BY playlist ORDER BY cluster, ingest_seq) AS pos, file_path, ingest_seq FROM named"""
 
 
+def _names_by_steps(points):
+    """(cluster, cluster_name) from counts on the steps of the names' ladders, without the operator's medians.
+
+    Both middle rows on one step: any value of it gives the median's word. Else they are the last value of
+    the lower and the first of the upper step. What is kept has a row for each cluster and steps.
+    """
+    ladders = {"bpm": L.CLUSTER_TEMPO, "centroid": L.CLUSTER_TIMBRE, "danceability": L.CLUSTER_DANCE}
+    ends = [end(c).alias(f"{c}_{end.__name__}") for c in ladders for end in (F.min, F.max)]
+    steps = [L.step_index(F.col(c), ladder).alias(f"{c}_step") for c, ladder in ladders.items()]
+    counted = points.groupBy("cluster", *steps).agg(F.count("*").alias("n"), *ends)
+    entry = [
+        F.struct(F.lit(c).alias("measure"), *[F.col(f"{c}_{x}").alias(x) for x in ("step", "min", "max")]) for c in ladders
+    ]
+    each = counted.select("cluster", "n", F.inline(F.array(*entry))).groupBy("cluster", "measure", "step")
+    each = each.agg(F.sum("n").alias("n"), F.min("min").alias("first"), F.max("max").alias("last"))
+    group = Window.partitionBy("cluster", "measure")
+    before = F.coalesce(F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = each.select("*", before.alias("before"), F.sum("n").over(group).alias("total"))
+    ranks = [F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)]
+    lower, upper = [(F.col("before") <= r) & (r < F.col("before") + F.col("n")) for r in ranks]
+    middle = F.when(lower & upper, F.col("first")).when(lower, F.col("last") / 2).when(upper, F.col("first") / 2)
+    found = placed.groupBy("cluster").agg(*[F.sum(F.when(F.col("measure") == c, middle)).alias(c) for c in ladders])
+    return found.select("cluster", L.underscored(L.cluster_name(*[F.col(c) for c in ladders])).alias("cluster_name"))
+
+
 def kmeans_playlists(spark, sf_dir):
     """Per track: whether no center is nearer than its cluster's, and whether its playlist has its cluster's name."""
     result = K.cluster_playlists(tracks(spark, sf_dir))
@@ -152,21 +178,13 @@ def kmeans_playlists(spark, sf_dir):
     def distance(center):
         return sum(((F.col(c) - F.lit(x)) * (F.col(c) - F.lit(x)) for c, x in zip(weighted, center)), F.lit(0.0))
 
-    distances = F.array(*[distance(center) for center in result.clustered.centers])
-    own = F.element_at(distances, F.col("cluster") + 1)
-    points = result.clustered.tracks.select(
-        "file_hash", "cluster", (own <= F.array_min(distances) + F.lit(1e-9)).alias("nearest"), *MEASURED
-    )
-    # Medians once more, by Spark's own exact percentile.
-    medians = points.groupBy("cluster").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in MEASURED])
-    name = L.underscored(L.cluster_name(F.col("bpm"), F.col("centroid"), F.col("danceability")))
-    named = F.broadcast(medians.select("cluster", name.alias("cluster_name")))
-    placed = result.tracks.select("file_hash", "playlist")
-    return (
-        points.select("file_hash", "cluster", "nearest")
-        .join(named, "cluster")
-        .join(placed, "file_hash")
-        .select("file_hash", "nearest", (F.col("playlist") == F.col("cluster_name")).alias("named"))
+    distances = [distance(center) for center in result.clustered.centers]
+    own = F.coalesce(*[F.when(F.col("cluster") == i, d) for i, d in enumerate(distances)])
+    named = F.broadcast(_names_by_steps(result.clustered.tracks))
+    return result.tracks.join(named, "cluster").select(
+        "file_hash",
+        (own <= F.least(*distances) + F.lit(1e-9)).alias("nearest"),
+        (F.col("playlist") == F.col("cluster_name")).alias("named"),
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
@@ -23,6 +24,9 @@ NUM_PLAYLISTS = 8
 SEED = 42
 # Rounds of k-means at most, and how far centers may still move when it stops.
 MAX_ITER, TOLERANCE = 100, 1e-4
+# Up to this many rows Spark ML's k-means runs over all of them; larger tables take its centers on about as many rows
+# as start of rounds over all rows, whose distances are columns of a plan: for up to so many centers.
+START_ROWS, PLAN_CENTERS = 500_000, 16
 
 
 def clean_tracks(tracks: DataFrame) -> DataFrame:
@@ -88,6 +92,45 @@ def nearest_center(centers: list[tuple[float, ...]], columns: list[str], ids: li
     return F.array_min(F.array(*ranked))
 
 
+def place_nearest(points: DataFrame, centers: list[tuple[float, ...]], columns: list[str], out: str = "cluster") -> DataFrame:
+    """Add the place of the nearest of some constant centers, the lowest on ties, as :func:`nearest_center` has it.
+
+    Distances are plain columns, which Spark compiles into the scan; ``columns`` hold no NULL.
+    """
+    known = {f"_p{j}": F.coalesce(F.col(c), F.lit(0.0)) for j, c in enumerate(columns)}
+    distances = {}
+    for i, center in enumerate(centers):
+        offsets = [F.col(p) - F.lit(x) for p, x in zip(known, center)]
+        distances[f"_d{i}"] = reduce(Column.__add__, [o * o for o in offsets])
+    least = F.least(*distances) if len(centers) > 1 else F.col("_d0")
+    place = F.when(F.col("_d0") <= F.col("_least"), F.lit(0))
+    for i in range(1, len(centers)):
+        place = place.when(F.col(f"_d{i}") <= F.col("_least"), F.lit(i))
+    place = place.otherwise(F.lit(len(centers) - 1))
+    placed = points.withColumns(known).withColumns(distances).withColumn("_least", least).withColumn(out, place)
+    return placed.drop(*known, *distances, "_least")
+
+
+def lloyd(
+    points: DataFrame, centers: list[tuple[float, ...]], columns: list[str], max_iter: int, tol: float
+) -> tuple[list[tuple[float, ...]], bool]:
+    """Centers after rounds over all points, and whether the last one moved none of them by more than ``tol``.
+
+    A round is one scan of ``columns`` and an aggregate of a row per center; centers without points stay.
+    """
+    for _ in range(max_iter):
+        placed = place_nearest(points.select(*columns), centers, columns)
+        sums = placed.groupBy("cluster").agg(F.count("*"), *[F.sum(c) for c in columns]).collect()
+        moved = list(centers)
+        for at, n, *totals in sums:
+            moved[at] = tuple(total / n for total in totals)
+        far = max(math.dist(a, b) for a, b in zip(centers, moved))
+        centers = moved
+        if far <= tol:
+            return centers, True
+    return centers, False
+
+
 @dataclass(frozen=True)
 class Clustered:
     """Tracks with ``cluster``, the centers (id and weighted measures), and whether the iteration came to rest."""
@@ -107,21 +150,34 @@ def kmeans_clusters(
 ) -> Clustered:
     """K-means over the weighted measures; at most one cluster per row.
 
-    ``converged`` is False if ``max_iter`` rounds passed without all centers moving less than ``tol``.
+    ``converged`` is False if ``max_iter`` rounds over all rows passed without all centers moving less than ``tol``.
+    Large tables get their first centers from a sample, where Spark ML's iteration ends, instead of from its first
+    choice among all rows; what follows is Lloyd's iteration over all rows until the same ``tol``.
     """
     if k <= 0:
         raise ValueError(f"number of playlists must be positive, not {k}")
-    rows = scaled.limit(k).count()
+    rows = scaled.count()
     if rows <= 1 or k == 1:
         return Clustered(scaled.withColumn("cluster", F.lit(0)), [], True)
-    features = VectorAssembler(inputCols=[f"{c}_w" for c in weights], outputCol="features")
-    points = features.transform(scaled)
+    columns = [f"{c}_w" for c in weights]
+    features = VectorAssembler(inputCols=columns, outputCol="features")
     means = KMeans(
         k=min(k, rows), seed=seed, maxIter=max_iter, tol=tol, featuresCol="features", predictionCol="cluster"
     )
-    model = means.fit(points)
-    centers = [tuple(float(x) for x in center) for center in model.clusterCenters()]
-    return Clustered(model.transform(points).drop("features"), centers, model.summary.numIter < max_iter)
+
+    def fitted(some: DataFrame):
+        model = means.fit(features.transform(some))
+        return model, [tuple(float(x) for x in center) for center in model.clusterCenters()]
+
+    if rows > START_ROWS and k <= PLAN_CENTERS:
+        start = scaled.select(*columns).sample(START_ROWS / rows, seed)
+        centers = fitted(start)[1]
+        # Fewer centers than asked for: the sample lacks rare points.
+        if len(centers) == k:
+            centers, converged = lloyd(scaled, centers, columns, max_iter, tol)
+            return Clustered(place_nearest(scaled, centers, columns), centers, converged)
+    model, centers = fitted(scaled)
+    return Clustered(model.transform(features.transform(scaled)).drop("features"), centers, model.summary.numIter < max_iter)
 
 
 def cluster_summary(clustered: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
@@ -179,7 +235,7 @@ def place_clustered(clustered: DataFrame, summary: DataFrame, order: str = "inge
 
 @dataclass(frozen=True)
 class ClusterPlaylists:
-    """Result of the cluster grouping: ``tracks`` (flat, with positions) and ``summary``."""
+    """Result of the cluster grouping: ``tracks`` (flat, with positions and weighted measures) and ``summary``."""
 
     tracks: DataFrame
     summary: DataFrame
@@ -200,18 +256,17 @@ def cluster_playlists(
     ``fit`` (scaled tracks, number, seed, ``order=``) takes the place of Lloyd's iteration: ``minibatch_clusters`` reads all
     tracks twice, to draw its samples and to assign them.
 
-    The scaled tracks are stored once, with the columns that are used. Fitting, medians, cell counts
-    and positions then each scan the few columns they need; assigning again is cheaper than storing again.
+    The clean tracks are stored once, with the columns that are used. Statistics, fitting, medians, cell counts
+    and positions then each scan the few columns they need; scaling and assigning again is cheaper than storing again.
     """
     used = [c for c in tracks.columns if c in {order, "file_hash", "file_path", "duration", "key", "scale", *WEIGHTS}]
-    scaled = store(scale_weighted(clean_tracks(tracks.select(*used))))
+    scaled = scale_weighted(store(clean_tracks(tracks.select(*used))))
     if fit:
         clustered = fit(scaled, num_playlists, seed, order=order)
     else:
         clustered = kmeans_clusters(scaled, num_playlists, seed, WEIGHTS, max_iter, tol)
-    placed = clustered.tracks.drop(*[f"{c}_w" for c in WEIGHTS])
-    per_cluster = settle(cluster_summary(placed))
-    return ClusterPlaylists(place_clustered(placed, per_cluster, order), merge_by_name(per_cluster), clustered)
+    per_cluster = settle(cluster_summary(clustered.tracks))
+    return ClusterPlaylists(place_clustered(clustered.tracks, per_cluster, order), merge_by_name(per_cluster), clustered)
 
 
 def distribution_check(summary: DataFrame, tracks: DataFrame) -> DataFrame:
